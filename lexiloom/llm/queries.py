@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_crf, sentencepiece_codec, token_counts, url_filters
+from . import near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters
 from .shared import crc32_of_id
 
 
@@ -25,6 +25,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model(), limit=4096)
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), piece_model())
 
@@ -42,7 +46,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_sentencepiece, op7_quality, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op7_quality, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -55,9 +55,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_chunks(batch, column: str = "text", most_bytes: int = 2 << 20):
-    """Slices of an Arrow batch that hold about most_bytes of text each (a longer text makes a slice of its own), so that
-    numpy's working arrays stay small whatever the batch holds. Yields (slice, bytes as uint8, offsets); null reads as empty."""
+def text_chunks(batch, column: str = "text", most_bytes: int = 2 << 20, most_rows: int = 4096):
+    """Slices of an Arrow batch that hold about most_bytes of text and at most most_rows rows each (a longer text makes a
+    slice of its own), so that numpy's working arrays stay small whatever the batch holds. Yields (slice, bytes as uint8,
+    offsets); null reads as empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -74,7 +75,7 @@ def text_chunks(batch, column: str = "text", most_bytes: int = 2 << 20):
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most_bytes, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most_rows)
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -129,6 +130,7 @@ def shingle_hashes(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 5):
         with np.errstate(over="ignore"):
             for k in range(len(part)):
                 acc = acc + part[k] * odd[k]
-        out.append(mix(np.array([acc + np.uint64(count[d]) * np.uint64(0xC2B2AE3D27D4EB4F)], dtype=np.uint64)))
+            acc = acc + np.uint64(count[d]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(mix(np.array([acc], dtype=np.uint64)))
         out_doc.append(np.array([d]))
     return np.concatenate(out), np.concatenate(out_doc)
