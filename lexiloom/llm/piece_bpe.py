@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 
 BLANK = "▁"
+#: Characters before a position by which its candidate pieces are kept.
+NEAR = 5
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -37,6 +39,15 @@ class PieceBpe:
             raise ValueError("this vocabulary's normalizer changes texts")
         value = {i: b for b, i in self.byte_id.items()}
         self.raw = [bytes([value[i]]) if i in value else b"" if skip[i] else self.names[i].replace(BLANK, " ").encode() for i in range(n)]
+        #: Neighbouring characters that some piece holds; between any others no merge ever happens, so a text can be cut there.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        #: Pieces of more than NEAR characters by their last NEAR, longest first.
+        self._long: dict[str, list[tuple[str, int]]] = {}
+        for p in sorted(self.ids, key=len, reverse=True):
+            if len(p) > NEAR:
+                self._long.setdefault(p[-NEAR:], []).append((p, len(p)))
+        self._near: dict[str, list[tuple[str, int]]] = {}
+        self._parts: dict[str, list[int]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._stable: dict[str, bool] = {}
 
@@ -71,29 +82,78 @@ class PieceBpe:
             known = self._pairs[a, b] = self.merge(a + b) == [a, b]
         return known
 
-    def last_tokens(self, segment: str) -> list[str]:
-        """For every prefix of a segment, the last token of that prefix's encoding."""
-        last = [""]
-        ids, stable, follows, longest = self.ids, self.stable, self.follows, self.longest
-        for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - longest), end - 1):
-                piece = segment[start:end]
-                if piece in ids and stable(piece) and (not start or follows(last[start], piece)):
+    def ending(self, near: str) -> list[tuple[str, int]]:
+        """The stable pieces of two characters or more that may end a text whose last NEAR characters (or fewer, where the
+        text is no longer) are these, longest first."""
+        found = self._long.get(near, ()) if len(near) == NEAR else ()
+        found = [(p, n) for p, n in found if self.stable(p)]
+        found += [(near[k:], len(near) - k) for k in range(len(near) - 1) if near[k:] in self.ids and self.stable(near[k:])]
+        if len(self._near) > 200_000:
+            self._near.clear()
+        self._near[near] = found
+        return found
+
+    def tabulate(self, part: str) -> list[int]:
+        """Token count of every prefix: that of the prefix before its last token, and the last token's width. The last token
+        is the longest piece that stays whole behind the last token of what stands before it."""
+        last, counts = ["", part[0]], [0, self.width(part[0])]
+        near, pairs = self._near, self._pairs
+        for end in range(2, len(part) + 1):
+            key = part[end - NEAR : end] if end > NEAR else part[:end]
+            found = near.get(key)
+            if found is None:
+                found = self.ending(key)
+            for piece, size in found:
+                start = end - size
+                if size > NEAR and (start < 0 or not part.startswith(piece, start)):
+                    continue
+                if not start:
+                    break
+                both = (last[start], piece)
+                if pairs.get(both) or both not in pairs and self.follows(*both):
                     break
             else:
-                piece = segment[end - 1]
+                piece, start = part[end - 1], end - 1
+                last.append(piece)
+                counts.append(counts[start] + self.width(piece))
+                continue
             last.append(piece)
-        return last
+            counts.append(counts[start] + 1)
+        return counts
 
     def width(self, token: str) -> int:
         """Ids that a token takes: one, or its bytes where no piece has the character."""
         return 1 if token in self.ids else len(token.encode("utf-8", "surrogatepass"))
 
+    def parts(self, segment: str) -> list[str]:
+        """The segment cut wherever no piece spans the border."""
+        inner, out, begin = self.inner, [], 0
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in inner:
+                out.append(segment[begin:k])
+                begin = k
+        out.append(segment[begin:])
+        return out
+
+    def _part_counts(self, part: str) -> list[int]:
+        known = self._parts.get(part)
+        if known is None:
+            known = self.tabulate(part)
+            if len(part) <= 40:
+                if len(self._parts) > 200_000:
+                    self._parts.clear()
+                self._parts[part] = known
+        return known
+
     def prefix_counts(self, segment: str) -> list[int]:
         """Token count of every prefix of a segment, the empty one first."""
-        last, out = self.last_tokens(segment), [0]
-        for end in range(1, len(segment) + 1):
-            out.append(out[end - len(last[end])] + self.width(last[end]))
+        parts = self.parts(segment)
+        if len(parts) == 1:
+            return self.tabulate(segment)
+        out = [0]
+        for part in parts:
+            base = out[-1]
+            out += [base + c for c in self._part_counts(part)[1:]]
         return out
 
     def token_ids(self, token: str) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .piece_bpe import PieceBpe, segments, vocabulary
 
 #: Tables of segments that a worker keeps; a full store is emptied and filled anew.
-MOST_TABLES = 300_000
+MOST_TABLES = 600_000
 #: Longer segments are tabulated each time, not kept.
 LONGEST_KEPT = 60
 
