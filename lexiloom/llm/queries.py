@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
+from . import embedding_dup, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
 from .shared import crc32_of_id
 
 
@@ -33,6 +33,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(table(spark, sf_dir, "pages"))
     rows = warc.read(files).where("kind = 'record'")
@@ -52,7 +56,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op5_warc, op7_quality, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
