@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import mix, text_chunks, words
 
 #: Labelled rows of each label that the fit reads at most.
-MOST_LABELLED = 3000
+MOST_LABELLED = 700
 STEPS = 150
 
 _KIND = np.zeros(256, dtype=np.int64)  # 0 other
@@ -99,12 +99,12 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Own, previous and next line's features, a bias, and flags for a document's first and last line."""
     n = len(x)
     before, after = np.zeros_like(x), np.zeros_like(x)
-    same = doc[1:] == doc[:-1]
+    same = (doc[1:] == doc[:-1]).astype(x.dtype)
     before[1:] = x[:-1] * same[:, None]
     after[:-1] = x[1:] * same[:, None]
-    first, last = np.ones(n), np.ones(n)
-    first[1:], last[:-1] = ~same, ~same
-    return np.column_stack([x, before, after, first, last, np.ones(n)])
+    first, last = np.ones(n, x.dtype), np.ones(n, x.dtype)
+    first[1:], last[:-1] = 1 - same, 1 - same
+    return np.column_stack([x, before, after, first, last, np.ones(n, x.dtype)])
 
 
 def marginals(emission: np.ndarray, doc: np.ndarray, n_docs: int, step: np.ndarray):
@@ -177,7 +177,7 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Quali
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     x, doc, size = line_features(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = with_neighbours((x - mean) / spread, doc)
+    x = with_neighbours(((x - mean) / spread).astype(np.float32), doc)
     lines = np.bincount(doc, minlength=len(y)).astype(float)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     w_doc = share / lines  # a document counts once, however many lines it has
@@ -191,14 +191,14 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Quali
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        gamma, pair, _ = marginals(x @ w, doc, n_docs, step)
-        grad_w = x.T @ ((gamma - truth) * weight[:, None]) + 1e-4 * w
+        gamma, pair, _ = marginals((x @ w.astype(x.dtype)).astype(float), doc, n_docs, step)
+        grad_w = x.T @ ((gamma - truth) * weight[:, None]).astype(x.dtype) + 1e-4 * w
         grad_s = pair * (seen.sum() / max(pair.sum(), 1e-9)) - seen + 1e-2 * step
         g = np.concatenate([grad_w.ravel(), grad_s.ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta = theta - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-    gamma, _, _ = marginals(x @ w, doc, n_docs, step)
+    gamma, _, _ = marginals((x @ w.astype(x.dtype)).astype(float), doc, n_docs, step)
     z = _odds(weighted_mean(gamma[:, 1], doc, size, n_docs))
     slope, shift = 1.0, 0.0
     prior = np.full(len(y), 1.0 / len(y))
