@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dup, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
+from . import embedding_dup, fingerprints, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
 from .shared import crc32_of_id
 
 
@@ -51,12 +51,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score(rows, model, keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op8_fingerprints, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
