@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dup, fingerprints, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
+from . import embedding_dup, fingerprints, lm_scoring, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
 from .shared import crc32_of_id
 
 
@@ -55,12 +55,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), piece_model(), crc32_of_id("doc_id") % 10 == 0)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op8_fingerprints, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
