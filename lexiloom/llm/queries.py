@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dup, fingerprints, lm_scoring, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
+from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
 from .shared import crc32_of_id
 
 
@@ -43,6 +43,19 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Shares of the expected tokens that op6 aims at, by quality and toxicity label.
+MIX = {"quality1_toxic0": 0.85, "quality0_toxic0": 0.08, "quality1_toxic1": 0.055, "quality0_toxic1": 0.015}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    rated, _, _ = mixing.mix(docs.select("doc_id", "text"), model, MIX, anchor="quality1_toxic0")
+    take = mixing.copies(F.col("rate"), F.col("row.doc_id"))
+    posterior = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(model.names)]
+    return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *posterior, "rate", take.alias("copies"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = table(spark, sf_dir, "labels").where(crc32_of_id("doc_id") % 3 != 1)
@@ -64,7 +77,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
