@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
 from .shared import crc32_of_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
