@@ -8,7 +8,7 @@ ids the public library gives. A text's ids are those of its segments, one after
 
 Defined results: null encodes as empty; an empty text has no ids; a character outside the vocabulary becomes its UTF-8 byte
 pieces; decoding gives back the text that was encoded (a blank mark in it as the blank that it stands for), and U+FFFD for ids whose bytes are no UTF-8. Repeated rows give repeated
-rows. Memory: texts pass in slices of about 4 MB, a worker keeps at most MOST_KEPT segments.
+rows. Memory: texts pass in slices of about 3 MB, a worker keeps at most MOST_KEPT segments.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from .piece_bpe import PieceBpe, segments, vocabulary
 
-MOST_KEPT = 300_000
+MOST_KEPT = 600_000
 LONGEST_KEPT = 60
-#: Characters of text taken together, and of distinct segments indexed together.
-SLICE_CHARS = 4 << 20
+#: Pairs of neighbouring tokens whose answer a worker keeps.
+MOST_PAIRS = 2_000_000
+#: Characters of text taken together; and of distinct segments indexed together.
+SLICE_CHARS = 3 << 20
+INDEX_CHARS = 1 << 20
 
 
 def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
@@ -30,11 +33,16 @@ def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
     _, rank = np.unique(chars, return_inverse=True)
     rank = rank.astype(np.int64) + 1
     width, order = 1, np.argsort(rank, kind="stable")
+    bits = len(chars).bit_length()
     while width < depth:
         after = np.zeros_like(rank)
         after[:-width] = rank[width:]
         key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
+        if int(key.max()).bit_length() + bits <= 63:  # key and place in one number sort much faster
+            packed = np.sort((key << bits) | np.arange(len(key)))
+            order = packed & ((1 << bits) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -51,6 +59,8 @@ class Matcher:
         self.depth = vocab.longest
         self.names = [p for p, _ in keep]
         self.sizes = np.array([len(p) for p, _ in keep])
+        self.ids = np.array([i for _, i in keep])
+        self.pairs, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
         self.codes = np.zeros((len(keep), self.depth), dtype=np.uint32)
         for k, (p, _) in enumerate(keep):
             self.codes[k, : len(p)] = np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)
@@ -86,45 +96,84 @@ class Matcher:
         by = np.argsort(end * 64 + (63 - np.minimum(self.sizes[piece], 63)), kind="stable")
         return end[by], start[by], piece[by]
 
+    def _stays(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece stays whole behind the token before it; answers are kept, sorted by pair."""
+        key = before * len(self.names) + piece
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+        if not known.all():
+            fresh = np.unique(key[~known])
+            left, right = np.divmod(fresh, len(self.names))
+            text = lambda t: self.names[t] if t < len(self.names) else chr(t - len(self.names))
+            said = np.fromiter((self.vocab.follows(text(x), self.names[y]) for x, y in zip(left.tolist(), right.tolist())), dtype=bool, count=len(fresh))
+            if len(self.pairs) > MOST_PAIRS:  # only what this call needs is kept
+                fresh, back = np.unique(np.concatenate([fresh, key[known]]), return_index=True)
+                said = np.concatenate([said, self.answers[at[known]]])[back]
+                self.pairs, self.answers = fresh, said
+            else:
+                order = np.argsort(pairs := np.concatenate([self.pairs, fresh]), kind="stable")
+                self.pairs, self.answers = pairs[order], np.concatenate([self.answers, said])[order]
+            at = np.searchsorted(self.pairs, key)
+        return self.answers[at]
+
     def encode(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each segment as little-endian uint16."""
+        """The ids of each segment as little-endian uint16. All segments are relaxed together, one position after another."""
         joined = "\0".join(distinct) + "\0" * (self.depth + 1)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = np.array([len(s) for s in distinct])
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        starts_here = set(begin.tolist())
-        state: list[str | None] = [None] * (len(joined) + 1)
-        names, follows = self.names, self.vocab.follows
+        begin = np.cumsum(size + 1) - size - 1
+        inside = np.arange(len(chars)) - np.repeat(np.append(begin, begin[-1] + size[-1] + 1), np.append(size + 1, len(chars) - size.sum() - len(size)))
+        multi = len(self.names)
+        state = np.zeros(len(chars) + 1, dtype=np.int64)  # the last token of what ends here: a piece, or a character
+        state[1:] = chars.astype(np.int64) + multi
+        settled = np.zeros(len(chars) + 1, dtype=bool)
         end, start, piece = self.edges(chars)
-        filled = 0  # positions below this are settled
-
-        def settle(to: int) -> None:
-            """Positions that no longer piece has reached take their own character."""
-            nonlocal filled
-            for at in range(filled + 1, to + 1):
-                if state[at] is None:
-                    state[at] = joined[at - 1]
-            filled = max(filled, to)
-
-        for e, s, p in zip(end.tolist(), start.tolist(), piece.tolist()):
-            if filled < e - 1:
-                settle(e - 1)
-            if state[e] is None:
-                name = names[p]
-                if s in starts_here or follows(state[s], name):
-                    state[e] = name
-        settle(len(joined))
-        out = []
-        ids_of = self.vocab.token_ids
-        for b, n in zip(begin.tolist(), size.tolist()):
-            at, back = b + n, []
-            while at > b:
-                token = state[at]
-                back.append(token)
-                at -= len(token)
-            ids = [i for token in reversed(back) for i in ids_of(token)]
-            out.append(np.array(ids, dtype="<u2").tobytes())
-        return out
+        depth = end - start + inside[start]  # position of the end within its segment
+        turn = np.arange(len(end)) - np.maximum.accumulate(np.where(np.concatenate([[True], end[1:] != end[:-1]]), np.arange(len(end)), 0)) if len(end) else end
+        by = np.lexsort((turn, depth))
+        step = np.concatenate([[0], np.flatnonzero((depth[by][1:] != depth[by][:-1]) | (turn[by][1:] != turn[by][:-1])) + 1, [len(by)]])
+        for lo, hi in zip(step[:-1].tolist(), step[1:].tolist()):
+            e = by[lo:hi]
+            e = e[~settled[end[e]]]
+            if len(e):
+                s = start[e]
+                whole = inside[s] == 0
+                deep = np.flatnonzero(~whole)
+                if len(deep):
+                    whole[deep] = self._stays(state[s[deep]], piece[e[deep]])
+                e = e[whole]
+                state[end[e]] = piece[e]
+                settled[end[e]] = True
+        took = np.append(self.sizes, 1)
+        at, who, tokens, owners = begin + size, np.arange(len(distinct)), [], []
+        while len(who):
+            token = state[at]
+            tokens.append(token)
+            owners.append(who)
+            at = at - took[np.minimum(token, multi)]
+            more = at > begin[who]
+            at, who = at[more], who[more]
+        token, owner = np.concatenate(tokens[::-1]), np.concatenate(owners[::-1])
+        order = np.argsort(owner, kind="stable")
+        token, owner = token[order], owner[order]
+        single = np.unique(token[token >= multi])
+        spelled = [self.vocab.token_ids(chr(c - multi)) for c in single.tolist()]
+        ids, width = np.empty(len(token), dtype=np.int64), np.ones(len(token), dtype=np.int64)
+        plain = token < multi
+        ids[plain] = self.ids[token[plain]]
+        which = np.searchsorted(single, token[~plain])
+        if len(which):
+            ids[~plain] = np.array([x[0] for x in spelled])[which]
+            width[~plain] = np.array([len(x) for x in spelled])[which]
+        flat = np.repeat(ids, width)
+        if (width > 1).any():  # characters spelled as bytes
+            first = np.cumsum(width) - width
+            wide = np.flatnonzero(~plain)[np.array([len(x) for x in spelled])[which] > 1]
+            for k, w in zip(wide.tolist(), np.searchsorted(single, token[wide]).tolist()):
+                flat[first[k] : first[k] + width[k]] = spelled[w]
+        ends = np.cumsum(np.bincount(owner, weights=width, minlength=len(distinct)).astype(np.int64))
+        raw = flat.astype("<u2").tobytes()
+        return [raw[2 * a : 2 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 _matchers: dict[str, Matcher] = {}
@@ -142,7 +191,7 @@ def encode_slice(texts: list[str | None], path: str) -> list[np.ndarray]:
     lo = 0
     while lo < len(need):
         hi, total = lo, 0
-        while hi < len(need) and (hi == lo or total + len(need[hi]) < SLICE_CHARS):
+        while hi < len(need) and (hi == lo or total + len(need[hi]) < INDEX_CHARS):
             total += len(need[hi]) + 1
             hi += 1
         fresh.update(zip(need[lo:hi], _matchers[path].encode(need[lo:hi])))
@@ -170,6 +219,26 @@ def _slices(texts: list[str | None]):
         lo = hi
 
 
+def round_trips(vocab: PieceBpe, flat: np.ndarray, offsets: np.ndarray, texts: list[str | None]) -> list[bool]:
+    """Whether each text's ids decode to it: their bytes are laid out in runs of texts and compared."""
+    size = np.array([len(r) for r in vocab.raw])
+    first = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(vocab.raw), dtype=np.uint8)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + 200_000, side="right")) - 1)
+        ids = flat[offsets[lo] : offsets[hi]]
+        n = size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = table[np.arange(int(ends[-1])) + np.repeat(first[ids] - ends[:-1], n)].tobytes()
+        cut = ends[offsets[lo : hi + 1] - offsets[lo]].tolist()
+        for a, b, text in zip(cut[:-1], cut[1:], texts[lo:hi]):
+            want = (text or "").replace("▁", " ").encode("utf-8", "surrogatepass")
+            out.append(raw[a:b] == (b" " + want if want else want))
+        lo = hi
+    return out
+
+
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, token_ids, n_tokens and round_trip: whether decoding the ids gives the text back."""
 
@@ -184,7 +253,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 size = np.array([len(x) for x in ids], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                same = [vocab.decode(x.tolist()) == (t or "").replace("▁", " ") for x, t in zip(ids, texts[lo:hi])]
+                same = round_trips(vocab, flat, offsets, texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(size), pa.array(same, pa.bool_())],
                     names=[id_col, "token_ids", "n_tokens", "round_trip"],
