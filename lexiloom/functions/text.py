@@ -254,11 +254,10 @@ def has_accents(term: str) -> bool:
 
 
 def term_pattern(term: str) -> str:
-    """The pattern that a term searches for: sigmas folded, lower case, v/u and j/i folded (plain) or both allowed (accented)."""
+    """The pattern that a term searches for: sigmas folded, lower case, v and j folded to u and i (plain) or both allowed (accented)."""
     bare = term.lower().translate(str.maketrans("σς", "ϲϲ"))
     if has_accents(term):
-        bare = re.sub("[vu]", "[vu]", bare)
-        bare = re.sub("[ji]", "[ji]", bare)
+        bare = bare.replace("v", "[vu]").replace("j", "[ji]")
     else:
         bare = bare.translate(str.maketrans("vj", "ui"))
     return anchored(bare)
