@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -55,7 +56,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_chunks(batch, column: str = "text", most_bytes: int = 2 << 20, most_rows: int = 4096):
+def text_chunks(batch, column: str = "text", most_bytes: int = 1 << 20, most_rows: int = 4096):
     """Slices of an Arrow batch that hold about most_bytes of text and at most most_rows rows each (a longer text makes a
     slice of its own), so that numpy's working arrays stay small whatever the batch holds. Yields (slice, bytes as uint8,
     offsets); null reads as empty."""
@@ -78,6 +79,15 @@ def text_chunks(batch, column: str = "text", most_bytes: int = 2 << 20, most_row
         hi = min(hi, n, lo + most_rows)
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers outlive their tasks, and an idle one would keep it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
@@ -107,7 +117,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     wide = within >= len(_POWERS)
     power = _POWERS[np.where(wide, within % len(_POWERS), within)]
     if wide.any():  # words beyond 4096 bytes: fold the block number in
-        power = mix(power + (within // len(_POWERS)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        power[wide] = mix(power[wide] + (within[wide] // len(_POWERS)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     h = np.add.reduceat(mix(body * np.uint64(0xA24BAED4963EE407)) * power, at)
     return starts, ends, doc, mix(h + size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
