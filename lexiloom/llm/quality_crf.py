@@ -21,10 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, text_chunks, words
+from .shared import give_back, mix, text_chunks, words
 
 #: Labelled rows of each label that the fit reads at most.
-MOST_LABELLED = 700
+MOST_LABELLED = 1000
 STEPS = 150
 
 _KIND = np.zeros(256, dtype=np.int64)  # 0 other
@@ -227,20 +227,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns named in keep, score and predicted for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [id_col, *keep]
+    text = text_col if text_col in keep else "text_"
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part, data, offsets in text_chunks(batch, "text_"):
+            for part, data, offsets in text_chunks(batch, text):
                 s = held.value.scores(data, offsets)
-                kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text_"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*(n for n in part.schema.names if n != "text_"), "score_", "predicted_"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*part.schema.names[: len(kept)], "score_", "predicted_"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    rows = docs.select(id_col, *keep, F.col(text_col).alias("text_"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    rows = docs.select(*kept, *([] if text_col in keep else [F.col(text_col).alias("text_")]))
     return rows.mapInArrow(run, f"{kinds}, score_ double, predicted_ int").withColumnsRenamed({"score_": "score", "predicted_": "predicted"})
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, **columns) -> QualityModel:
-    return fit(*labelled_sample(docs, labels, most, **columns))
+    model = fit(*labelled_sample(docs, labels, most, **columns))
+    give_back()
+    return model

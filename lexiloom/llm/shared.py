@@ -79,11 +79,12 @@ def text_chunks(batch, column: str = "text", most_bytes: int = 1 << 20, most_row
         hi = min(hi, n, lo + most_rows)
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, where the C library can: workers outlive their tasks, and an idle one would keep it."""
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers outlive their tasks and the driver its fits, and
+    would keep it."""
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
