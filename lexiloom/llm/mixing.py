@@ -24,14 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_chunks, words, written
+from .shared import give_back, text_chunks, words, written
 
 MOST_LABELLED = 500
 BUCKET_BITS = 22
 #: Word buckets that the classifier looks at, at most, and the likelihood ratio that each must reach.
 FEATURES = 256
 LEAST_SURPRISE = 45.0
-STEPS = 25
+STEPS = 40
 #: Fitting ends when no domain is off its target by more than this share of all tokens.
 CLOSE = 1e-3
 
@@ -102,13 +102,15 @@ def fit(texts: list[str | None], domain: list[int], names: tuple[str, ...], rows
     y = np.array(domain)
     doc, bucket, _ = _buckets(data, offsets)
     pair = np.unique((doc << BUCKET_BITS) | bucket)
-    have = np.stack([np.bincount(pair[y[pair >> BUCKET_BITS] == d] & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS) for d in range(k)], axis=1).astype(float)
+    met, place = np.unique(pair & ((1 << BUCKET_BITS) - 1), return_inverse=True)
+    of = y[pair >> BUCKET_BITS]
+    have = np.stack([np.bincount(place[of == d], minlength=len(met)) for d in range(k)], axis=1).astype(float)
     n_of = np.bincount(y, minlength=k).astype(float)
     expected = have.sum(axis=1, keepdims=True) * n_of / len(y)
     surprise = (2 * have * np.log(np.maximum(have, 1e-9) / np.maximum(expected, 1e-9))).max(axis=1)  # likelihood ratio
     best = np.argsort(-surprise, kind="stable")[:FEATURES]
     best = best[surprise[best] >= LEAST_SURPRISE]
-    slot[best] = np.arange(len(best))
+    slot[met[best]] = np.arange(len(best))
     x = _design(slot, doc, bucket, data, offsets)
     prior = np.array(rows, dtype=float) if rows else n_of
     weight = (prior / prior.sum() / n_of)[y][:, None]
@@ -143,24 +145,29 @@ def train(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], most: in
     rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(picked), "id_").select("id_", "domain_", "text_").collect()
     rows.sort(key=lambda r: (r.id_, r.domain_, r.text_ or ""))
     names = tuple(sorted({r.domain_ for r in rows})) or ("all",)
-    return fit([r.text_ for r in rows], [names.index(r.domain_) for r in rows], names, [total[n] for n in names])
+    model = fit([r.text_ for r in rows], [names.index(r.domain_) for r in rows], names, [total[n] for n in names])
+    give_back()
+    return model
 
 
-def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
-    """All columns of docs under `row`, n_tokens and posterior (in the order of the model's names)."""
+def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of docs (the text only if asked for) under `row`, n_tokens and posterior (in the order of the model's names)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [f for f in docs.columns if f != text_col]
+    at = docs.columns.index(text_col)
+    others = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part, data, offsets in text_chunks(batch, "text_"):
+            row, text = (batch.column(0), batch.column(0).field(at)) if keep_text else (batch.column(0), batch.column(1))
+            both = pa.RecordBatch.from_arrays([row, text], names=["row", "text_"])
+            for part, data, offsets in text_chunks(both, "text_"):
                 p, size = held.value.posteriors(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]).astype(np.int32)), pa.array(p.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), lists], names=["row", "n_tokens", "posterior"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text_col}`").alias("text_"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), *([] if keep_text else [F.col(f"`{text_col}`").alias("text_")]))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {kind}, n_tokens long, posterior array<double>")
 
@@ -177,7 +184,8 @@ def _array(column) -> np.ndarray:
 
 
 def _sums(rated: DataFrame, history: list[np.ndarray], least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected token totals of the domains at the present rates, and sum of tokens * posterior * posterior'."""
+    """Expected token totals of the domains at the present rates, and the sum of tokens * posterior * posterior' over the documents
+    whose rate is free to fall."""
 
     def run(batches):
         import pyarrow as pa
@@ -186,8 +194,9 @@ def _sums(rated: DataFrame, history: list[np.ndarray], least: float, k: int) ->
         for batch in batches:
             if batch.num_rows:
                 n, p = np.asarray(batch.column(0), dtype=float), _array(batch.column(1))
-                total[:k] += (n * _rates(p, history, least)) @ p
-                total[k:] += ((p * n[:, None]).T @ p).reshape(-1)
+                r = _rates(p, history, least)
+                total[:k] += (n * r) @ p
+                total[k:] += ((p * (n * (r > least))[:, None]).T @ p).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
     out = np.zeros(k + k * k)
@@ -196,10 +205,10 @@ def _sums(rated: DataFrame, history: list[np.ndarray], least: float, k: int) ->
     return out[:k], out[k:].reshape(k, k)
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str, least: float = 0.0, steps: int = STEPS, text_col: str = "text"):
-    """A table of row (the columns of docs but the text), n_tokens, posterior and rate; the targets; and the fitted totals."""
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str, least: float = 0.0, steps: int = STEPS, text_col: str = "text", keep_text: bool = False):
+    """A table of row (the columns of docs, the text only if asked for), n_tokens, posterior and rate; the targets; and the fitted totals."""
     k = len(model.names)
-    rated = written(posteriors(docs, model, text_col), "posteriors")
+    rated = written(posteriors(docs, model, text_col, keep_text), "posteriors")
     share = np.array([max(weights.get(n, 0.0), 0.0) for n in model.names])
     share = share / share.sum() if share.sum() else np.full(k, 1 / k)
     history: list[np.ndarray] = []
@@ -209,24 +218,24 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], anchor:
     target = share * (now[at] / share[at] if share[at] else tokens)
     scale = np.maximum(now, 1e-3 * tokens)
     root = 1 / np.sqrt(scale)
-    step = 1 / max(np.linalg.eigvalsh(root[:, None] * outer * root[None])[-1], 1e-9)
     for _ in range(steps):
         off = now - target
         if np.abs(off).max() <= CLOSE * tokens or k < 2:
             break
+        step = 1 / max(np.linalg.eigvalsh(root[:, None] * outer * root[None])[-1], 1e-9)
         history.append(step * off / scale)
-        now, _ = _sums(rated, history, least, k)
+        now, outer = _sums(rated, history, least, k)
 
-    def run(batches):
-        import pyarrow as pa
+    return rated.withColumn("rate", rate_column(history, k, least)), dict(zip(model.names, target.tolist())), dict(zip(model.names, now.tolist()))
 
-        for batch in batches:
-            if batch.num_rows:
-                r = _rates(_array(batch.column(batch.schema.get_field_index("posterior"))), history, least)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rated.schema)
-    return rated.mapInArrow(run, f"{kinds}, rate double"), dict(zip(model.names, target.tolist())), dict(zip(model.names, now.tolist()))
+def rate_column(history: list[np.ndarray], k: int, least: float):
+    """Column: a document's rate from its posterior and the steps' gradients, so that rows need not leave the JVM."""
+    if not history:
+        return F.lit(1.0)
+    steps = F.array(*(F.array(*(F.lit(float(v)) for v in g)) for g in history))
+    fall = lambda g: sum((F.get("posterior", F.lit(i)) * F.get(g, F.lit(i)) for i in range(k)), F.lit(0.0))
+    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(float(least)), r - fall(g)))
 
 
 def copies(rate, key, nearest: bool = False):
