@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.interim import written
 
 
 def sentence_words(works: DataFrame) -> DataFrame:
@@ -93,14 +94,16 @@ def cooccurrence(sentences: DataFrame, focus: str) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
-    """id, word, w: term frequency times ln(N / df), of unit length for each document."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    """id, word, w: term frequency times ln(N / df), of unit length for each document. Counts and weights are written in between, as
+    each is read more than once."""
+    tf = written(docs.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf")), "term_counts")
     n = docs.agg(F.count("*").alias("n"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     rows = tf.join(df, "word").join(F.broadcast(n))  # one row
     rows = rows.select("id", "word", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w")).where("w > 0")
-    length = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return rows.join(length, "id").select("id", "word", (F.col("w") / F.col("length")).alias("w"))
+    length = F.sqrt(F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    rows = rows.groupBy("id").agg(F.collect_list(F.struct("word", "w")).alias("all")).withColumn("length", length)
+    return written(rows.select("id", F.explode("all").alias("x"), "length").select("id", "x.word", (F.col("x.w") / F.col("length")).alias("w")), "term_weights")
 
 
 def best_tfidf_matches(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
