@@ -144,14 +144,14 @@ def hits_by_author(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("share", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("corpus")), 4))
 
 
-@query("SELECT user_id, event_type, count(*)::BIGINT AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, count(*)::BIGINT AS n, min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last FROM events GROUP BY user_id, event_type")
 def timeline_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return corpus.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts)::VARCHAR AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming count's result over the whole table, as a batch."""
     from ..streaming.search import windowed_counts
 
-    return windowed_counts(corpus.table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+    return windowed_counts(corpus.table(spark, sf, "events")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("string"))
