@@ -8,8 +8,6 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = "  "
-
 
 def _fold_table() -> tuple[str, str]:
     """Letters of the Latin and Greek blocks and the plain lower-case letter that searches take each for: accents and breathings go,
@@ -44,7 +42,7 @@ def strip_markup(column: Column) -> Column:
 
 def tokens(column: Column) -> Column:
     """Words of a line: blanks and no-break blanks part them, empty ones go."""
-    return F.filter(F.split(F.translate(column, " ", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.translate(column, "\u00a0", " "), " "), lambda w: w != "")
 
 
 def word_count(column: Column) -> Column:
@@ -108,9 +106,13 @@ def is_latin(column: Column) -> Column:
     return column.rlike("[a-z]")
 
 
+# fixed value: the mark that holds an inline annotation
+ANNOTATION = r'<hmu_metadata_notes value="([^"]*)"\s*/>'
+
+
 def annotations(column: Column) -> Column:
     """Values of inline annotation marks."""
-    return F.regexp_extract_all(column, F.lit(r'<hmu_metadata_notes value="([^"]*)"\s*/>'), F.lit(1))
+    return F.regexp_extract_all(column, F.lit(ANNOTATION), F.lit(1))
 
 
 BRACKETS = {"square": ("[", "]"), "round": ("(", ")"), "angled": ("⟨", "⟩"), "curly": ("{", "}")}
@@ -204,7 +206,7 @@ def u_for_v_outside_markup(column: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(F.translate(p, "vV", "uU"))), "")
 
 
-#: Beta code: the letters' plain equivalents, and the marks' combining characters.
+# fixed values: the letters of beta code and their Greek ones, and the combining characters of its marks
 BETA_LETTERS = ("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρϲτυφχψω")
 BETA_MARKS = {")": "̓", "(": "̔", "/": "́", "\\": "̀", "=": "͂", "+": "̈", "|": "ͅ"}
 
