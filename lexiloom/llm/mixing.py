@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, text_chunks, words, written
+from .shared import give_back, joined_chunks, text_chunks, words, written
 
 MOST_LABELLED = 500
 BUCKET_BITS = 22
@@ -97,11 +97,12 @@ def fit(texts: list[str | None], domain: list[int], names: tuple[str, ...], rows
     slot = np.full(1 << BUCKET_BITS, -1, dtype=np.int16)
     if k < 2:
         return DomainModel(names, slot, np.zeros((_N_GROUPS, k)), np.zeros(k))
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    y = np.array(domain)
-    doc, bucket, _ = _buckets(data, offsets)
-    pair = np.unique((doc << BUCKET_BITS) | bucket)
+    y, pairs, groups = np.array(domain), [], []
+    for lo, data, offsets in joined_chunks(texts):
+        doc, bucket, _ = _buckets(data, offsets)
+        pairs.append(np.unique(((doc + lo) << BUCKET_BITS) | bucket))
+        groups.append(_group_shares(data, offsets))
+    pair = np.concatenate(pairs)
     met, place = np.unique(pair & ((1 << BUCKET_BITS) - 1), return_inverse=True)
     of = y[pair >> BUCKET_BITS]
     have = np.stack([np.bincount(place[of == d], minlength=len(met)) for d in range(k)], axis=1).astype(float)
@@ -111,7 +112,10 @@ def fit(texts: list[str | None], domain: list[int], names: tuple[str, ...], rows
     best = np.argsort(-surprise, kind="stable")[:FEATURES]
     best = best[surprise[best] >= LEAST_SURPRISE]
     slot[met[best]] = np.arange(len(best))
-    x = _design(slot, doc, bucket, data, offsets)
+    x = np.zeros((len(y), len(best) + _N_GROUPS), dtype=np.float32)
+    x[:, len(best) :] = np.concatenate(groups)
+    feature = slot[pair & ((1 << BUCKET_BITS) - 1)]
+    x[pair[feature >= 0] >> BUCKET_BITS, feature[feature >= 0]] = 1
     prior = np.array(rows, dtype=float) if rows else n_of
     weight = (prior / prior.sum() / n_of)[y][:, None]
     truth = np.eye(k)[y]

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, mix, text_chunks, words
+from .shared import give_back, joined_chunks, mix, text_chunks, words
 
 #: Labelled rows of each label that the fit reads at most.
 MOST_LABELLED = 1000
@@ -169,13 +169,12 @@ def link(mean, slope, shift):
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> QualityModel:
     """Maximum likelihood with a small ridge by Adam; both labels weigh alike."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     y = np.array(labels, dtype=np.int64)
-    if len(raw) == 0 or y.min() == y.max():
+    if len(texts) == 0 or y.min() == y.max():
         n = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
         return QualityModel(np.zeros(n), np.ones(n), np.zeros((3 * n + 3, 2)), np.zeros((2, 2)), 0.0, 0.0)
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    x, doc, size = line_features(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
+    parts = [(lo, *line_features(data, offsets)) for lo, data, offsets in joined_chunks(texts)]
+    x, doc, size = (np.concatenate(p) for p in ([x for _, x, _, _ in parts], [doc + lo for lo, _, doc, _ in parts], [size for _, _, _, size in parts]))
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = with_neighbours(((x - mean) / spread).astype(np.float32), doc)
     lines = np.bincount(doc, minlength=len(y)).astype(float)

@@ -62,7 +62,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = table(spark, sf_dir, "labels").where(crc32_of_id("doc_id") % 3 != 1)
     model = quality_crf.train(docs, learn)
-    rows = docs.select("doc_id", "text", (crc32_of_id("doc_id") % 3 == 1).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(crc32_of_id("doc_id") % 3 == 1, F.lit(False)).alias("held_out"))
     return quality_crf.score(rows, model, keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
 
 
