@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: each document as often as the number nearest to its rate says, so that a document that needs no change stays."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), ("toxic",))
-    rated, _, _ = mixing.mix(docs.withColumn("text_", F.col("text")), model, MIX, anchor="toxic0", text_col="text_")
+    rated, _, _ = mixing.mix(docs, model, MIX, anchor="toxic0", keep_text=True)
     take = mixing.copies(F.col("rate"), F.col("row.doc_id"), nearest=True)
     rows = rated.withColumn("take_", take).where("take_ > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("take_"))).alias("one_"))
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
