@@ -8,7 +8,7 @@ ids the public library gives. A text's ids are those of its segments, one after
 
 Defined results: null encodes as empty; an empty text has no ids; a character outside the vocabulary becomes its UTF-8 byte
 pieces; decoding gives back the text that was encoded (a blank mark in it as the blank that it stands for), and U+FFFD for ids whose bytes are no UTF-8. Repeated rows give repeated
-rows. Memory: texts pass in slices of about 3 MB, a worker keeps at most MOST_KEPT segments.
+rows. Memory: texts pass in slices of about 1 MB, a worker keeps at most MOST_KEPT segments.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_bpe import PieceBpe, segments, vocabulary
+from .shared import give_back
 
-MOST_KEPT = 600_000
+MOST_KEPT = 400_000
 LONGEST_KEPT = 60
 #: Pairs of neighbouring tokens whose answer a worker keeps.
 MOST_PAIRS = 2_000_000
 #: Characters of text taken together; and of distinct segments indexed together.
-SLICE_CHARS = 3 << 20
-INDEX_CHARS = 1 << 20
+SLICE_CHARS = 1 << 20
+INDEX_CHARS = 1 << 19
 
 
 def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
@@ -89,11 +90,11 @@ class Matcher:
         order = order[order < len(chars) - self.depth]
         first, last = self._bound(chars, order, False), self._bound(chars, order, True)
         count = last - first
-        piece = np.repeat(np.arange(len(count)), count)
-        within = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        start = order[np.repeat(first, count) + within]
-        end = start + self.sizes[piece]
-        by = np.argsort(end * 64 + (63 - np.minimum(self.sizes[piece], 63)), kind="stable")
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        within = np.arange(len(piece), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+        start = order.astype(np.int32)[np.repeat(first.astype(np.int32), count) + within]
+        end = start + self.sizes.astype(np.int32)[piece]
+        by = np.argsort(end.astype(np.int64) * 64 + (63 - np.minimum(self.sizes[piece], 63)), kind="stable")
         return end[by], start[by], piece[by]
 
     def _stays(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -129,7 +130,8 @@ class Matcher:
         settled = np.zeros(len(chars) + 1, dtype=bool)
         end, start, piece = self.edges(chars)
         depth = end - start + inside[start]  # position of the end within its segment
-        turn = np.arange(len(end)) - np.maximum.accumulate(np.where(np.concatenate([[True], end[1:] != end[:-1]]), np.arange(len(end)), 0)) if len(end) else end
+        place = np.arange(len(end), dtype=np.int32)
+        turn = place - np.maximum.accumulate(np.where(np.concatenate([[True], end[1:] != end[:-1]]), place, 0)) if len(end) else end
         by = np.lexsort((turn, depth))
         step = np.concatenate([[0], np.flatnonzero((depth[by][1:] != depth[by][:-1]) | (turn[by][1:] != turn[by][:-1])) + 1, [len(by)]])
         for lo, hi in zip(step[:-1].tolist(), step[1:].tolist()):
@@ -258,6 +260,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                     [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(size), pa.array(same, pa.bool_())],
                     names=[id_col, "token_ids", "n_tokens", "round_trip"],
                 )
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, n_tokens long, round_trip boolean")
