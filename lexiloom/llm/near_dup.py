@@ -9,8 +9,11 @@ sketch is shared most, and one picked by hash, another for each list. What verif
 pairs left between different components. It needs only the shortest lists of each sketch: two sketches of K values that share
 LEAST_SHARED of them share one among the K - LEAST_SHARED + 1 that come first when values are ordered by the length of their lists.
 So a passage that many documents share drops out, unless a document is little else. Lists of at most SHORT_LIST such members are
-compared whole. In longer ones, most members of which round 1 has joined into one component, all others are paired with all
-members, if that makes at most MOST_PAIRS; a list with more keeps to the hub pairs that round 1 did not verify.
+compared whole. In longer ones, most members of which round 1 has joined into one component, all others are compared with all
+members: blocks of both meet in tasks that count shared values of sketches and let out only pairs that may be links. The first
+rounds (AT_FIRST) verify the likeliest pairs of each such document, which joins most of them; the last verifies all pairs that
+still lie in different components, so that none is left out. The work of the last round grows with the documents outside times
+the members of their lists.
 
 Defined results: null and empty texts have an empty set and no links; fewer words than a shingle make one shingle of them all;
 all rows of one id are one node of the graph (each row keeps its own n_shingles); a null id has a null component and is kept.
@@ -33,8 +36,10 @@ WIDTH = 5
 SHORT_LIST = 64
 LEAST_SHARED = 12
 LEAST_ESTIMATE = LEAST_SHARED / K
-#: A long list is compared with its members outside its largest component up to this many pairs, as many as a short one makes.
-MOST_PAIRS = SHORT_LIST * SHORT_LIST // 2
+#: Members of a long list that meet in one task, on each side, about.
+BLOCK = 1024
+#: Pairs a document and block that the rounds before the last verify.
+AT_FIRST = (4, 64)
 #: Ids are broadcast to filter texts up to this many (8 bytes each); beyond, both sides are shuffled.
 MOST_BROADCAST_IDS = 500_000
 
@@ -111,6 +116,61 @@ def _candidates(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return rows.select("x", "hub", estimate(F.col("sketch_x"), F.col("sketch_hub"), k).alias("likely")).where(F.col("likely") >= LEAST_ESTIMATE)
 
 
+def _block_pairs(table, most: int | None):
+    """Of a block of a list's members outside its largest component and a block of all its members: pairs (x, hub) of different
+    components whose sizes and numbers of shared values allow a link; of each x the `most` that share the most."""
+    import pyarrow as pa
+
+    outside, n, c, rep = (table.column(name).to_numpy() for name in ("outside", "n", "c_rep", "rep"))
+    lists = table.column("sketch").combine_chunks()
+    width = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(rep)), width)
+    met, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    place = np.zeros(len(rep), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    mine = outside[row]
+    both = (np.bincount(at[mine], minlength=len(met)) > 0) & (np.bincount(at[~mine], minlength=len(met)) > 0)
+    slot = np.where(both, np.cumsum(both) - 1, -1)[at]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(both.sum()), BLOCK):
+        here = (slot >= lo) & (slot < lo + BLOCK)
+        a, b = np.zeros((len(left), BLOCK), np.float32), np.zeros((len(right), BLOCK), np.float32)
+        a[place[row[here & mine]], slot[here & mine] - lo] = 1
+        b[place[row[here & ~mine]], slot[here & ~mine] - lo] = 1
+        shared += a @ b.T
+    n_a, n_b = n[left][:, None], n[right][None]
+    fits = (shared >= LEAST_ESTIMATE * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
+    # two members outside meet twice
+    fits &= (c[left][:, None] != c[right][None]) & ((c[right] == table.column("c_most")[0].as_py())[None] | (rep[left][:, None] < rep[right][None]))
+    if most is not None and most < len(right):
+        best = np.argpartition(np.where(fits, -shared, 1), most - 1, axis=1)[:, :most]
+        few = np.zeros_like(fits)
+        np.put_along_axis(few, best, True, axis=1)
+        fits &= few
+    i, j = np.nonzero(fits)
+    return pa.table({"x": pa.array(rep[left][i]), "hub": pa.array(rep[right][j])})
+
+
+def _long_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (x, hub) of different components that meet in long lists. members: v, rep, c_rep, and of the list n_list, n_outside and
+    c_most, its size, the number of its members outside its largest component, and that component."""
+    rows = members.join(reps.select("rep", "n", "sketch"), "rep")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    one = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), parts(c)).cast("int")
+    what = ["v", "rep", "c_rep", "c_most", "n", "sketch"]
+    left = rows.where("c_rep <> c_most").select(*what, F.lit(True).alias("outside"), one("n_outside", 1).alias("i"), every("n_list").alias("j"))
+    right = rows.select(*what, F.lit(False).alias("outside"), every("n_outside").alias("i"), one("n_list", 2).alias("j"))
+    return left.unionByName(right).groupBy("v", "i", "j").applyInArrow(lambda t: _block_pairs(t, most), "x long, hub long")
+
+
+def _mixed(early: DataFrame) -> DataFrame:
+    """Lists (v) whose members lie in several components: n_list, n_outside, c_most."""
+    counted = early.groupBy("v", "c_rep").agg(F.count("*").alias("n")).groupBy("v").agg(F.sum("n").alias("n_list"), F.max(F.struct("n", (-F.col("c_rep")).alias("col2"))).alias("most")).where("n_list > most.n")
+    return counted.select("v", "n_list", (F.col("n_list") - F.col("most.n")).alias("n_outside"), (-F.col("most.col2")).alias("c_most"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, columns: dict) -> DataFrame:
     """Those pairs (x, hub) with 100 * intersection >= 75 * union on full sets, as links a, b."""
     ids = written(pairs.select(F.explode(F.array("x", "hub")).alias("id")).distinct(), "verify_ids")
@@ -150,18 +210,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = of(of(first.select("x", "hub"), "x"), "hub").where("c_x <> c_hub").select("x", "hub")
     least = F.when(F.col("width") >= k, F.lit(LEAST_SHARED * k // K)).otherwise(F.ceil(F.col("width") / 2))
     early = written(of(lists.where(F.col("rank") <= F.col("width") - least + 1).select("v", "rep"), "rep"), "early_lists")
-    counted = early.groupBy("v", "c_rep").agg(F.count("*").alias("n")).groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", (-F.col("c_rep")).alias("col2"))).alias("most")).where("n > most.n")
-    mixed = written(counted.select("v", "n", (F.col("n") - F.col("most.n")).alias("outside"), (-F.col("most.col2")).alias("c_most")), "mixed_lists")
-    members = early.join(mixed.where(F.col("n") <= short_list).select("v"), "v").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c_rep", "rep"))).alias("m"))
+    mixed = written(_mixed(early), "mixed_lists")
+    members = early.join(mixed.where(F.col("n_list") <= short_list).select("v"), "v").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c_rep", "rep"))).alias("m"))
     apart = F.expr("explode(flatten(transform(m, (p, i) -> transform(filter(slice(m, i + 2, size(m)), q -> q.c_rep <> p.c_rep), q -> struct(p.rep as x, q.rep as hub)))))")
     cross = members.select(apart.alias("p")).select("p.x", "p.hub")
-    long_ = early.join(mixed.where((F.col("n") > short_list) & (F.col("outside") * F.col("n") <= MOST_PAIRS)).select("v", "c_most"), "v")
-    outside = long_.where("c_rep <> c_most").select("v", F.col("rep").alias("x"), F.col("c_rep").alias("c_x"))
-    cross = cross.union(outside.join(long_.select("v", F.col("rep").alias("hub"), "c_rep"), "v").where("c_rep <> c_x").select("x", "hub"))
-    cross = cross.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")).distinct()
-    second = written(_candidates(cross, reps, k).select("x", "hub").union(rest).distinct(), "cross_pairs")
-    more = _verified(second, docs, columns)
-    parts = components(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
+    long_ = written(early.join(mixed.where(F.col("n_list") > short_list), "v"), "long_lists")
+    for most in (*AT_FIRST, None):
+        cross = cross.union(_long_pairs(long_, reps, most)).select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")).distinct()
+        second = written(_candidates(written(cross, "met_pairs"), reps, k).select("x", "hub").union(rest).distinct(), "cross_pairs")
+        more = _verified(second, docs, columns)
+        parts = written(components(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), "components2")
+        again = of(long_.select("v", "rep"), "rep")
+        long_ = written(again.join(_mixed(again), "v"), "long_lists")
+        if long_.isEmpty():
+            break
+        cross, rest = cross.limit(0), rest.limit(0)
 
     labelled = reps.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = all_rows.select("id", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"], "left")

@@ -54,6 +54,20 @@ def test_copies_of_a_base_and_a_shared_passage(spark, short_list):
     check(spark, rows, short_list=short_list)
 
 
+def test_long_lists_are_compared_beyond_their_hubs(spark, monkeypatch):
+    """Copies of a text that lack three of its sections each and one word more: near those that lack the same, and few hubs are."""
+    monkeypatch.setattr(near_dup, "BLOCK", 300, raising=False)
+    rng = random.Random(9)
+    sections = [[f"w{s}x{k}" for k in range(10)] for s in range(16)]
+    rows = []
+    for group in range(16):
+        lacks = rng.sample(range(16), 3)
+        text = [w for s, words in enumerate(sections) if s not in lacks for w in words]
+        rows += [(100 * group + k, " ".join(edited(rng, text, 1))) for k in range(60)]
+    rng.shuffle(rows)
+    check(spark, rows, short_list=8, k=16)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(1, 50)]
