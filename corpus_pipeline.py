@@ -15,9 +15,10 @@ from lexiloom.llm import mixing, near_dup, quality_crf, sentencepiece_codec
 from lexiloom.llm.queries import piece_model, table
 from lexiloom.llm.shared import written
 
-#: Shares of the expected tokens by the label `toxic`. A part of the labels is noise, so that every document carries some
-#: probability of being toxic; these weights take out those that surely are.
-MIX = {"toxic0": 0.95, "toxic1": 0.05}
+#: Rates this near to one are one copy; others are drawn by hash, so that the fitted totals are delivered.
+NEAR_ONE = 0.25
+#: The fit of the rates ends when no domain is off its target by more than this share of all tokens.
+CLOSE = 1e-4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: each document as often as the number nearest to its rate says, so that a document that needs no change stays."""
+    """Operator 6: documents that are likelier toxic go. The targets are the expected tokens of the others, so they hold for any part
+    of toxic documents and any noise of the labels; copies are drawn by hash where a rate is away from one."""
     model = mixing.train(docs, table(spark, sf_dir, "labels"), ("toxic",))
-    rated, _, _ = mixing.mix(docs, model, MIX, anchor="toxic0", keep_text=True)
-    take = mixing.copies(F.col("rate"), F.col("row.doc_id"), nearest=True)
+    rated, _, _ = mixing.mix(docs, model, None, anchor="toxic0", keep_text=True, close=CLOSE)
+    take = F.when(F.abs(F.col("rate") - 1) <= NEAR_ONE, 1).otherwise(mixing.copies(F.col("rate"), F.col("row.doc_id")))
     rows = rated.withColumn("take_", take).where("take_ > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("take_"))).alias("one_"))
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 

@@ -209,22 +209,33 @@ def _sums(rated: DataFrame, history: list[np.ndarray], least: float, k: int) ->
     return out[:k], out[k:].reshape(k, k)
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str, least: float = 0.0, steps: int = STEPS, text_col: str = "text", keep_text: bool = False):
-    """A table of row (the columns of docs, the text only if asked for), n_tokens, posterior and rate; the targets; and the fitted totals."""
+def likeliest_totals(rated: DataFrame, at: int, k: int) -> np.ndarray:
+    """Expected token totals of the domains over the documents whose likeliest domain is the one at `at`."""
+    mine = F.array_position("posterior", F.array_max("posterior")) == at + 1
+    sums = [F.coalesce(F.sum(F.when(mine, F.col("n_tokens") * F.get("posterior", F.lit(i)))), F.lit(0.0)) for i in range(k)]
+    return np.array(rated.agg(*sums).first(), dtype=float)
+
+
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None, anchor: str, least: float = 0.0, steps: int = STEPS, text_col: str = "text", keep_text: bool = False, close: float = CLOSE):
+    """A table of row (the columns of docs, the text only if asked for), n_tokens, posterior and rate; the targets; and the fitted totals.
+    Without weights the targets are what the anchor's documents hold by themselves (those that likeliest belong to it): no
+    domain's target exceeds its present total, whatever part of the documents or labels lies elsewhere."""
     k = len(model.names)
     rated = written(posteriors(docs, model, text_col, keep_text), "posteriors")
-    share = np.array([max(weights.get(n, 0.0), 0.0) for n in model.names])
+    share = np.array([max((weights or {}).get(n, 0.0), 0.0) for n in model.names])
     share = share / share.sum() if share.sum() else np.full(k, 1 / k)
     history: list[np.ndarray] = []
     now, outer = _sums(rated, history, least, k)
     tokens = max(now.sum(), 1.0)
     at = model.names.index(anchor) if anchor in model.names else int(np.argmax(share))
     target = share * (now[at] / share[at] if share[at] else tokens)
+    if weights is None:
+        target = likeliest_totals(rated, at, k) if anchor in model.names else now
     scale = np.maximum(now, 1e-3 * tokens)
     root = 1 / np.sqrt(scale)
     for _ in range(steps):
         off = now - target
-        if np.abs(off).max() <= CLOSE * tokens or k < 2:
+        if np.abs(off).max() <= close * tokens or k < 2:
             break
         step = 1 / max(np.linalg.eigvalsh(root[:, None] * outer * root[None])[-1], 1e-9)
         history.append(step * off / scale)

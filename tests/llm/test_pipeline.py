@@ -43,6 +43,23 @@ def test_stages(spark, folder):
     assert len(last) == mixed.count() and all(r.round_trip for r in last)
 
 
+def test_few_toxic_documents_go_and_shares_are_delivered(spark, tmp_path):
+    """Toxic documents are 3 % and the labels without noise: less than any fixed share of the tokens would take out."""
+    rng = random.Random(8)
+    rows = [(i, t + " You idiot scum!" * (i % 66 == 1) + f" {' '.join(f'u{rng.randrange(10**6)}' for _ in range(30))}") for i, t in labelled(800) if i % 2]
+    toxic = {i for i, _ in rows if i % 66 == 1}
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = brute.docs(spark, rows).select(*COLUMNS)
+    left = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in left) == [i for i, _ in rows if i not in toxic]
+    model = corpus_pipeline.mixing.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), ("toxic",))
+    rated, target, fitted = corpus_pipeline.mixing.mix(docs, model, None, anchor="toxic0")
+    held = {r.row.doc_id: (r.n_tokens, r.posterior) for r in rated.collect()}
+    for k, name in enumerate(model.names):
+        have = sum(held[r.doc_id][0] * held[r.doc_id][1][k] for r in left)
+        assert abs(have - fitted[name]) <= 0.01 * sum(fitted.values()) and target[name] <= sum(n * p[k] for n, p in held.values())
+
+
 def test_run_over_no_rows(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
