@@ -10,10 +10,10 @@ pairs left between different components. It needs only the shortest lists of eac
 LEAST_SHARED of them share one among the K - LEAST_SHARED + 1 that come first when values are ordered by the length of their lists.
 So a passage that many documents share drops out, unless a document is little else. Lists of at most SHORT_LIST such members are
 compared whole. In longer ones, most members of which round 1 has joined into one component, all others are compared with all
-members: blocks of both meet in tasks that count shared values of sketches and let out only pairs that may be links. The first
-rounds (AT_FIRST) verify the likeliest pairs of each such document, which joins most of them; the last verifies all pairs that
-still lie in different components, so that none is left out. The work of the last round grows with the documents outside times
-the members of their lists.
+members, block by block: in round 2 by the shared values of their sketches, and the AT_FIRST likeliest of each document and block are
+verified, which joins most of them; in round 3, where a list still holds several components, on their full sets inside the task,
+which sends back no pairs but the links of a spanning forest. So no pair of a list is left out. The work of round 3 grows with the
+documents outside times the members of their lists.
 
 Defined results: null and empty texts have an empty set and no links; fewer words than a shingle make one shingle of them all;
 all rows of one id are one node of the graph (each row keeps its own n_shingles); a null id has a null component and is kept.
@@ -36,10 +36,11 @@ WIDTH = 5
 SHORT_LIST = 64
 LEAST_SHARED = 12
 LEAST_ESTIMATE = LEAST_SHARED / K
-#: Members of a long list that meet in one task, on each side, about.
+#: Members of a long list that meet in one task, on each side, about, and the shingles of their sets.
 BLOCK = 1024
-#: Pairs a document and block that the rounds before the last verify.
-AT_FIRST = (4, 64)
+BLOCK_SHINGLES = 500_000
+#: Pairs a document and block that round 2 verifies.
+AT_FIRST = 4
 #: Ids are broadcast to filter texts up to this many (8 bytes each); beyond, both sides are shuffled.
 MOST_BROADCAST_IDS = 500_000
 
@@ -116,34 +117,50 @@ def _candidates(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return rows.select("x", "hub", estimate(F.col("sketch_x"), F.col("sketch_hub"), k).alias("likely")).where(F.col("likely") >= LEAST_ESTIMATE)
 
 
-def _block_pairs(table, most: int | None):
-    """Of a block of a list's members outside its largest component and a block of all its members: pairs (x, hub) of different
-    components whose sizes and numbers of shared values allow a link; of each x the `most` that share the most."""
-    import pyarrow as pa
-
-    outside, n, c, rep = (table.column(name).to_numpy() for name in ("outside", "n", "c_rep", "rep"))
-    lists = table.column("sketch").combine_chunks()
-    width = lists.value_lengths().to_numpy()
-    row = np.repeat(np.arange(len(rep)), width)
-    met, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
-    place = np.zeros(len(rep), np.int64)
-    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+def _shared_counts(values: np.ndarray, width: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """Of sets laid end to end: how many values each set outside and each other set share, in the order of the rows."""
+    row = np.repeat(np.arange(len(width)), width)
+    met, at = np.unique(values, return_inverse=True)
+    place = np.where(outside, np.cumsum(outside), np.cumsum(~outside)) - 1
     mine = outside[row]
     both = (np.bincount(at[mine], minlength=len(met)) > 0) & (np.bincount(at[~mine], minlength=len(met)) > 0)
     slot = np.where(both, np.cumsum(both) - 1, -1)[at]
-    shared = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(slot, kind="stable")
+    slot, row, mine = slot[order], row[order], mine[order]
+    n_left = int(outside.sum())
+    shared = np.zeros((n_left, len(width) - n_left), np.float32)
     for lo in range(0, int(both.sum()), BLOCK):
-        here = (slot >= lo) & (slot < lo + BLOCK)
-        a, b = np.zeros((len(left), BLOCK), np.float32), np.zeros((len(right), BLOCK), np.float32)
-        a[place[row[here & mine]], slot[here & mine] - lo] = 1
-        b[place[row[here & ~mine]], slot[here & ~mine] - lo] = 1
+        here = slice(*np.searchsorted(slot, (lo, lo + BLOCK)))
+        k, r, m = slot[here] - lo, row[here], mine[here]
+        a, b = np.zeros((n_left, BLOCK), np.float32), np.zeros((shared.shape[1], BLOCK), np.float32)
+        a[place[r[m]], k[m]] = 1
+        b[place[r[~m]], k[~m]] = 1
         shared += a @ b.T
+    return shared
+
+
+def _block(table, column: str):
+    """A block of a list's members outside its largest component (rows) and one of all its members (columns): places of both,
+    components, ids, set sizes, shared values, and which pairs lie in different components (two members outside meet twice)."""
+    outside, c, rep = (table.column(name).to_numpy() for name in ("outside", "c_rep", "rep"))
+    lists = table.column(column).combine_chunks()
+    width = lists.value_lengths().to_numpy().astype(np.int64)
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    shared = _shared_counts(lists.flatten().to_numpy(), width, outside)
+    apart = (c[left][:, None] != c[right][None]) & ((c[right] == table.column("c_most")[0].as_py())[None] | (rep[left][:, None] < rep[right][None]))
+    return left, right, c, rep, width, shared, apart
+
+
+def _likeliest(table, most: int):
+    """Pairs (x, hub) of different components whose set sizes and shared sketch values allow a link: of each x the `most` that
+    share the most."""
+    import pyarrow as pa
+
+    left, right, _, rep, width, shared, fits = _block(table, "sketch")
+    n = table.column("n").to_numpy()
     n_a, n_b = n[left][:, None], n[right][None]
-    fits = (shared >= LEAST_ESTIMATE * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
-    # two members outside meet twice
-    fits &= (c[left][:, None] != c[right][None]) & ((c[right] == table.column("c_most")[0].as_py())[None] | (rep[left][:, None] < rep[right][None]))
-    if most is not None and most < len(right):
+    fits &= (shared >= LEAST_ESTIMATE * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
+    if most < len(right):
         best = np.argpartition(np.where(fits, -shared, 1), most - 1, axis=1)[:, :most]
         few = np.zeros_like(fits)
         np.put_along_axis(few, best, True, axis=1)
@@ -152,23 +169,45 @@ def _block_pairs(table, most: int | None):
     return pa.table({"x": pa.array(rep[left][i]), "hub": pa.array(rep[right][j])})
 
 
-def _long_pairs(members: DataFrame, reps: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (x, hub) of different components that meet in long lists. members: v, rep, c_rep, and of the list n_list, n_outside and
-    c_most, its size, the number of its members outside its largest component, and that component."""
-    rows = members.join(reps.select("rep", "n", "sketch"), "rep")
-    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    one = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), parts(c)).cast("int")
-    what = ["v", "rep", "c_rep", "c_most", "n", "sketch"]
-    left = rows.where("c_rep <> c_most").select(*what, F.lit(True).alias("outside"), one("n_outside", 1).alias("i"), every("n_list").alias("j"))
-    right = rows.select(*what, F.lit(False).alias("outside"), every("n_outside").alias("i"), one("n_list", 2).alias("j"))
-    return left.unionByName(right).groupBy("v", "i", "j").applyInArrow(lambda t: _block_pairs(t, most), "x long, hub long")
+def _set_links(table):
+    """Links a, b of a spanning forest over the components of the members that a block's full sets link."""
+    import pyarrow as pa
+
+    left, right, c, rep, width, shared, fits = _block(table, "shingles")
+    fits &= 100 * shared >= 75 * (width[left][:, None] + width[right][None] - shared)
+    tree = np.unique(c, return_inverse=True)[1]  # of each row, the tree that its component is in so far
+    a, b = [], []
+    for k in np.flatnonzero(fits.any(axis=1)):
+        hits = right[fits[k]]
+        trees, first = np.unique(tree[hits], return_index=True)
+        apart = trees != tree[left[k]]
+        a += [rep[left[k]]] * int(apart.sum())
+        b += rep[hits[first[apart]]].tolist()
+        tree[np.isin(tree, trees)] = tree[left[k]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _by_blocks(members: DataFrame, held: DataFrame, column: str, run, schema: str) -> DataFrame:
+    """run for every block of a long list's members outside its largest component and block of all its members. members: v, rep,
+    c_rep, and of the list c_most, its largest component, and the parts that its members and those outside are cut into. held: rep,
+    n and the sets in `column`."""
+    rows = members.join(held, "rep")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(c)).cast("int")
+    what = ["v", "rep", "c_rep", "c_most", "n", column]
+    left = rows.where("c_rep <> c_most").select(*what, F.lit(True).alias("outside"), one("parts_outside", 1).alias("i"), every("parts").alias("j"))
+    right = rows.select(*what, F.lit(False).alias("outside"), every("parts_outside").alias("i"), one("parts", 2).alias("j"))
+    return left.unionByName(right).groupBy("v", "i", "j").applyInArrow(run, schema)
 
 
 def _mixed(early: DataFrame) -> DataFrame:
-    """Lists (v) whose members lie in several components: n_list, n_outside, c_most."""
-    counted = early.groupBy("v", "c_rep").agg(F.count("*").alias("n")).groupBy("v").agg(F.sum("n").alias("n_list"), F.max(F.struct("n", (-F.col("c_rep")).alias("col2"))).alias("most")).where("n_list > most.n")
-    return counted.select("v", "n_list", (F.col("n_list") - F.col("most.n")).alias("n_outside"), (-F.col("most.col2")).alias("c_most"))
+    """Lists (v) whose members lie in several components: n_list, c_most, and the parts that its members and those outside its
+    largest component are cut into."""
+    counted = early.groupBy("v", "c_rep").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
+    counted = counted.groupBy("v").agg(F.sum("n").alias("n_list"), F.sum("s").alias("s_list"), F.max(F.struct("n", (-F.col("c_rep")).alias("c"), "s")).alias("most")).where("n_list > most.n")
+    parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    outside = parts(F.col("n_list") - F.col("most.n"), F.col("s_list") - F.col("most.s"))
+    return counted.select("v", "n_list", (-F.col("most.c")).alias("c_most"), parts(F.col("n_list"), F.col("s_list")).alias("parts"), outside.alias("parts_outside"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, columns: dict) -> DataFrame:
@@ -190,13 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch"))
     reps = written(classes, "classes")
 
-    lists = reps.select("rep", F.size("sketch").alias("width"), F.explode("sketch").alias("v"))
-    shared = lists.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
+    lists = reps.select("rep", "n", F.size("sketch").alias("width"), F.explode("sketch").alias("v"))
+    shared = written(lists.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "shared_values")
     own = Window.partitionBy("rep")  # at most k rows
     alone = F.col("width") - F.count("*").over(own)  # values that no other sketch holds come first
     lists = lists.join(shared, "v").withColumn("fame", F.sum("size").over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "v")) + alone)
     lists = written(lists, "lists")
-    hubs = lists.groupBy("v").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("h1"), F.min_by("rep", F.xxhash64("v", "rep")).alias("h2"))
+    hubs = written(lists.groupBy("v").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("h1"), F.min_by("rep", F.xxhash64("v", "rep")).alias("h2")), "hubs")
     pairs = lists.join(hubs, "v").select(F.col("rep").alias("x"), F.explode(F.array("h1", "h2")).alias("hub")).where("x <> hub").distinct()
     first = written(_candidates(pairs, reps, k), "hub_pairs")
     best = first.groupBy("x").agg(F.max_by("hub", F.struct("likely", -F.col("hub"))).alias("hub"))
@@ -207,24 +246,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = written(components(links), "components1")
 
     of = lambda rows, c: rows.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
+    joined = lambda more: written(components(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), "components2")
     rest = of(of(first.select("x", "hub"), "x"), "hub").where("c_x <> c_hub").select("x", "hub")
     least = F.when(F.col("width") >= k, F.lit(LEAST_SHARED * k // K)).otherwise(F.ceil(F.col("width") / 2))
-    early = written(of(lists.where(F.col("rank") <= F.col("width") - least + 1).select("v", "rep"), "rep"), "early_lists")
+    early = written(of(lists.where(F.col("rank") <= F.col("width") - least + 1).select("v", "rep", "n"), "rep"), "early_lists")
     mixed = written(_mixed(early), "mixed_lists")
     members = early.join(mixed.where(F.col("n_list") <= short_list).select("v"), "v").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c_rep", "rep"))).alias("m"))
     apart = F.expr("explode(flatten(transform(m, (p, i) -> transform(filter(slice(m, i + 2, size(m)), q -> q.c_rep <> p.c_rep), q -> struct(p.rep as x, q.rep as hub)))))")
     cross = members.select(apart.alias("p")).select("p.x", "p.hub")
-    long_ = written(early.join(mixed.where(F.col("n_list") > short_list), "v"), "long_lists")
-    for most in (*AT_FIRST, None):
-        cross = cross.union(_long_pairs(long_, reps, most)).select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")).distinct()
-        second = written(_candidates(written(cross, "met_pairs"), reps, k).select("x", "hub").union(rest).distinct(), "cross_pairs")
-        more = _verified(second, docs, columns)
-        parts = written(components(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), "components2")
-        again = of(long_.select("v", "rep"), "rep")
-        long_ = written(again.join(_mixed(again), "v"), "long_lists")
-        if long_.isEmpty():
-            break
-        cross, rest = cross.limit(0), rest.limit(0)
+    long_ = written(early.join(mixed.where(F.col("n_list") > short_list), "v").drop("n"), "long_lists")
+    cross = cross.union(_by_blocks(long_, reps.select("rep", "n", "sketch"), "sketch", lambda t: _likeliest(t, AT_FIRST), "x long, hub long"))
+    cross = cross.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")).distinct()
+    second = written(_candidates(written(cross, "met_pairs"), reps, k).select("x", "hub").union(rest).distinct(), "cross_pairs")
+    parts = joined(_verified(second, docs, columns))
+
+    early = written(of(early.join(long_.select("v").distinct(), "v").select("v", "rep", "n"), "rep"), "early_lists")
+    long_ = written(early.join(written(_mixed(early), "mixed_lists"), "v").drop("n"), "long_lists")
+    ids = written(long_.select(F.col("rep").alias("id")).distinct(), "verify_ids")
+    sets = written(full_sets(docs, ids, **columns).select(F.col("id").alias("rep"), F.size("shingles").cast("long").alias("n"), "shingles"), "verify_sets")
+    parts = joined(written(_by_blocks(long_, sets, "shingles", _set_links, "a long, b long"), "set_links"))
 
     labelled = reps.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = all_rows.select("id", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"], "left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexiloom.llm import near_dup
@@ -56,7 +57,7 @@ def test_copies_of_a_base_and_a_shared_passage(spark, short_list):
 
 def test_long_lists_are_compared_beyond_their_hubs(spark, monkeypatch):
     """Copies of a text that lack three of its sections each and one word more: near those that lack the same, and few hubs are."""
-    monkeypatch.setattr(near_dup, "BLOCK", 300, raising=False)
+    monkeypatch.setattr(near_dup, "BLOCK", 300)
     rng = random.Random(9)
     sections = [[f"w{s}x{k}" for k in range(10)] for s in range(16)]
     rows = []
@@ -68,6 +69,25 @@ def test_long_lists_are_compared_beyond_their_hubs(spark, monkeypatch):
     check(spark, rows, short_list=8, k=16)
 
 
+@pytest.mark.parametrize(("n", "sites", "block"), [(300, 16, 1024), (400, 20, 100)])
+def test_template_families(spark, monkeypatch, n, sites, block):
+    """Texts of fixed sites, each with one of two words: most pairs are alike enough to be candidates, few are links."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(n)
+    site = lambda s: " ".join([*(f"f{s}w{k}" for k in range(7)), f"v{s}{rng.choice('ab')}"])
+    want = check(spark, [(i, " ".join(site(s) for s in range(sites))) for i in range(n)])
+    assert 1 < len(set(want.values())) < n // 10
+
+
+def test_shared_counts_in_chunks(monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    sets = [set(rng.integers(0, 60, rng.integers(0, 40)).tolist()) for _ in range(25)]
+    outside = rng.random(25) < 0.4
+    got = near_dup._shared_counts(np.array([v for s in sets for v in sorted(s)]), np.array([len(s) for s in sets]), outside)
+    assert got.tolist() == [[len(sets[i] & sets[j]) for j in np.flatnonzero(~outside)] for i in np.flatnonzero(outside)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(500, 500 + i) for i in range(1, 50)]
