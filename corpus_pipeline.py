@@ -4,11 +4,11 @@ Every stage takes (spark, docs, sf_dir), works on all rows of docs, and returns
 documents as they came. run() writes each stage's rows to the shared folder and reads them again as the next one's docs.
 
 Defined results, beside those of the operators: rows whose id is null pass the near-duplicate stage; of several rows of one id
-one stays there, the one with the smallest text; extra columns are carried along (columns named score_, predicted_ or text_ are not supported)."""
+one stays there, the one with the smallest text (of rows alike in both, any one); extra columns are carried along, whatever their names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import mixing, near_dup, quality_crf, sentencepiece_codec
@@ -24,8 +24,7 @@ CLOSE = 1e-4
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the classifier rejects go."""
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_crf.score(docs, model, keep=others).where("predicted = 1").select(*docs.columns)
+    return quality_crf.score_rows(docs, model).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(near_dup.near_duplicates(docs), "pipeline_groups")
     gone = written(found.where("not kept").select("doc_id").distinct(), "pipeline_gone")
     few = gone.count() <= near_dup.MOST_BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    again = written(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "pipeline_repeated")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = kept.where("doc_id is not null").withColumn("place_", place).where("place_ = 1").drop("place_")
-    return once.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+        return kept
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operator 4: near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors form a class, and only classes go on. Classes are dealt to shards by hash; each shard's graph is built in one task
-and audited against brute force on a sample of its rows, its beam widened until the recall holds. Every class queries every shard
-in blocks; what a beam finds near enough is followed along links, so that a group of copies larger than the beam is found whole.
+Equal vectors form a class, and only classes go on. Classes are dealt to shards by hash; each shard's graph is built in one task,
+written to the shared folder, and audited against brute force: on a sample of its rows, on vectors planted just above the bound from
+them, and on AUDITED vectors of all shards, its beam widened until the recall holds. Every class queries every shard
+in blocks, and a task reads its shard's graph once for the blocks that follow each other; so the shuffle holds each vector once a shard, and no graph.
+What a beam finds near enough is followed along links, so that a group of copies larger than the beam is found whole.
 Found pairs are verified by cosine in double precision; each task sends a count for each query and the links of a spanning
 forest of what it found, not all pairs; components join the forests.
 
@@ -12,23 +14,29 @@ row of 64 floats).
 
 Defined results: a vector that is null, empty, zero or holds a null, NaN or infinite component links with nothing, nor do
 vectors of different lengths; such a row is its own component. All rows of one id are one node; a null id has no component and is
-kept. n_links counts other rows. Labels and other columns are ignored, whatever their names.
+kept. n_links counts other rows. audited_recall is the least of the shards' recalls (1.0 without shards). Labels and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import components
 from .hnsw import Graph, unit
-from .shared import written
+from .shared import fresh_dir, written
 
 COSINE = 0.95
 SHARD_ROWS = 50_000
 LEAST_SHARDS = 4
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
+#: Vectors of all shards, those with the smallest hash of their id, that every shard's audit asks for beside its own.
+AUDITED = 256
 #: Graphs search in single precision, this much below the bound; double precision decides.
 SLACK = 1e-4
 
@@ -44,31 +52,57 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
-def _build(key, table):
-    import pyarrow as pa
+_SHARD = "dim int, shard int, path string, width int, recall double"
+
+
+def _build(folder: str, audit: np.ndarray, least: float):
+    def run(key, table):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        x = unit(_matrix(table.column("vector")))
+        graph = Graph.build(x)
+        width, recall = graph.audited_width(least - SLACK, audit if audit.shape[-1:] == x.shape[1:] else None)
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.npz"
+        held = io.BytesIO()
+        graph.dump(held, exact=x, ids=table.column("rep").to_numpy(), copies=table.column("copies").to_numpy())
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+            out.write(held.getvalue())
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "path": [f"{folder}/{name}"], "width": pa.array([width], pa.int32()), "recall": pa.array([recall])})
+
+    return run
+
+
+_last: dict[str, tuple] = {}  # the graph that this worker read last
 
-    x = unit(_matrix(table.column("vector")))
-    graph = Graph.build(x)
-    width, recall = graph.audited_width(COSINE - SLACK)
-    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "width": pa.array([width], pa.int32()), "recall": pa.array([recall], pa.float64()), "graph": pa.array([graph.dump()], pa.binary()), "ids": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())), "copies": pa.array([table.column("copies").to_pylist()], pa.list_(pa.int64())), "exact": pa.array([x.tobytes()], pa.binary())})
 
+def _graph(path: str):
+    if path not in _last:
+        from pyarrow import fs
 
-_GRAPH = "dim int, shard int, width int, recall double, graph binary, ids array<long>, copies array<long>, exact binary"
+        _last.clear()
+        store, at = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(at, compression=None) as stream:
+            graph, more = Graph.load(io.BytesIO(stream.read()))
+        _last[path] = graph, more["exact"], more["ids"], more["copies"]
+    return _last[path]
 
 
-def _query(least: float):
-    def run(key, queries, graphs):
+def _query(least: float, shards: dict):
+    def run(key, queries):
         import pyarrow as pa
 
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
-        if not queries.num_rows or not graphs.num_rows:
+        place = shards.get((key[0].as_py(), key[1].as_py()))
+        if place is None:  # a shard without vectors of this length
             return schema.empty_table()
-        g = {c: graphs.column(c)[0].as_py() for c in ("width", "graph", "ids", "copies", "exact")}
-        ids, copies = np.array(g["ids"]), np.array(g["copies"])
-        exact = np.frombuffer(g["exact"]).reshape(len(ids), -1)
-        own = np.array(queries.column("rep").to_pylist())
+        path, width = place
+        graph, exact, ids, copies = _graph(path)
+        own = queries.column("rep").to_numpy()
         q = unit(_matrix(queries.column("vector")))
-        found = Graph.load(g["graph"]).near(q.astype(np.float32), g["width"], least - SLACK)
+        found = graph.near(q.astype(np.float32), width, least - SLACK)
         names, at = np.unique(np.concatenate([ids, own]), return_inverse=True)
         member, asker = at[: len(ids)], at[len(ids) :]
         tree = np.arange(len(names))  # the tree that each node is in so far
@@ -93,7 +127,8 @@ def _query(least: float):
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """id, n_links, component_id, kept for every row."""
+    """id, n_links, component_id, kept, audited_recall for every row."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     known = rows.where("vector is not null and id is not null")
@@ -102,11 +137,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     shards = max(LEAST_SHARDS, -(-count // shard_rows))
     blocks = max(2, -(-count // BLOCK_ROWS))
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    graphs = written(placed.groupBy("dim", "shard").applyInArrow(_build, _GRAPH), "graphs")
+    sample = classes.where(F.col("dim") == classes.agg(F.max("dim")).first()[0]).orderBy(F.xxhash64("rep"), "rep").limit(AUDITED).select("vector").collect()
+    audit = unit(np.array([r.vector for r in sample])) if sample else np.zeros((0, 0))
+    graphs = written(placed.groupBy("dim", "shard").applyInArrow(_build(fresh_dir(vectors.sparkSession, "graphs"), audit, cosine), _SHARD), "graphs")
+    held = {(r.dim, r.shard): (r.path, r.width) for r in graphs.select("dim", "shard", "path", "width").collect()}  # one row a shard
+    recall = graphs.agg(F.min("recall")).first()[0]
     asked = classes.select("dim", "rep", "vector", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ("dim", "shard", "block")
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_query(cosine), "a long, b long, links long")
+    found = asked.groupBy("dim", "shard", "block").applyInArrow(_query(cosine, held), "a long, b long, links long")
     found = written(found, "vector_links")
     # rows of one id in several classes are one node
     ids = known.join(classes.select("vector", "rep"), "vector").select("id", "rep").distinct()
@@ -115,4 +152,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     marked = classes.join(per_class.withColumnRenamed("a", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     marked = marked.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(marked, "vector", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(1.0 if recall is None else float(recall)))

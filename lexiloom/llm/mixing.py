@@ -23,8 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .shared import give_back, joined_chunks, text_chunks, words, written
+from .shared import give_back, joined_chunks, mapped, text_chunks, words, written
 
 MOST_LABELLED = 500
 BUCKET_BITS = 22
@@ -172,8 +173,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), lists], names=["row", "n_tokens", "posterior"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), *([] if keep_text else [F.col(f"`{text_col}`").alias("text_")]))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, n_tokens long, posterior array<double>")
+    return mapped(rows, run, StructType().add("row", rows.schema["row"].dataType).add("n_tokens", LongType()).add("posterior", ArrayType(DoubleType())))
 
 
 def _rates(p: np.ndarray, history: list[np.ndarray], least: float) -> np.ndarray:
@@ -204,7 +204,7 @@ def _sums(rated: DataFrame, history: list[np.ndarray], least: float, k: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
     out = np.zeros(k + k * k)
-    for r in rated.select("n_tokens", "posterior").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in mapped(rated.select("n_tokens", "posterior"), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r.i] = r.v
     return out[:k], out[k:].reshape(k, k)
 

@@ -5,7 +5,9 @@ the document, ...), its neighbours' features beside its own. The chain's two lab
 line's probability of being good, and the mean of these, weighted by line length, is the document's. A logistic link fitted on the
 same labelled rows maps that mean to the score, so that 0.5 parts the two labels best.
 
-Training has labels of documents only: each line of a labelled document stands with its document's label. The model is fitted
+Training has labels of documents only: each line of a labelled document stands with its document's label, so no chain that the fit
+sees changes its label, and the learned steps between labels strongly favour staying: most documents come out with lines of one
+kind. The model is fitted
 on a bounded sample of the labelled rows: of each label the most_labelled rows with the smallest hash of their id, whole texts.
 
 Defined results: a null text counts as empty, an empty text as one empty line; repeated rows score alike; a labelled id that
@@ -20,8 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .shared import give_back, joined_chunks, mix, text_chunks, words
+from .shared import give_back, joined_chunks, mapped, mix, text_chunks, words
 
 #: Labelled rows of each label that the fit reads at most.
 MOST_LABELLED = 1000
@@ -224,22 +227,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns named in keep, score and predicted for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [id_col, *keep]
-    text = text_col if text_col in keep else "text_"
+    """id, the columns named in keep, score and predicted for every row. What is kept may bear any names but the last two."""
+    if {"score", "predicted"} & {id_col, *keep}:
+        raise ValueError("columns named score or predicted can't be kept beside the results; score_rows keeps any")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, *keep)))).alias("row"), F.col(f"`{text_col}`").alias("text_"))
+    return _scored(rows, model, None).select("row.*", "score", "predicted")
+
+
+def score_rows(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """row (all columns of docs, whatever their names), score and predicted for every row."""
+    return _scored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), model, docs.columns.index(text_col))
+
+
+def _scored(rows: DataFrame, model: QualityModel, at: int | None) -> DataFrame:
+    """rows: row, and the text in a column of its own or in the field of row at that place."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part, data, offsets in text_chunks(batch, text):
+            text = batch.column(1) if at is None else batch.column(0).field(at)
+            both = pa.RecordBatch.from_arrays([batch.column(0), text], names=["row", "text_"])
+            for part, data, offsets in text_chunks(both, "text_"):
                 s = held.value.scores(data, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*part.schema.names[: len(kept)], "score_", "predicted_"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    rows = docs.select(*kept, *([] if text_col in keep else [F.col(text_col).alias("text_")]))
-    return rows.mapInArrow(run, f"{kinds}, score_ double, predicted_ int").withColumnsRenamed({"score_": "score", "predicted_": "predicted"})
+    return mapped(rows, run, StructType().add("row", rows.schema["row"].dataType).add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, **columns) -> QualityModel:

@@ -41,8 +41,7 @@ def op4_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(table(spark, sf_dir, "pages"))
-    rows = warc.read(files).where("kind = 'record'")
-    return rows.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(files).select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Shares of the expected tokens that op6 aims at, by quality and toxicity label.

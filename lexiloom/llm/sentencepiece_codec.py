@@ -16,9 +16,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from .piece_bpe import PieceBpe, segments, vocabulary
-from .shared import give_back
+from .shared import give_back, mapped
 
 MOST_KEPT = 400_000
 LONGEST_KEPT = 60
@@ -263,8 +264,8 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
                 )
             give_back()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>, n_tokens long, round_trip boolean")
+    schema = StructType().add(id_col, docs.schema[id_col].dataType).add("token_ids", ArrayType(IntegerType())).add("n_tokens", LongType()).add("round_trip", BooleanType())
+    return mapped(docs.select(id_col, F.col(text_col).alias("text_")), run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -278,5 +279,4 @@ def decode(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids
             texts = [vocab.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, F.col(ids_col).alias("ids_")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return mapped(encoded.select(id_col, F.col(ids_col).alias("ids_")), run, StructType().add(id_col, encoded.schema[id_col].dataType).add("text", StringType()))

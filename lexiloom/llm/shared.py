@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space of the word contracts: blank and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,10 +25,12 @@ _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _MULT, dtype=
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset (tests, local runs) a
-    temporary folder is made and set once for the session."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local run makes a temporary
+    folder and sets it once for the session; a cluster has no such folder, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """rows.mapInArrow, with this package sent to the workers first, wherever the driver runs from."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def crc32_of_id(column: str):
     """crc32 of the id written as text, as the fold rules of the queries want it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

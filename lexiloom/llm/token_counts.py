@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .piece_bpe import PieceBpe, segments, vocabulary
+from .shared import mapped
 
 #: Tables of segments that a worker keeps; a full store is emptied and filled anew.
 MOST_TABLES = 600_000
@@ -96,7 +97,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 4096, id_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text_"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes_"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return mapped(rows, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
 
 
 def prefix_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +114,7 @@ def prefix_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), rows], names=[id_col, "prefix_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("text_")).mapInArrow(run, f"`{id_col}` {kind}, prefix_tokens array<int>")
+    return mapped(docs.select(id_col, F.col(text_col).alias("text_")), run, f"`{id_col}` {kind}, prefix_tokens array<int>")
 
 
 def tokens_of_prefix(prefix_tokens, n_chars):

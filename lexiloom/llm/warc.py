@@ -24,14 +24,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, written
+from .shared import fresh_dir, mapped, written
 
 LEAST_REVISIT = 1000
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 20
-#: A header block longer than this is taken as damage.
-MOST_HEADER = 1 << 16
+#: Bytes of a plain record that are looked at first for the end of its headers; doubled until it is found.
+FIRST_HEADER = 1 << 16
 _NAME = "urn:lexiloom:row:"
 
 
@@ -112,12 +112,13 @@ def _parse(window: _Window, member: bool):
             return None
         used -= len(z.unused_data)
         get, have = lambda a, b: bytes(raw[a:b]), lambda n: len(raw) >= n
-        cut = raw.find(b"\r\n\r\n", 0, MOST_HEADER)
+        cut = raw.find(b"\r\n\r\n")
     else:
-        size = READ_BYTES // 16
-        window.need(size)
-        cut = window.held.find(b"\r\n\r\n", 0, MOST_HEADER)
-        used = 0
+        size, used, cut, more = FIRST_HEADER, 0, -1, True
+        while cut < 0 and more:
+            more = window.need(size)
+            cut = window.held.find(b"\r\n\r\n", 0, size)
+            size *= 2
         get, have = lambda a, b: bytes(window.held[a:b]), window.need
     if cut < 0 or get(0, 7) != b"WARC/1.":
         return None
@@ -204,7 +205,7 @@ def write(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [folder + path[len(base) :]], "records": [n], "bytes": [size]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return written(rows.mapInArrow(run, "path string, records long, bytes long"), "warc_files")
+    return written(mapped(rows, run, "path string, records long, bytes long"), "warc_files")
 
 
 _READ = "path string, kind string, offset long, length long, row_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -234,4 +235,16 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows], schema=schema)
 
     spread = files.select("path").repartition(max(2, files.count()), "path")
-    return spread.mapInArrow(run, _READ)
+    return mapped(spread, run, _READ)
+
+
+def read_back(files: DataFrame) -> DataFrame:
+    """The records of archives that write has just written. Gaps among them mean lost rows: their table stays in the shared folder,
+    and they are an error, as is a number of records other than was written."""
+    rows = written(read(files), "warc_rows")
+    records = rows.where("kind = 'record'")
+    gaps, found = rows.where("kind = 'gap'").count(), records.count()
+    want = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if gaps or found != want:
+        raise RuntimeError(f"{gaps} quarantined gaps and {found} of {want} records, listed in {rows.inputFiles()[0].rpartition('/')[0]}")
+    return records

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 
 from lexiloom.llm import fingerprints as fp
 from lexiloom.llm import url_filters
@@ -59,7 +61,30 @@ def test_urls(spark):
         ("http://x.org/?porn", "x.org", "/", None, "block"), ("http://x.org/pornography", "x.org", "/pornography", None, "allow"),
         ("no scheme xxx", "", "", None, "block"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("http://com", "com", "", None, "allow"), ("a://b://c.net/es/", "b:", "//c.net/es/", None, "allow"),
     ]
+    urls += [
+        ("http://x.org/porn/free", "x.org", "/porn/free", None, "block"), ("http://x.org/casino", "x.org", "/casino", None, "allow"), ("http://x.org/free-download", "x.org", "/free-download", None, "allow"),
+        ("http://x.org/poker/free", "x.org", "/poker/free", None, "block"), ("http://poker.x.org/POKER", "poker.x.org", "/POKER", None, "allow"), ("http://a.com/porn", "a.com", "/porn", "com/", "allow"),
+        ("http://x.org/" + "y" * 100_000 + "/xxx", "x.org", "/" + "y" * 100_000 + "/xxx", None, "block"),
+    ]
     table = spark.createDataFrame([(i, u[0], "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.url_verdicts(table).collect()}
     assert got == {i: u[1:] for i, u in enumerate(urls)}
     assert url_filters.url_verdicts(table.limit(0)).count() == 0
+    # the SQL form decides alike, where the vocabulary does too
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame([(i, u[0]) for i, u in enumerate(urls)], columns=["page_id", "url"]))
+    cur = con.execute(url_filters.oracle())
+    names = [d[0] for d in cur.description]
+    want = {r["page_id"]: r for r in (dict(zip(names, row)) for row in cur.fetchall())}
+    for r in url_filters.url_verdicts(table).collect():
+        assert all(r[c] == want[r.page_id][c] for c in names), (r, want[r.page_id])
+
+
+def test_vocabulary_as_a_table(spark):
+    terms = url_filters.packaged_vocabulary()
+    assert len({t.term for t in terms}) == len(terms) and {t.kind for t in terms} == {"strict", "soft"} and all(t.term.isalnum() and t.term.isascii() for t in terms)
+    pages = spark.createDataFrame([(1, "http://x.org/apple"), (2, "http://x.org/pear-plum"), (3, "http://x.org/pear"), (4, "http://x.org/casino-poker")], "page_id long, url string")
+    own = url_filters.vocabulary(spark.createDataFrame([("Apple", "strict", 2.0), ("pear", "soft", 1.0), ("plum", "soft", 2.0), ("", "soft", 9.0)], "term string, kind string, weight double"))
+    got = {r.page_id: r.verdict for r in url_filters.url_verdicts(pages, rules=(), terms=own).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    assert {r.verdict for r in url_filters.url_verdicts(pages, rules=(), terms=()).collect()} == {"allow"}

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -60,6 +61,25 @@ def test_few_toxic_documents_go_and_shares_are_delivered(spark, tmp_path):
         assert abs(have - fitted[name]) <= 0.01 * sum(fitted.values()) and target[name] <= sum(n * p[k] for n, p in held.values())
 
 
+CLASHES = ["score", "predicted", "score_", "predicted_", "text_", "place_", "row", "rate", "take_", "one_", "posterior", "n_tokens", "component_id", "kept", "id_", "label_", "a b.c"]
+
+
+def test_extra_columns_with_clashing_names_and_repeated_ids(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 40"))  # rows several times over
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(k))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.written(stage(spark, docs, path), f"clash_{name}")
+        assert docs.columns == before.columns and docs.count() > 0, name
+        assert docs.select(*(F.col(f"`{c}`") for c in CLASHES)).distinct().collect() == [tuple(range(len(CLASHES)))], name
+    ids = [r.doc_id for r in docs.where("doc_id is not null").collect()]
+    assert len(ids) == len(set(ids))
+    assert corpus_pipeline.pieces(spark, docs, path).count() == docs.count()
+
+
 def test_run_over_no_rows(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -42,3 +42,23 @@ def test_write_and_read(spark):
         want.append((repr(i), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", repr(9 if revisit else None), None if revisit else raw))
     assert sorted((repr(r.row_id), r.payload_bytes, r.payload_digest, r.record_type, repr(r.refers_to), None if r.payload is None else bytes(r.payload)) for r in got) == sorted(want)
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    assert warc.read_back(warc.write(pages.limit(0))).count() == 0
+
+
+def test_long_urls_and_lost_bytes(spark):
+    pages = spark.createDataFrame([(1, "http://x/" + "q" * 100_000, "a"), (2, "data:" + "\n" * 70_000, "b" * 2000)], "page_id long, url string, html string")
+    files = warc.write(pages)
+    assert sorted(r.row_id for r in warc.read_back(files).collect()) == [1, 2]
+    path = files.first().path.removeprefix("file://")
+    with open(path, "r+b") as f:
+        f.seek(30)
+        f.write(b"????????")
+    with pytest.raises(RuntimeError, match="1 quarantined gaps"):
+        warc.read_back(files)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_headers_longer_than_the_first_look(packed):
+    raw = warc.record_bytes("1", "http://x/" + "q" * 300_000, b"body", hashlib.sha1(b"body").hexdigest(), None)
+    got = list(warc.read_records(io.BytesIO(warc.gzip_member(raw) if packed else raw)))
+    assert [r[0] for r in got] == ["record"] and got[0][3].payload == b"body"
