@@ -10,7 +10,7 @@ pairs left between different components. It needs only the shortest lists of eac
 LEAST_SHARED of them share one among the K - LEAST_SHARED + 1 that come first when values are ordered by the length of their lists.
 So a passage that many documents share drops out, unless a document is little else. Lists of at most SHORT_LIST such members are
 compared whole. In longer ones, most members of which round 1 has joined into one component, all others are compared with all
-members, block by block: in round 2 by the shared values of their sketches, and the AT_FIRST likeliest of each document and block are
+members, block by block: in round 2 by the shared values of their sketches, and the AT_FIRST likeliest of each document are
 verified, which joins most of them; in round 3, where a list still holds several components, on their full sets inside the task,
 which sends back no pairs but the links of a spanning forest. So no pair of a list is left out. The work of round 3 grows with the
 documents outside times the members of their lists.
@@ -27,8 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import components
-from .shared import mix, shingle_hashes, text_chunks, words, written
+from .shared import mapped, mix, shingle_hashes, text_chunks, words, written
 
 K = 32
 WIDTH = 5
@@ -39,7 +40,7 @@ LEAST_ESTIMATE = LEAST_SHARED / K
 #: Members of a long list that meet in one task, on each side, about, and the shingles of their sets.
 BLOCK = 1024
 BLOCK_SHINGLES = 500_000
-#: Pairs a document and block that round 2 verifies.
+#: Pairs from long lists that round 2 verifies of each document.
 AT_FIRST = 4
 #: Ids are broadcast to filter texts up to this many (8 bytes each); beyond, both sides are shuffled.
 MOST_BROADCAST_IDS = 500_000
@@ -83,7 +84,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], names=["id", "n", "d1", "d2", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch array<long>")
+    return mapped(rows, run, "id long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -100,7 +101,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col:
 
     few = ids.count() <= MOST_BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"))
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return mapped(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), run, "id long, shingles array<long>")
 
 
 def estimate(a, b, k: int = K):
@@ -152,8 +153,8 @@ def _block(table, column: str):
 
 
 def _likeliest(table, most: int):
-    """Pairs (x, hub) of different components whose set sizes and shared sketch values allow a link: of each x the `most` that
-    share the most."""
+    """Pairs (x, hub) of different components whose set sizes and shared sketch values allow a link, and how many values they share: of
+    each x the `most` that share the most."""
     import pyarrow as pa
 
     left, right, _, rep, width, shared, fits = _block(table, "sketch")
@@ -166,7 +167,7 @@ def _likeliest(table, most: int):
         np.put_along_axis(few, best, True, axis=1)
         fits &= few
     i, j = np.nonzero(fits)
-    return pa.table({"x": pa.array(rep[left][i]), "hub": pa.array(rep[right][j])})
+    return pa.table({"x": pa.array(rep[left][i]), "hub": pa.array(rep[right][j]), "shared": pa.array(shared[i, j].astype(np.int32))})
 
 
 def _set_links(table):
@@ -197,6 +198,7 @@ def _by_blocks(members: DataFrame, held: DataFrame, column: str, run, schema: st
     what = ["v", "rep", "c_rep", "c_most", "n", column]
     left = rows.where("c_rep <> c_most").select(*what, F.lit(True).alias("outside"), one("parts_outside", 1).alias("i"), every("parts").alias("j"))
     right = rows.select(*what, F.lit(False).alias("outside"), every("parts_outside").alias("i"), one("parts", 2).alias("j"))
+    ship(members.sparkSession)
     return left.unionByName(right).groupBy("v", "i", "j").applyInArrow(run, schema)
 
 
@@ -255,7 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = F.expr("explode(flatten(transform(m, (p, i) -> transform(filter(slice(m, i + 2, size(m)), q -> q.c_rep <> p.c_rep), q -> struct(p.rep as x, q.rep as hub)))))")
     cross = members.select(apart.alias("p")).select("p.x", "p.hub")
     long_ = written(early.join(mixed.where(F.col("n_list") > short_list), "v").drop("n"), "long_lists")
-    cross = cross.union(_by_blocks(long_, reps.select("rep", "n", "sketch"), "sketch", lambda t: _likeliest(t, AT_FIRST), "x long, hub long"))
+    likely = _by_blocks(long_, reps.select("rep", "n", "sketch"), "sketch", lambda t: _likeliest(t, AT_FIRST), "x long, hub long, shared int").distinct()
+    best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "hub"))  # ranks are limited before the shuffle too
+    cross = cross.union(likely.withColumn("place", best).where(F.col("place") <= AT_FIRST).select("x", "hub"))
     cross = cross.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("hub")).distinct()
     second = written(_candidates(written(cross, "met_pairs"), reps, k).select("x", "hub").union(rest).distinct(), "cross_pairs")
     parts = joined(_verified(second, docs, columns))
