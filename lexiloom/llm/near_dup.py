@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .components import components
-from .shared import mapped, mix, shingle_hashes, text_chunks, words, written
+from .shared import give_back, mapped, mix, shingle_hashes, text_chunks, words, written
 
 K = 32
 WIDTH = 5
@@ -38,8 +38,8 @@ SHORT_LIST = 64
 LEAST_SHARED = 12
 LEAST_ESTIMATE = LEAST_SHARED / K
 #: Members of a long list that meet in one task, on each side, about, and the shingles of their sets.
-BLOCK = 1024
-BLOCK_SHINGLES = 500_000
+BLOCK = 512
+BLOCK_SHINGLES = 250_000
 #: Pairs from long lists that round 2 verifies of each document.
 AT_FIRST = 4
 #: Ids are broadcast to filter texts up to this many (8 bytes each); beyond, both sides are shuffled.
@@ -145,7 +145,7 @@ def _block(table, column: str):
     components, ids, set sizes, shared values, and which pairs lie in different components (two members outside meet twice)."""
     outside, c, rep = (table.column(name).to_numpy() for name in ("outside", "c_rep", "rep"))
     lists = table.column(column).combine_chunks()
-    width = lists.value_lengths().to_numpy().astype(np.int64)
+    width = lists.value_lengths().to_numpy().astype(np.int32)
     left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
     shared = _shared_counts(lists.flatten().to_numpy(), width, outside)
     apart = (c[left][:, None] != c[right][None]) & ((c[right] == table.column("c_most")[0].as_py())[None] | (rep[left][:, None] < rep[right][None]))
@@ -158,7 +158,7 @@ def _likeliest(table, most: int):
     import pyarrow as pa
 
     left, right, _, rep, width, shared, fits = _block(table, "sketch")
-    n = table.column("n").to_numpy()
+    n = table.column("n").to_numpy().astype(np.int32)
     n_a, n_b = n[left][:, None], n[right][None]
     fits &= (shared >= LEAST_ESTIMATE * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
     if most < len(right):
@@ -167,6 +167,7 @@ def _likeliest(table, most: int):
         np.put_along_axis(few, best, True, axis=1)
         fits &= few
     i, j = np.nonzero(fits)
+    give_back()
     return pa.table({"x": pa.array(rep[left][i]), "hub": pa.array(rep[right][j]), "shared": pa.array(shared[i, j].astype(np.int32))})
 
 
@@ -185,6 +186,7 @@ def _set_links(table):
         a += [rep[left[k]]] * int(apart.sum())
         b += rep[hits[first[apart]]].tolist()
         tree[np.isin(tree, trees)] = tree[left[k]]
+    give_back()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -248,7 +250,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = written(components(links), "components1")
 
     of = lambda rows, c: rows.join(parts.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c))
-    joined = lambda more: written(components(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)), "components2")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """parts with further links: only what they change goes through components again."""
+        over = of(of(more.select("a", "b"), "a"), "b").where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        moved = components(over).select(F.col("id").alias("component"), F.col("component").alias("to"))
+        known = parts.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        alone = moved.select(F.col("component").alias("id"), F.col("to").alias("component")).join(parts, "id", "left_anti")
+        return written(known.unionByName(alone), "components2")
+
     rest = of(of(first.select("x", "hub"), "x"), "hub").where("c_x <> c_hub").select("x", "hub")
     least = F.when(F.col("width") >= k, F.lit(LEAST_SHARED * k // K)).otherwise(F.ceil(F.col("width") / 2))
     early = written(of(lists.where(F.col("rank") <= F.col("width") - least + 1).select("v", "rep", "n"), "rep"), "early_lists")
