@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +75,26 @@ def differentiated_sigma(column: Column) -> Column:
     return F.regexp_replace(F.translate(column, "ϲϹ", "σΣ"), r"σ(?!\p{L})", "ς")
 
 
+# fixed values: small and full-width variants of marks, and the usual marks
+SMALL_MARKS = ("﹖﹡／﹗│﹦﹢﹪﹠﹕＇❨❩❴❵⟦⟧", "?*/!|=+%&:'(){}[]")
+
+
+def usual_marks(column: Column) -> Column:
+    """Small and full-width variants of marks as the usual ones."""
+    return F.translate(column, *SMALL_MARKS)
+
+
+def inner_sigma_abbreviated(column: Column) -> Column:
+    """A final sigma that stands for a whole word before a point (also within a span) as an inner one."""
+    return F.regexp_replace(column, r"(?<=[\s>])ς(?=(</span>)?\.)", "σ")
+
+
+def script_runs(column: Column) -> Column:
+    """Runs of Greek and of Latin letters, in order: script and run."""
+    runs = F.regexp_extract_all(column, F.lit(r"[\p{IsGreek}]+|[\p{IsLatin}]+"), F.lit(0))
+    return F.transform(runs, lambda r: F.struct(F.when(r.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin").alias("script"), r.alias("run")))
+
+
 def lemma_form(column: Column) -> Column:
     return F.translate(F.lower(column), "vjσς", "uiϲϲ")
 
@@ -172,32 +193,36 @@ def phrase_splits(words: Column) -> Column:
     return F.transform(cut, lambda k: F.struct(F.array_join(F.slice(words, 1, k), " ").alias("head"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("tail")))
 
 
-_VOWELS = "aeiou"
-#: Consonants that a Latin prefix takes on before a stem, by prefix and first letter of the stem.
-ASSIMILATIONS = {"ad": "cfglnprst", "in": "lmr", "con": "lmr", "sub": "cfgmpr", "ob": "cfp"}
+# fixed values: what the last letter of a Latin prefix and the first of a stem become together
+LATIN_JOINTS = {
+    "bd": "d", "bf": "ff", "bp": "pp", "bm": "mm", "br": "rr", "dt": "tt", "ds": "ss", "nr": "rr", "np": "mp", "nm": "mm", "dl": "ll", "dc": "cc",
+    "xr": "r", "xn": "n", "xm": "m", "xv": "v", "xl": "l", "xd": "d", "sn": "n", "sm": "m", "sr": "r", "sf": "ff", "xe": "xse",
+}
 
 
 def joined_prefix(prefix: Column, stem: Column) -> Column:
-    """Latin compound of a prefix and a stem: a dental or nasal assimilates (ad-fero: affero), n turns to m before labials."""
-    first = F.substring(stem, 1, 1)
-    out = F.concat(prefix, stem)
-    for p, letters in ASSIMILATIONS.items():
-        fits = (prefix == p) & first.isin(list(letters))
-        out = F.when(fits, F.concat(F.lit(p[:-1]), first, stem)).otherwise(out)
-    labial = prefix.isin("in", "con") & first.isin("p", "b")
-    return F.when(labial, F.concat(F.regexp_replace(prefix, "n$", "m"), stem)).otherwise(out)
+    """Latin compound of a prefix and a stem: the letters that meet become what LATIN_JOINTS says (ob-fero: offero, ex-mitto: emitto,
+    dis-fundo: diffundo), or stay (trans-eo, de-sero). A long mark (de_) goes."""
+    prefix = F.translate(prefix, "_", "")
+    joints = F.create_map(*(F.lit(x) for pair in LATIN_JOINTS.items() for x in pair))
+    joint = F.try_element_at(joints, F.concat(F.substring(prefix, -1, 1), F.substring(stem, 1, 1)))
+    size = F.char_length(prefix)
+    return F.coalesce(F.concat(F.substring(prefix, F.lit(1), size - 1), joint, F.substring(stem, F.lit(2), F.char_length(stem))), F.concat(prefix, stem))
 
 
 def elided_prefix(prefix: Column, stem: Column) -> Column:
     """Greek compound: a prefix's final short vowel goes before a vowel (except that of περι and προ), and what is left is
-    aspirated before a rough breathing."""
+    aspirated before a rough breathing; a nu takes on the gamma, lambda, mu or sigma that follows it."""
     bare = fold(stem)
     vowel = F.substring(bare, 1, 1).isin(list("αεηιουω"))
     rough = stem.rlike(r"^[ἁἅἃἇἑἕἓἡἥἣἧἱἵἳἷὁὅὃὑὕὓὗὡὥὣὧ]")
     short = F.regexp_replace(prefix, "[αιοε]$", "")
     aspirated = F.regexp_replace(F.regexp_replace(short, "π$", "φ"), "τ$", "θ")
     keeps = prefix.isin("περι", "προ")
-    return F.when(vowel & ~keeps & prefix.rlike("[αιοε]$"), F.concat(F.when(rough, aspirated).otherwise(short), stem)).otherwise(F.concat(prefix, stem))
+    elided = F.concat(F.when(rough, aspirated).otherwise(short), stem)
+    likened = F.concat(F.regexp_replace(prefix, "ν$", ""), F.substring(bare, 1, 1), stem)
+    nasal = prefix.rlike("ν$") & F.substring(bare, 1, 1).isin("γ", "λ", "μ", "ϲ")
+    return F.when(vowel & ~keeps & prefix.rlike("[αιοε]$"), elided).when(nasal, likened).otherwise(F.concat(prefix, stem))
 
 
 def u_for_v_outside_markup(column: Column) -> Column:
@@ -210,10 +235,23 @@ def u_for_v_outside_markup(column: Column) -> Column:
 BETA_LETTERS = ("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρϲτυφχψω")
 BETA_MARKS = {")": "̓", "(": "̔", "/": "́", "\\": "̀", "=": "͂", "+": "̈", "|": "ͅ"}
 
+BETA_SIGNS = {"?": "\u0323", "!": "\u2219"}
+
+
+def beta_to_greek_column(column: Column) -> Column:
+    """beta_to_greek for a column, by Arrow batches in Python."""
+
+    @F.pandas_udf("string")
+    def convert(text: pd.Series) -> pd.Series:
+        return text.map(beta_to_greek, na_action="ignore")
+
+    return convert(column)
+
 
 def beta_to_greek(text: str) -> str:
-    """Beta code as Greek: letters by table, marks composed by Unicode; an asterisk makes a capital, its marks before the letter."""
-    table = dict(zip(*BETA_LETTERS))
+    """Beta code as Greek: letters by table, marks composed by Unicode; an asterisk makes a capital, its marks before the letter. A question
+    mark is a dot below, an exclamation mark a bullet."""
+    table = dict(zip(*BETA_LETTERS)) | BETA_SIGNS
     out, k = [], 0
     text = text.lower()
     while k < len(text):
@@ -255,6 +293,11 @@ def has_accents(term: str) -> bool:
     return any(unicodedata.combining(c) for c in unicodedata.normalize("NFD", term))
 
 
+def line_form(term: str):
+    """The form of lines that a term is looked for in: lower case for a term with accents, else folded (no accents, v as u, j as i)."""
+    return F.lower if has_accents(term) else fold
+
+
 def term_pattern(term: str) -> str:
     """The pattern that a term searches for: sigmas folded, lower case, v and j folded to u and i (plain) or both allowed (accented)."""
     bare = term.lower().translate(str.maketrans("σς", "ϲϲ"))

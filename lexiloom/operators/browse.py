@@ -33,13 +33,54 @@ def span(lines: DataFrame, work_id, first: int, last: int) -> DataFrame:
     return lines.where((F.col("work_id") == work_id) & F.col("idx").between(first, last)).orderBy("idx")
 
 
-def level_values(lines: DataFrame, **fixed) -> DataFrame:
-    """Distinct values of the next lower level where the higher ones are fixed, in numeric order, with their first and last line."""
+def level_values(lines: DataFrame, levels: tuple[str, ...] = ("l1", "l0"), **fixed) -> DataFrame:
+    """Values of the highest level that is not fixed, where the others are: work_id, value, first and last line, and its place among the
+    work's values, by number where all are numbers, else by text."""
     rows = lines
     for name, value in fixed.items():
         rows = rows.where(F.col(name) == value)
-    level = "l0" if "l1" in fixed else "l1"
-    return rows.groupBy("work_id", F.col(level).alias("value")).agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    level = next(x for x in levels if x not in fixed)
+    found = rows.groupBy("work_id", F.col(level).cast("string").alias("value")).agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    number = F.col("value").try_cast("bigint")
+    numeric = F.min(number.isNotNull()).over(Window.partitionBy("work_id"))  # the values of one level of a work
+    order = Window.partitionBy("work_id").orderBy(F.when(F.col("numeric"), number), "value")
+    return found.withColumn("numeric", numeric).withColumn("place", F.row_number().over(order)).drop("numeric")
+
+
+def structure(lines: DataFrame, labels: dict[str, str], **fixed) -> DataFrame:
+    """What a work offers below fixed levels: label of the next level, lowest and highest value, and how many there are."""
+    level = next(x for x in labels if x not in fixed)
+    values = level_values(lines, tuple(labels), **fixed)
+    ends = values.groupBy("work_id").agg(F.min_by("value", "place").alias("low"), F.max_by("value", "place").alias("high"), F.count("*").alias("values"))
+    return ends.select("work_id", F.lit(labels[level]).alias("label"), "low", "high", "values")
+
+
+def foreign_levels(citation: Column) -> Column:
+    """Levels of a citation written elsewhere, highest first: labels and blanks go, a range keeps its beginning, and points, colons and
+    commas part levels (`bk. 2, l. 3-7` is 2 and 3)."""
+    bare = F.regexp_replace(F.lower(citation), r"\b[a-z]+\.?\s*(?=\d)|[\s()\[\]]", "")
+    return F.filter(F.split(F.regexp_replace(bare, r"-[^.:,]*", ""), "[.:,]"), lambda x: x != "")
+
+
+def resolve_citations(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """asked: ask, work_id, citation. The line of each: a full locus; else, of three or more levels, without the second; else the first
+    line of the highest level; else the work's first line. ask, work_id, idx, rung (which of these it was)."""
+    rows = asked.select("ask", "work_id", foreign_levels(F.col("citation")).alias("c"))
+    pair = lambda a, b: F.struct(F.get("c", F.lit(a)).alias("a"), F.get("c", F.lit(b)).alias("b"))
+    tries = F.array(F.struct(F.lit(1).alias("rung"), F.when(F.size("c") == 2, pair(0, 1)).alias("at")), F.struct(F.lit(2).alias("rung"), F.when(F.size("c") > 2, pair(0, 2)).alias("at")), F.struct(F.lit(3).alias("rung"), F.when(F.size("c") >= 1, pair(0, 99)).alias("at")))
+    rows = rows.select("ask", "work_id", F.explode(tries).alias("t")).select("ask", "work_id", "t.rung", "t.at")
+    fits = F.col("at").isNotNull() & (F.col("l1").cast("string") == F.col("at.a")) & (F.col("at.b").isNull() | (F.col("l0").cast("string") == F.col("at.b")))
+    found = lines.select("work_id", "idx", "l1", "l0").join(rows, "work_id").where(fits).groupBy("ask", "work_id", "rung").agg(F.min("idx").alias("idx"))
+    last = asked.join(lines.groupBy("work_id").agg(F.min("idx").alias("idx")), "work_id").select("ask", "work_id", F.lit(4).alias("rung"), "idx")
+    best = found.unionByName(last).groupBy("ask", "work_id").agg(F.min(F.struct("rung", "idx")).alias("best"))
+    return best.select("ask", "work_id", "best.idx", "best.rung")
+
+
+def around(places: DataFrame, lines: DataFrame, context: int) -> DataFrame:
+    """The lines at most `context` before and after each place (ask, work_id, idx), in its work only: ask, work_id, at, idx, line."""
+    wanted = places.select("ask", "work_id", F.col("idx").alias("at"))
+    rows = lines.select("work_id", "idx", "line").join(wanted, "work_id").where(F.abs(F.col("idx") - F.col("at")) <= context)
+    return rows.select("ask", "work_id", "at", "idx", "line")
 
 
 def first_and_last(lines: DataFrame) -> DataFrame:
@@ -69,12 +110,14 @@ def level_changes(rows: DataFrame, key: str, order: str, level: str, every: int)
     return rows.withColumn("changed", changed).withColumn("shown", number & ~F.coalesce(F.lag(number).over(w), F.lit(False)))
 
 
-def bracket_state(works: DataFrame, kind: str = "round") -> DataFrame:
-    """Lines with whether a bracket is still open at their end: opened there, or before and not closed since."""
+def bracket_state(works: DataFrame, kind: str = "round", per_section: int | None = None) -> DataFrame:
+    """Lines with whether a bracket is still open at their end: opened there, or before and not closed since. Where sections are given
+    (so many lines each), a new one begins with nothing open."""
     events = F.transform("lines", lambda line, i: F.struct((i + 1).alias("idx"), F.when(T.opens_bracket(line, kind), 1).when(T.closes_bracket(line, kind), 0).alias("event")))
     keys = [c for c in works.columns if c != "lines"]
     rows = works.select(*keys, F.explode(events).alias("e")).select(*keys, "e.*")
-    w = Window.partitionBy("work_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    section = [] if per_section is None else [F.floor((F.col("idx") - 1) / per_section)]
+    w = Window.partitionBy("work_id", *section).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("open", F.coalesce(F.last("event", ignorenulls=True).over(w), F.lit(0)))
 
 
@@ -84,9 +127,37 @@ def carried(rows: DataFrame, key: str, order: str, value: Column, name: str) ->
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def carried_spans(lines: DataFrame, key: str, order: str, column: str, tag: str = "span") -> DataFrame:
+    """Lines made whole by themselves: `before` tags that earlier lines of the key left open are opened again, and what stays open at
+    the line's end is closed; before, after: how many of each."""
+    opens = F.regexp_count(F.col(column), F.lit(f"<{tag}\\b")) - F.regexp_count(F.col(column), F.lit(f"</{tag}>"))
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.greatest(F.sum(opens).over(upto), F.lit(0))
+    return lines.withColumn("before", F.greatest(F.sum(opens).over(upto) - opens, F.lit(0))).withColumn("after", after)
+
+
 def autocomplete(rows: DataFrame, column: str, prefix: str, cap: int = 50) -> DataFrame:
-    """Distinct values that begin with the prefix, whatever their case, sorted; cap of them."""
-    return rows.where(F.startswith(F.lower(column), F.lit(prefix.lower()))).select(column).distinct().orderBy(column).limit(cap)
+    """Distinct values that begin with the prefix, whatever their case and with or without a bracket before it, sorted; cap of them."""
+    return rows.where(F.startswith(F.regexp_replace(F.lower(column), r"^[\[(<⟨{]+", ""), F.lit(prefix.lower()))).select(column).distinct().orderBy(column).limit(cap)
+
+
+def lemma_hints(rows: DataFrame, column: str, typed: str, cap: int = 50) -> DataFrame:
+    """Distinct values that begin with what is typed, both folded; at least two letters are wanted; cap of them."""
+    if len(typed) < 2:
+        return rows.select(column).limit(0)
+    start = T.fold(F.lit(typed))
+    return rows.where(F.startswith(T.fold(F.col(column)), start)).select(column).distinct().orderBy(column).limit(cap)
+
+
+def labelled_hints(rows: DataFrame, name: str, id_: str, typed: str, cap: int = 50) -> DataFrame:
+    """`name [id]` of the rows whose name begins with what is typed, sorted; cap of them."""
+    label = F.concat(F.col(name), F.lit(" ["), F.col(id_).cast("string"), F.lit("]"))
+    return rows.where(F.startswith(F.lower(name), F.lit(typed.lower()))).select(label.alias("hint")).distinct().orderBy("hint").limit(cap)
+
+
+def starting_with(rows: DataFrame, column: str, start: str) -> DataFrame:
+    """The part of a dictionary that begins so, folded."""
+    return rows.where(F.startswith(T.fold(F.col(column)), T.fold(F.lit(start)))).select(column).distinct()
 
 
 def by_prefix(rows: DataFrame, column: str) -> DataFrame:

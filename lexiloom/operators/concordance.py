@@ -1,5 +1,5 @@
-"""Concordances, indices by headword, vocabularies. A word's loci are gathered as partial lists and sorted once per word; words
-themselves are the shuffle key, so only a word that is everywhere is large, and its count is kept beside the loci."""
+"""Concordances, indices by headword, vocabularies. A word's loci are gathered by work, so no row grows with the corpus; its count over
+all works stands beside them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.interim import written
 
 UNPARSED = "•••unparsed•••"
 
@@ -17,10 +18,12 @@ def words(lines: DataFrame, form=F.lower) -> DataFrame:
 
 
 def by_word(tokens: DataFrame) -> DataFrame:
-    """word, n, loci: for each work `id: line, line`, works parted by semicolons."""
-    one = tokens.groupBy("word", "work_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("idx")), lambda i: i.cast("string")), ", ").alias("in_work"))
-    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("work_id", "in_work"))), lambda x: F.concat(x["work_id"].cast("string"), F.lit(": "), x["in_work"])), "; ")
-    return one.groupBy("word").agg(F.sum("n").alias("n"), all_.alias("loci"))
+    """word, work_id, n, total, loci: the lines of each word in each work, in order, and the word's count over all works. No row gathers
+    more than one work has, however common the word; totals are joined from counts that were summed before any shuffle."""
+    tokens_of = tokens.groupBy("word", "work_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("idx")), lambda i: i.cast("string")), ", ").alias("loci"))
+    one = written(tokens_of, "concordance")
+    total = written(one.groupBy("word").agg(F.sum("n").alias("total")), "concordance_totals")
+    return one.join(total, "word").select("word", "work_id", "n", "total", "loci")
 
 
 def word_counts(tokens: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -35,6 +38,13 @@ def suffix_forms(vocabulary: DataFrame, suffixes: tuple[str, ...] = ("s", "es",
     return vocabulary.select(F.col("word").alias("form"), F.explode(F.array_distinct(F.concat(F.array("word"), found))).alias("headword"))
 
 
+def forms_of_headword(words: DataFrame, headword: str, suffixes: tuple[str, ...] = ("s", "es", "ed", "ing")) -> DataFrame:
+    """form, headword for one headword, out of all words: what can't be a form of it goes before anything is shuffled."""
+    longest = len(headword) + max(map(len, suffixes))
+    likely = words.where(F.startswith("word", F.lit(headword)) & (F.char_length("word") <= longest)).select("word").distinct()
+    return suffix_forms(likely, suffixes).where(F.col("headword") == headword)
+
+
 def by_headword(counts: DataFrame, forms: DataFrame) -> DataFrame:
     """headword, form, n, homonyms: how many headwords a form may belong to; forms without any go to a bucket of their own."""
     many = forms.groupBy("form").agg(F.count("*").alias("homonyms"))
@@ -43,9 +53,10 @@ def by_headword(counts: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def headword_totals(rows: DataFrame) -> DataFrame:
-    """Per headword its forms in order and their total; unparsed ones sort last."""
+    """Per headword its forms in order and their total. Unparsed forms, which may be most of a vocabulary, have a row each and sort last."""
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("form", "n"))), lambda x: F.concat(x["form"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ")
-    return rows.groupBy("headword").agg(F.sum("n").alias("n"), F.count("*").alias("forms"), listed.alias("listing")).withColumn("last", F.col("headword") == UNPARSED)
+    alone = F.when(F.col("headword") == UNPARSED, F.col("form"))
+    return rows.groupBy("headword", alone.alias("alone")).agg(F.sum("n").alias("n"), F.count("*").alias("forms"), listed.alias("listing")).drop("alone").withColumn("last", F.col("headword") == UNPARSED)
 
 
 def vocabulary(tokens: DataFrame, forms: DataFrame, glosses: DataFrame | None = None) -> DataFrame:

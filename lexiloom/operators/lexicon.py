@@ -65,14 +65,14 @@ def parse_analysis(column: Column) -> Column:
 
 
 def declension(forms: DataFrame, genders: list[str], cases: list[str], numbers: list[str]) -> DataFrame:
-    """A row for each case and number, a column for each gender: forms with counts joined by slashes, --- where none. forms: form,
-    analysis, n; slashes in an analysis stand for each of their parts."""
+    """A row for each headword, case and number, a column for each gender: forms with counts joined by slashes, --- where none. forms:
+    headword, form, analysis, n; slashes in an analysis stand for each of their parts. A cell holds one headword's forms."""
     p = F.split("analysis", r"\s+")
-    rows = forms.select("form", "n", F.explode(F.split(F.get(p, F.lit(0)), "/")).alias("gender"), F.get(p, F.lit(1)).alias("cases"), F.get(p, F.lit(2)).alias("number"))
-    rows = rows.select("form", "n", "gender", F.explode(F.split("cases", "/")).alias("case"), "number")
+    rows = forms.select("headword", "form", "n", F.explode(F.split(F.get(p, F.lit(0)), "/")).alias("gender"), F.get(p, F.lit(1)).alias("cases"), F.get(p, F.lit(2)).alias("number"))
+    rows = rows.select("headword", "form", "n", "gender", F.explode(F.split("cases", "/")).alias("case"), "number")
     cell = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("form", "n"))), lambda x: F.concat(x["form"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), " / ")
     rows = rows.where(F.col("case").isin(*cases) & F.col("number").isin(*numbers))
-    return rows.groupBy("case", "number").pivot("gender", genders).agg(cell).fillna("---", genders)
+    return rows.groupBy("headword", "case", "number").pivot("gender", genders).agg(cell).fillna("---", genders)
 
 
 def mostly_conjugated(analyses: DataFrame) -> DataFrame:
@@ -89,3 +89,45 @@ def entry_summaries(body: Column) -> Column:
 
 def superscript_free(column: Column) -> Column:
     return F.regexp_replace(column, "[⁰¹²³⁴⁵⁶⁷⁸⁹]+$", "")
+
+
+def reverse_search(dictionaries: dict[str, DataFrame], counts: DataFrame, term: str) -> DataFrame:
+    """reverse_lookup over several dictionaries (by name) at once: dictionary, entry, translations, total; an entry that several hold is
+    told once for each."""
+    rows = None
+    for name, entries in dictionaries.items():
+        part = entries.select(F.lit(name).alias("dictionary"), "entry", "translations")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.where(F.col("translations").rlike(term)).join(counts, "entry", "left").select("dictionary", "entry", "translations", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def look_up(asked: DataFrame, entries: DataFrame, forms: DataFrame) -> DataFrame:
+    """asked: term as typed. entries: id, entry. forms: form, headword. Terms are normalised, then looked for as entries, as entries without
+    superscripts, and as forms of entries: term, rung, id, entry, each entry once a term."""
+    from ..functions import text as T
+
+    asked = asked.select("term", T.lemma_form(F.trim("term")).alias("probe"))
+    bare = entries.select("id", "entry", superscript_free(F.lower("entry")).alias("bare"))
+    exact = asked.join(bare, F.col("probe") == F.lower("entry")).select("term", F.lit(1).alias("rung"), "id", "entry")
+    plain = asked.join(bare, F.col("probe") == F.col("bare")).select("term", F.lit(2).alias("rung"), "id", "entry")
+    parsed = asked.join(forms, F.col("probe") == F.col("form")).join(bare, F.col("headword") == F.col("bare")).select("term", F.lit(3).alias("rung"), "id", "entry")
+    found = exact.unionByName(plain).unionByName(parsed)
+    best = found.groupBy("term").agg(F.min("rung").alias("rung"))
+    return found.join(best, ["term", "rung"]).distinct()
+
+
+def by_inflected_form(asked: DataFrame, forms: DataFrame) -> DataFrame:
+    """term, headword, forms: the headwords that an inflected form may belong to, each with all the forms that are known of it."""
+    from ..functions import text as T
+
+    mine = asked.select("term", T.lemma_form("term").alias("form")).join(forms, "form").select("term", "headword").distinct()
+    known = forms.join(mine.select("headword").distinct(), "headword", "left_semi").groupBy("headword").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    return mine.join(known, "headword").select("term", "headword", "forms")
+
+
+def by_cross_reference(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked: xref, entry. The entry of a cross reference by its own name, else without superscripts: xref, id, entry."""
+    one = asked.join(entries, "entry").select("xref", F.lit(1).alias("rung"), "id", "entry")
+    two = asked.select("xref", superscript_free(F.col("entry")).alias("bare")).join(entries.withColumn("bare", superscript_free(F.col("entry"))), "bare").select("xref", F.lit(2).alias("rung"), "id", "entry")
+    best = one.unionByName(two).groupBy("xref").agg(F.min(F.struct("rung", "id", "entry")).alias("b"))
+    return best.select("xref", "b.id", "b.entry")

@@ -114,6 +114,13 @@ def facets(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return parts.select(*keys, F.trim(F.regexp_replace("part", r"\[[^\]]*\]", "")).alias("value")).where("value <> ''").distinct()
 
 
+def authors_in_full(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (language, abbreviation) with `author`: what a table of the language's abbreviations (language, abbreviation, author) says,
+    else the abbreviation itself."""
+    rows = asked.join(known, ["language", "abbreviation"], "left")
+    return rows.withColumn("author", F.coalesce("author", "abbreviation"))
+
+
 def fingerprint(ids: DataFrame, column: str) -> DataFrame:
     """An md5 of a scope's sorted ids, by way of one digest of each id, so that nothing but digests meets."""
     one = ids.select(F.md5(F.col(column).cast("string")).alias("d")).distinct()

@@ -1,7 +1,8 @@
-"""Searches over works (corpus, author, work_id, lines array<string>). All but word proximity and lemma search stay inside a work's row,
+"""Searches over works (corpus, author, work_id, lines array<string>). All stay inside a work's row,
 so they need no shuffle; each ends in lines: corpus, author, work_id, idx, line.
 
-Patterns are Java regular expressions; an invalid one finds nothing, as the reader of a search form expects."""
+What a line is tested for is a pattern (a Java regular expression; an invalid one finds nothing, as the reader of a search form
+expects) or any function from a line to a condition, such as `holding` the forms of a headword."""
 
 from __future__ import annotations
 
@@ -22,6 +23,15 @@ def valid_pattern(spark: SparkSession, pattern: str) -> bool:
     return True
 
 
+def holding(words: list[str], form=F.lower):
+    """A test for lines: whether one of their words is among some (the forms of one headword: their number is bounded by its inflection)."""
+    return lambda line: F.exists(T.index_tokens(form(line)), lambda w: w.isin(words)) if words else F.lit(False)
+
+
+def _test(what, form):
+    return what if callable(what) else lambda line: form(line).rlike(what)
+
+
 def _numbered(lines: Column) -> Column:
     """(idx, line) of each line of a work."""
     return F.transform(lines, lambda line, i: F.struct((i + 1).alias("idx"), line.alias("line")))
@@ -32,18 +42,19 @@ def _found(works: DataFrame, hits: Column) -> DataFrame:
     return works.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.idx", "hit.line")
 
 
-def simple(works: DataFrame, pattern: str, form=F.lower) -> DataFrame:
-    """Lines whose folded form matches: lines become rows first, so that generation and filter are compiled as one."""
-    return corpus.lines(works).where(form("line").rlike(pattern)).select(*(c for c in works.columns if c != "lines"), "idx", "line")
+def simple(works: DataFrame, pattern, form=F.lower) -> DataFrame:
+    """Lines that pass the test: lines become rows first, so that generation and filter are compiled as one."""
+    return corpus.lines(works).where(_test(pattern, form)(F.col("line"))).select(*(c for c in works.columns if c != "lines"), "idx", "line")
 
 
-def near_lines(works: DataFrame, pattern: str, other: str, distance: int, near: bool = True, form=F.lower) -> DataFrame:
-    """Lines that match, with (or without) a match of the other pattern in the same work at most `distance` lines away."""
-    second = F.filter(_numbered(F.col("lines")), lambda x: form(x["line"]).rlike(other))
+def near_lines(works: DataFrame, pattern, other, distance: int, near: bool = True, form=F.lower) -> DataFrame:
+    """Lines that pass the test, with (or without) a line that passes the other in the same work at most `distance` lines away."""
+    first, other = _test(pattern, form), _test(other, form)
+    second = F.filter(_numbered(F.col("lines")), lambda x: other(x["line"]))
     rows = works.withColumn("second", F.transform(second, lambda x: x["idx"]))
     close = lambda x: F.exists("second", lambda k: F.abs(k - x["idx"]) <= distance)
     wanted = (lambda x: close(x)) if near else (lambda x: ~close(x))
-    return _found(rows, F.filter(_numbered(F.col("lines")), lambda x: form(x["line"]).rlike(pattern) & wanted(x))).drop("second")
+    return _found(rows, F.filter(_numbered(F.col("lines")), lambda x: first(x["line"]) & wanted(x))).drop("second")
 
 
 def phrase(works: DataFrame, words: str, form=F.lower) -> DataFrame:
@@ -68,11 +79,11 @@ def phrase_window(works: DataFrame, pattern: str, form=F.lower) -> DataFrame:
     return _found(works, F.filter(nexts, lambda x: form(x["both"]).rlike(pattern)))
 
 
-def phrase_near(works: DataFrame, words: str, other: str, distance: int, near: bool = True, form=F.lower) -> DataFrame:
+def phrase_near(works: DataFrame, words: str, other, distance: int, near: bool = True, form=F.lower) -> DataFrame:
     """Phrase hits with (or without) a match of the other pattern at most `distance` lines away in the same work. The other's lines go
     along with the work's id only, and one row of a work meets its phrase hits."""
-    hits = phrase(works, words, form)
-    second = F.transform(F.filter(_numbered(F.col("lines")), lambda x: form(x["line"]).rlike(other)), lambda x: x["idx"])
+    hits, other = phrase(works, words, form), _test(other, form)
+    second = F.transform(F.filter(_numbered(F.col("lines")), lambda x: other(x["line"])), lambda x: x["idx"])
     others = works.select("work_id", second.alias("second"))
     close = F.exists("second", lambda k: F.abs(k - F.col("idx")) <= distance)
     return hits.join(others, "work_id").where(close if near else ~close).select(*hits.columns)
@@ -84,40 +95,79 @@ def work_tokens(works: DataFrame, form=F.lower) -> DataFrame:
     return works.withColumn("words", words)
 
 
-def near_words(works: DataFrame, word: str, other: str, distance: int, near: bool = True, form=F.lower) -> DataFrame:
-    """Lines with the word whose first occurrence has (or lacks) the other word among `distance` words on either side, over line
-    borders and inside the work."""
-    rows = work_tokens(works, form)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w["word"].alias("word"), w["idx"].alias("idx"), i.alias("at"))), lambda w: w["word"] == word)
-    rows = rows.withColumn("firsts", F.filter(places, lambda w: w["word"].isNotNull()))
-    # the first of each line: sorted by place, an entry whose line differs from that before it
-    rows = rows.withColumn("firsts", F.filter("firsts", lambda w, i: (i == 0) | (F.get("firsts", i - 1)["idx"] != w["idx"])))
-    around = lambda w: F.slice("words", F.greatest(w["at"] - distance + 1, F.lit(1)), F.when(w["at"] < distance, w["at"]).otherwise(distance))
-    after = lambda w: F.slice("words", w["at"] + 2, F.lit(distance))
-    close = lambda w: F.exists(around(w), lambda v: v["word"] == other) | F.exists(after(w), lambda v: v["word"] == other)
+def _word(what):
+    """A test for one word: equality with a text, or any function to a condition."""
+    return what if callable(what) else lambda w: w == what
+
+
+def one_of(words: list[str]):
+    """A test for words: whether they are among some; the index forms of both sides meet."""
+    return lambda w: F.regexp_replace(w, r"[\p{P}\p{S}]", "").isin(words) if words else F.lit(False)
+
+
+def _first_places(rows: DataFrame, hit, length: int = 1) -> DataFrame:
+    """rows with `firsts`: (idx, at) of the first hit of each line. hit: places i of `words` at which something of `length` words begins."""
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w["idx"].alias("idx"), i.alias("at"), hit(i).alias("fits"))), lambda w: w["fits"])
+    rows = rows.withColumn("firsts", places)
+    # sorted by place: an entry whose line differs from that before it
+    return rows.withColumn("firsts", F.filter("firsts", lambda w, i: (i == 0) | (F.get("firsts", i - 1)["idx"] != w["idx"])))
+
+
+def _before(at: Column, distance: int) -> Column:
+    return F.slice("words", F.greatest(at - distance + 1, F.lit(1)), F.when(at < distance, at).otherwise(distance))
+
+
+def near_words(works: DataFrame, word, other, distance: int, near: bool = True, form=F.lower) -> DataFrame:
+    """Lines with a word (or phrase, a list of words) whose first occurrence has (or lacks) the other word among `distance` words on
+    either side of it, over line borders and inside the work."""
+    parts = [_word(w) for w in (word if isinstance(word, list) else [word])]
+    other = _word(other)
+
+    def hit(i):
+        found = parts[0](F.get("words", i)["word"])
+        for k, part in enumerate(parts[1:], 1):
+            found = found & F.coalesce(part(F.get("words", i + k)["word"]), F.lit(False))
+        return found
+
+    rows = _first_places(work_tokens(works, form), hit, len(parts))
+    after = lambda w: F.slice("words", w["at"] + 1 + len(parts), F.lit(distance))
+    close = lambda w: F.exists(_before(w["at"], distance), lambda v: other(v["word"])) | F.exists(after(w), lambda v: other(v["word"]))
     hits = F.filter("firsts", (lambda w: close(w)) if near else (lambda w: ~close(w)))
     keys = [c for c in works.columns if c != "lines"]
-    hit = F.transform(hits, lambda w: F.struct(w["idx"].alias("idx"), F.get("lines", w["idx"] - 1).alias("line")))
-    return rows.select(*keys, F.explode(hit).alias("hit")).select(*keys, "hit.idx", "hit.line")
+    hit_ = F.transform(hits, lambda w: F.struct(w["idx"].alias("idx"), F.get("lines", w["idx"] - 1).alias("line")))
+    return rows.select(*keys, F.explode(hit_).alias("hit")).select(*keys, "hit.idx", "hit.line")
 
 
-def neighbours_of_word(works: DataFrame, word: str, distance: int, form=F.lower) -> DataFrame:
+def neighbours_of_word(works: DataFrame, word, distance: int, form=F.lower) -> DataFrame:
     """For each first hit of a line the words before and after it, at most `distance` each."""
-    rows = work_tokens(works, form)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w["word"].alias("word"), w["idx"].alias("idx"), i.alias("at"))), lambda w: w["word"] == word)
-    rows = rows.withColumn("hits", places)
-    rows = rows.withColumn("hits", F.filter("hits", lambda w, i: (i == 0) | (F.get("hits", i - 1)["idx"] != w["idx"])))
+    test = _word(word)
+    rows = _first_places(work_tokens(works, form), lambda i: test(F.get("words", i)["word"]))
     text = lambda part: F.array_join(F.transform(part, lambda v: v["word"]), " ")
-    out = F.transform("hits", lambda w: F.struct(w["idx"].alias("idx"), text(F.slice("words", F.greatest(w["at"] - distance + 1, F.lit(1)), F.when(w["at"] < distance, w["at"]).otherwise(distance))).alias("leading"), text(F.slice("words", w["at"] + 2, F.lit(distance))).alias("lagging")))
+    out = F.transform("firsts", lambda w: F.struct(w["idx"].alias("idx"), text(_before(w["at"], distance)).alias("leading"), text(F.slice("words", w["at"] + 2, F.lit(distance))).alias("lagging")))
     keys = [c for c in works.columns if c != "lines"]
     return rows.select(*keys, F.explode(out).alias("hit")).select(*keys, "hit.idx", "hit.leading", "hit.lagging")
 
 
-def lemma(lines: DataFrame, forms: DataFrame, headword: str, form=F.lower) -> DataFrame:
-    """Lines that hold a form of the headword. forms: form, headword. The forms of one headword are few; Spark sees their size."""
-    wanted = forms.where(F.col("headword") == headword).select(F.col("form").alias("word")).distinct()
-    rows = lines.withColumn("word", F.explode(F.array_distinct(T.index_tokens(form("line")))))
-    return rows.join(wanted, "word", "left_semi").drop("word").distinct()
+def window_matches(works: DataFrame, word, pattern: str, distance: int, near: bool = True, form=F.lower) -> DataFrame:
+    """First hits of a word whose `distance` words before, or those after, match (or neither do) a pattern as one text."""
+    fits = F.col("leading").rlike(pattern) | F.col("lagging").rlike(pattern)
+    return neighbours_of_word(works, word, distance, form).where(fits if near else ~fits)
+
+
+def lemma(works: DataFrame, words: list[str], form=F.lower) -> DataFrame:
+    """Lines that hold a form of a headword, given its forms (see forms_of): no join and no shuffle of lines."""
+    return simple(works, holding(words, form))
+
+
+def forms_of(forms: DataFrame, headword: str) -> list[str]:
+    """The forms of one headword: as many as it has inflections, so they fit a test."""
+    return sorted(r.form for r in forms.where(F.col("headword") == headword).select("form").distinct().collect())
+
+
+def term_or_headword(works: DataFrame, term: str, forms: DataFrame) -> DataFrame:
+    """What a click on a word looks for: the lines of all forms of the headword if it is one, else those of the word itself."""
+    found = forms_of(forms, term)
+    return lemma(works, found) if found else simple(works, T.term_pattern(f" {term} "))
 
 
 def extended_lines(works: DataFrame, words: int) -> DataFrame:
@@ -148,12 +198,14 @@ def capped(hits: DataFrame, cap: int, order: list) -> DataFrame:
 
 
 def with_context(hits: DataFrame, works: DataFrame, context: int) -> DataFrame:
-    """For each hit its lines idx - floor(context / 2) .. idx + ceil-less half, those of its work only: hit_idx, idx, line."""
-    low = F.floor(F.col("hit_idx") - F.lit(context) / 2).cast("int")
-    high = F.floor(F.col("hit_idx") + F.lit(context) / 2).cast("int")
-    rows = hits.select("work_id", F.col("idx").alias("hit_idx")).distinct().join(works.select("work_id", "lines"), "work_id")
-    rows = rows.select("work_id", "hit_idx", "lines", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.least(high, F.size("lines")))).alias("idx"))
-    return rows.select("work_id", "hit_idx", "idx", F.get("lines", F.col("idx") - 1).alias("line"))
+    """For each hit its lines idx - floor(context / 2) .. idx + ceil-less half, those of its work only: hit_idx, idx, line. A work meets
+    its hits in one row, and what leaves that row are the lines of the windows, not the work once for each of them."""
+    low = lambda h: F.greatest(F.floor(h - F.lit(context) / 2).cast("int"), F.lit(1))
+    high = lambda h: F.least(F.floor(h + F.lit(context) / 2).cast("int"), F.size("lines"))
+    wanted = hits.groupBy("work_id").agg(F.collect_set("idx").alias("hits_"))
+    window = lambda h: F.transform(F.sequence(low(h), high(h)), lambda i: F.struct(h.alias("hit_idx"), i.alias("idx"), F.get("lines", i - 1).alias("line")))
+    rows = works.select("work_id", "lines").join(wanted, "work_id").select("work_id", F.explode(F.flatten(F.transform("hits_", window))).alias("x"))
+    return rows.select("work_id", "x.hit_idx", "x.idx", "x.line")
 
 
 def rarest_term(lines: DataFrame, terms: list[str], form=F.lower) -> DataFrame:

@@ -63,3 +63,50 @@ def unknown_era(total: Column, parts: list[Column]) -> Column:
 def frequency_class(counts: DataFrame) -> DataFrame:
     """Decile-like classes of words by the power of ten of their count."""
     return counts.withColumn("class", F.floor(F.log10("n")).cast("int"))
+
+
+def weights_to(total: DataFrame, columns: list[str], base: str, digits: int = 2) -> DataFrame:
+    """One row: what evens each column out to the base's, rounded; zero columns have none."""
+    return total.select(*(F.when(F.col(c) > 0, F.round(F.col(base) / F.col(c), digits)).alias(c) for c in columns))
+
+
+def conditional_sums(rows: DataFrame, size: str, conditions: dict[str, Column]) -> DataFrame:
+    """One row: the sum of a size over the rows that meet each condition."""
+    return rows.agg(*(F.coalesce(F.sum(F.when(c, F.col(size))), F.lit(0)).alias(name) for name, c in conditions.items()))
+
+
+def genre_weights(totals: DataFrame, groups: dict[str, list[str]] | None = None, digits: int = 2) -> DataFrame:
+    """genre, n to genre, weight: the largest over n, rounded; genres without anything go. Groups are added up to genres of their own
+    beside their parts, but do not set the scale."""
+    rows = totals.where("n > 0").select("genre", "n", F.lit(False).alias("grouped"))
+    for name, parts in (groups or {}).items():
+        some = totals.where(F.col("genre").isin(*parts)).agg(F.sum("n").alias("n")).where("n > 0")
+        rows = rows.unionByName(some.select(F.lit(name).alias("genre"), "n", F.lit(True).alias("grouped")))
+    top = totals.agg(F.max("n").alias("top"))
+    return rows.join(F.broadcast(top)).select("genre", F.round(F.col("top") / F.col("n"), digits).alias("weight"), "grouped")  # one row
+
+
+def weighted_of_script(distribution: DataFrame, columns: list[str], script: str) -> DataFrame:
+    """A weighted distribution for entries of one script only; the others have none."""
+    fits = F.col("word").rlike(script)
+    return distribution.select("word", *(F.when(fits, F.col(c)).alias(c) for c in columns))
+
+
+def without_minor(weight_rows: DataFrame, most: float = 500.0) -> DataFrame:
+    """Weights below a bound: what is so rare that it would lead every ranking goes."""
+    return weight_rows.where(F.col("weight") < most)
+
+
+def genre_ranking(counts: DataFrame, weight_rows: DataFrame, digits: int = 4) -> DataFrame:
+    """word, genre, value, place: counts (word, genre, n) times the genres' weights, the word's largest being 100. Weights are one row a genre."""
+    raw = counts.join(F.broadcast(weight_rows.select("genre", "weight")), "genre").select("word", "genre", (F.col("n") * F.col("weight")).alias("raw"))
+    of_word = Window.partitionBy("word")  # one row a genre
+    rows = raw.withColumn("value", F.round(100 * F.col("raw") / F.max("raw").over(of_word), digits)).where("value is not null")
+    return rows.withColumn("place", F.row_number().over(of_word.orderBy(F.desc("value"), "genre"))).drop("raw")
+
+
+def prevalence(total: Column, parts: dict[str, Column]) -> Column:
+    """What a word's entry tells of its counts: each part that is not zero, and the total unless one part is all of it."""
+    each = [F.when(c > 0, F.concat(F.lit(f"{name} "), c.cast("string"))) for name, c in parts.items()]
+    most = F.greatest(*parts.values())
+    return F.concat_ws(" / ", *each, F.when(total != most, F.concat(F.lit("total "), total.cast("string"))))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, PCA, Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.interim import written
 
 
+#: Forms whose choice of headwords is broadcast (about 100 bytes each); beyond, words are joined by shuffle.
+MOST_BROADCAST_FORMS = 500_000
+
+
 def sentence_words(works: DataFrame) -> DataFrame:
     """work_id, sentence (from 1), words: a work's lines joined, cut at sentence ends, folded, punctuation off, empty ones gone."""
     text = T.vector_clean(F.array_join("lines", " "))
@@ -31,13 +37,15 @@ def bundled(works: DataFrame, size: int) -> DataFrame:
 
 def bags(sentences: DataFrame, forms: DataFrame, totals: DataFrame, method: str, stops: list[str] = ()) -> DataFrame:
     """work_id, sentence, bag. flat: all headwords a word may belong to; alternates: they are joined by a middle dot; winner: the one
-    counted most often (ties by the alphabet); plain: the words. A word any of whose headwords is a stop word goes."""
+    counted most often (ties by the alphabet); plain: the words. A word any of whose headwords is a stop word goes. What a form becomes
+    is settled once for each form and broadcast up to MOST_BROADCAST_FORMS of them, so that words are not shuffled by form."""
     if method == "plain":
         kept = F.filter("words", lambda w: ~w.isin(*stops)) if stops else F.col("words")
         return sentences.select("work_id", "sentence", F.array_join(kept, " ").alias("bag"))
     ranked = forms.join(totals, "headword", "left").select("form", "headword", F.coalesce("total", F.lit(0)).alias("total"))
-    choice = ranked.groupBy("form").agg(F.sort_array(F.collect_set("headword")).alias("heads"), F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "headword")))[0]["headword"].alias("best"))
-    rows = sentences.select("work_id", "sentence", F.posexplode("words").alias("pos", "form")).join(choice, "form", "left")
+    choice = written(ranked.groupBy("form").agg(F.sort_array(F.collect_set("headword")).alias("heads"), F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "headword")))[0]["headword"].alias("best")), "form_choice")
+    few = choice.count() <= MOST_BROADCAST_FORMS
+    rows = sentences.select("work_id", "sentence", F.posexplode("words").alias("pos", "form")).join(F.broadcast(choice) if few else choice, "form", "left")
     heads = F.coalesce("heads", F.array("form"))
     if stops:
         rows = rows.where(~F.arrays_overlap(heads, F.array(*map(F.lit, stops))))
@@ -107,12 +115,97 @@ def tfidf(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
 
 
 def best_tfidf_matches(queries: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Pairs of a stated query set and documents by cosine of tf-idf weights (both from tfidf()): a join on words, summed by pair."""
-    pairs = queries.select(F.col("id").alias("query"), "word", F.col("w").alias("a")).join(docs.select(F.col("id").alias("doc"), "word", F.col("w").alias("b")), "word")
-    return pairs.groupBy("query", "doc").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def word2vec(sentences: DataFrame, size: int = 50, window: int = 10, least: int = 10, steps: int = 1, seed: int = 1, partitions: int = 8):
+    """Pairs of queries and documents by cosine of tf-idf weights (both from tfidf()), at least `least`. Candidates share a word that
+    counts: a query's words are ordered by how many documents hold them, and the commonest are left out as long as all of them
+    together, each at its largest weight in any document, stay below `least`. Candidates are then compared on all words."""
+    seen = written(docs.groupBy("word").agg(F.max("w").alias("most"), F.count("*").alias("df")), "word_bounds")
+    common_first = Window.partitionBy("id").orderBy(F.desc("df"), "word").rowsBetween(Window.unboundedPreceding, 0)  # one query's words
+    bound = queries.join(seen, "word").withColumn("upto", F.sum(F.col("w") * F.col("most")).over(common_first))
+    telling = bound.where(F.col("upto") >= least * (1 - 1e-9)).select(F.col("id").alias("query"), "word")
+    pairs = written(telling.join(docs.select(F.col("id").alias("doc"), "word"), "word").select("query", "doc").distinct(), "tfidf_candidates")
+    whole = lambda rows, name: rows.groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("word", "w"))).alias(f"{name}_words"))
+    rows = pairs.join(whole(queries, "query"), "query").join(whole(docs.join(pairs.select(F.col("doc").alias("id")).distinct(), "id", "left_semi"), "doc"), "doc")
+    shared = F.array_intersect(F.map_keys("query_words"), F.map_keys("doc_words"))
+    total = F.aggregate(shared, F.lit(0.0), lambda s, w: s + F.element_at("query_words", w) * F.element_at("doc_words", w))
+    return rows.select("query", "doc", total.alias("similarity")).where(F.col("similarity") >= least)
+
+
+def best_of_each(pairs: DataFrame, k: int, different: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """The k likest documents of each query (ties by id); with a table (id, column) only those whose column differs from the query's."""
+    if different:
+        table, column = different
+        of = lambda name: table.select(F.col("id").alias(name), F.col(column).alias(f"{name}_"))
+        pairs = pairs.join(of("query"), "query").join(of("doc"), "doc").where("query_ <> doc_").drop("query_", "doc_")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doc"))
+    return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def similar_documents(weights: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity: pairs of one table's documents, a before b."""
+    pairs = best_tfidf_matches(weights, weights, least)
+    return pairs.where("query < doc").select(F.col("query").alias("a"), F.col("doc").alias("b"), "similarity")
+
+
+def multiplied_analogy(vectors: DataFrame, plus: list[list[float]], minus: list[list[float]], k: int, without: list, digits: int = 4) -> DataFrame:
+    """Rows by the product of their likeness to plus over that to minus, likeness being (1 + cosine) / 2."""
+    like = lambda v: (1 + cosine(F.col("embedding"), F.array(*map(F.lit, v)))) / 2
+    score = F.lit(1.0)
+    for v in plus:
+        score = score * like(v)
+    below = F.lit(1.0)
+    for v in minus:
+        below = below * like(v)
+    rows = vectors.where(~F.col("vec_id").isin(*without)) if without else vectors
+    return rows.select("vec_id", F.round(score / (below + 1e-6), digits).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def sentence_loci(works: DataFrame, term: str | None = None) -> DataFrame:
+    """work_id, sentence, text, idx: sentences over line borders, with the line that each begins in: its own mark if it starts with one, else
+    the last one seen before it. With a term (a pattern) only sentences that match."""
+    marked = F.array_join(F.transform("lines", lambda line, i: F.concat(F.lit("⊏"), (i + 1).cast("string"), F.lit("⊐"), line)), " ")
+    rows = works.select("work_id", F.posexplode(T.sentences(marked)).alias("pos", "raw"))
+    marks = F.regexp_extract_all("raw", F.lit("⊏(\\d+)⊐"), F.lit(1))
+    rows = rows.select("work_id", "pos", F.trim(F.regexp_replace("raw", r"⊏\d+⊐", "")).alias("text"), F.regexp_extract("raw", r"^\s*⊏(\d+)⊐", 1).alias("own"), F.try_element_at(marks, F.lit(-1)).alias("last"))
+    before = Window.partitionBy("work_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # a work's sentences
+    rows = rows.withColumn("idx", F.coalesce(F.when(F.col("own") != "", F.col("own")), F.last("last", ignorenulls=True).over(before)).cast("int"))
+    rows = rows.where("text <> ''").select("work_id", F.col("pos").alias("sentence"), "text", "idx")
+    return rows if term is None else rows.where(F.lower("text").rlike(term))
+
+
+def lines_of_sentences(sentences: DataFrame, lines: DataFrame) -> DataFrame:
+    """sentences (column text) with the lines (work_id, idx) that are equal to them but for blanks at the ends."""
+    asked = sentences.select(F.trim("text").alias("text")).distinct()
+    return lines.select("work_id", "idx", F.trim("line").alias("text")).where("text <> ''").join(asked, "text")
+
+
+def refusal(words: int, terms: list[str], known: set[str], most_words: int = 7_548_165) -> str | None:
+    """Why a vector search can't be made: nothing to search, no term, an unknown term, more words than a model may be made of."""
+    if words == 0:
+        return "the scope is empty"
+    if not [t for t in terms if t]:
+        return "no term"
+    if words > most_words:
+        return f"{words} words, more than {most_words}"
+    missing = [t for t in terms if t not in known and t[:1].lower() + t[1:] not in known]
+    return f"unknown: {', '.join(missing)}" if missing else None
+
+
+def neighbours_of_terms(vectors: DataFrame, terms: list[str], k: int = 25, least: float = 0.15) -> DataFrame:
+    """vectors: word, embedding. Of one term the k likest words, of two their similarity: a, b, similarity. A term that is unknown is
+    tried with a small initial."""
+    tried = list(dict.fromkeys([*terms, *(t[:1].lower() + t[1:] for t in terms)]))
+    found = {r.word: list(r.embedding) for r in vectors.where(F.col("word").isin(*tried)).collect()}
+    names = [t if t in found else t[:1].lower() + t[1:] for t in terms]
+    if any(n not in found for n in names):
+        return vectors.select(F.lit("").alias("a"), F.col("word").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    if len(names) == 1:
+        rows = nearest(vectors.withColumnRenamed("word", "vec_id"), found[names[0]], k, least, without=names)
+        return rows.select(F.lit(names[0]).alias("a"), F.col("vec_id").alias("b"), "similarity")
+    rows = vectors.where(F.col("word") == names[1])
+    return rows.select(F.lit(names[0]).alias("a"), F.col("word").alias("b"), F.round(cosine(F.col("embedding"), F.array(*map(F.lit, found[names[0]]))), 4).alias("similarity"))
+
+
+def word2vec(sentences: DataFrame, size: int = 300, window: int = 10, least: int = 10, steps: int = 12, seed: int = 1, partitions: int = 8):
     """A fitted skip-gram model (hierarchical softmax; Spark has no negative sampling and no subsampling)."""
     return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=steps, seed=seed, inputCol="words", outputCol="vector", numPartitions=partitions).fit(sentences)
 
@@ -135,3 +228,31 @@ def latent_space(sentences: DataFrame, key: list[str], k: int = 20, features: in
     from pyspark.ml.functions import vector_to_array
 
     return Normalizer(inputCol="reduced", outputCol="unit").transform(rows).select(*key, vector_to_array("unit").alias("embedding"))
+
+
+def lsi(docs: DataFrame, query: list[str], k: int = 250, features: int = 2000, least_docs: int = 5) -> DataFrame:
+    """docs: id, words. id and similarity of each document to a query of words, by cosine in the space of the k largest singular values
+    of the tf-idf matrix. The matrix is distributed; only its products of columns (features x features numbers) come to the driver, whose
+    largest eigenvectors are the matrix's right singular vectors."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features, minDF=least_docs).fit(docs)
+    idf = IDF(inputCol="counts", outputCol="weights").fit(counter.transform(docs))
+    rows = idf.transform(counter.transform(docs)).select("id", "weights")
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("weights"), "weights"))
+    axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, -k:]
+    asked = idf.transform(counter.transform(docs.sparkSession.createDataFrame([(query,)], "words array<string>"))).first().weights.toArray() @ axes
+    reduced = _project(axes)
+    rows = rows.select("id", reduced(vector_to_array("weights")).alias("v"))
+    q = F.array(*(F.lit(float(x)) for x in asked))
+    return rows.select("id", F.coalesce(F.try_divide(dot(F.col("v"), q), norm(F.col("v")) * norm(q)), F.lit(0.0)).alias("similarity"))
+
+
+def _project(axes):
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_list()) @ axes)) if len(x) else pd.Series([], dtype=object)
+
+    return project

@@ -61,35 +61,45 @@ def corpora_mask(corpora: tuple[str, ...]) -> int:
     return sum(1 << k for k, c in enumerate(CORPORA) if c in corpora)
 
 
-def rationalised(scope: P.Scope) -> P.Scope:
-    """A scope without what it says twice: works of chosen authors, and choices that are excluded again."""
-    out = set(scope.without_authors), set(scope.without_works)
-    return replace(scope, authors=tuple(sorted(set(scope.authors) - out[0])), works=tuple(sorted(set(scope.works) - out[1])))
+def rationalised(scope: P.Scope, author_of: dict[int, str] | None = None) -> P.Scope:
+    """A scope without what it says twice: choices that are excluded again, and, where the authors of works are given, chosen works of
+    chosen authors and excluded works of excluded ones."""
+    of = (author_of or {}).get
+    without_works = [w for w in scope.without_works if of(w) not in scope.without_authors]
+    authors = set(scope.authors) - set(scope.without_authors)
+    works = [w for w in scope.works if w not in scope.without_works and of(w) not in authors | set(scope.without_authors)]
+    return replace(scope, authors=tuple(sorted(authors)), works=tuple(sorted(set(works))), without_works=tuple(sorted(set(without_works))))
 
 
-def _pattern(spec_term: str, lemma: str, forms: DataFrame | None) -> str:
-    """The pattern of a term, or of all forms of a headword (a few dozen at most)."""
-    if not lemma:
-        return T.term_pattern(T.clean_query(spec_term))
-    found = [r.form for r in forms.where(F.col("headword") == lemma).select("form").distinct().orderBy("form").limit(1000).collect()]
-    return T.word_list_pattern(found) if found else r"(?!)"
+def _line_test(term: str, headword: str, forms: DataFrame | None):
+    """What lines are tested for: a pattern on the form of the line that the term asks for, or the forms of a headword."""
+    if headword:
+        return S.holding(S.forms_of(forms, headword))
+    pattern, form = T.term_pattern(T.clean_query(term)), T.line_form(term)
+    return lambda line: form(line).rlike(pattern)
+
+
+def _word_test(term: str, headword: str, forms: DataFrame | None):
+    return S.one_of(S.forms_of(forms, headword)) if headword else term.strip().lower()
 
 
 def hits(spec: SearchSpec, works: DataFrame, forms: DataFrame | None = None) -> DataFrame:
-    """All hits of a checked spec in works already scoped."""
+    """All hits of a checked spec in works already scoped. Words and lines as units hold for terms, headwords and phrases alike."""
     spark = works.sparkSession
+    patterns = [T.term_pattern(T.clean_query(t)) for t, lemma in ((spec.term, spec.lemma), (spec.other, spec.other_lemma)) if t.strip() and not lemma]
+    if not all(S.valid_pattern(spark, p) for p in patterns):
+        return S.simple(works.limit(0), "x")
+    phrase = T.term_pattern(T.clean_query(spec.term, regex=False)).strip()
     if spec.kind == "phrase":
-        return S.phrase(works, T.term_pattern(T.clean_query(spec.term, regex=False)).strip())
-    second = _pattern(spec.other, spec.other_lemma, forms) if spec.other.strip() or spec.other_lemma else ""
+        return S.phrase(works, phrase, T.line_form(spec.term))
+    if spec.kind in ("proximity", "phrase and proximity") and spec.unit == "words":
+        first = spec.term.lower().split() if spec.kind == "phrase and proximity" else _word_test(spec.term, spec.lemma, forms)
+        return S.near_words(works, first, _word_test(spec.other, spec.other_lemma, forms), spec.distance, spec.near)
     if spec.kind == "phrase and proximity":
-        return S.phrase_near(works, T.term_pattern(T.clean_query(spec.term, regex=False)).strip(), second, spec.distance, spec.near)
-    if spec.kind == "proximity" and spec.unit == "words" and not spec.lemma and not spec.other_lemma:
-        return S.near_words(works, spec.term.strip().lower(), spec.other.strip().lower(), spec.distance, spec.near)
-    first = _pattern(spec.term, spec.lemma, forms)
-    if not all(S.valid_pattern(spark, p) for p in (first, second) if p):
-        return S.simple(works.limit(0), "x")
+        return S.phrase_near(works, phrase, _line_test(spec.other, spec.other_lemma, forms), spec.distance, spec.near, T.line_form(spec.term))
+    first = _line_test(spec.term, spec.lemma, forms)
     if spec.kind == "proximity":
-        return S.near_lines(works, first, second, spec.distance, spec.near)
+        return S.near_lines(works, first, _line_test(spec.other, spec.other_lemma, forms), spec.distance, spec.near)
     return S.simple(works, first)
 
 
@@ -97,7 +107,8 @@ def plan(spec: SearchSpec, works: DataFrame, catalog: DataFrame, forms: DataFram
     """number, author, work_id, title, idx, line, and context lines where asked (hit_idx, idx, line)."""
     spec = spec.checked()
     authors = corpus.authors(catalog)
-    chosen = P.compile_scope(catalog, authors, rationalised(spec.scope))
+    named = catalog.where(F.col("work_id").isin(*spec.scope.works, *spec.scope.without_works)).select("work_id", "author").collect()  # as many as the spec names
+    chosen = P.compile_scope(catalog, authors, rationalised(spec.scope, {r.work_id: r.author for r in named}))
     found = hits(spec, works.join(chosen.select("work_id"), "work_id", "left_semi"), forms)
     if spec.one_hit:
         found = S.one_per_author(found)

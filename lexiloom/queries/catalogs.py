@@ -12,8 +12,8 @@ from ..operators import search as S
 from ..operators import vectors as V
 from ..registry import query
 from ..sources import corpus
-from .searching import FORMS, HIT, WORD, forms_of
-from .sql import CATALOG, LINES, TOKENS
+from .searching import FORMS, HIT, WORD, all_forms
+from .sql import CATALOG, LINES, TOKENS, fold
 from .statistics import tokens
 from .texts import SENTENCES
 
@@ -34,11 +34,11 @@ def lines_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CATALOG}, r AS (SELECT author, work_id, title, row_number() OVER (PARTITION BY author ORDER BY work_id) AS n FROM catalog) SELECT author, min(work_id) AS first_work, max(CASE WHEN n = 3 THEN work_id END) AS third_work, count(*)::BIGINT AS works FROM r GROUP BY author")
 def works_of_author(spark: SparkSession, sf: str) -> DataFrame:
-    """First and third work of each author, by aggregates that keep three ids, not by sorting an author's works in one task."""
+    """First and third work of each author. Ranks are limited before the shuffle as well, so an author sends three ids a task."""
     rows = corpus.works_catalog(spark, sf).select("author", "work_id")
-    per_part = rows.groupBy("author", (F.pmod(F.xxhash64("work_id"), F.lit(32))).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("work_id")), 1, 3).alias("low"), F.count("*").alias("n"))
-    low = F.slice(F.sort_array(F.flatten(F.collect_list("low"))), 1, 3)
-    return per_part.groupBy("author").agg(low.alias("low"), F.sum("n").alias("works")).select("author", F.get("low", F.lit(0)).alias("first_work"), F.get("low", F.lit(2)).alias("third_work"), "works")
+    low = rows.withColumn("n", F.row_number().over(Window.partitionBy("author").orderBy("work_id"))).where("n <= 3")
+    low = low.groupBy("author").agg(F.min("work_id").alias("first_work"), F.max(F.when(F.col("n") == 3, F.col("work_id"))).alias("third_work"))
+    return rows.groupBy("author").agg(F.count("*").alias("works")).join(low, "author").select("author", "first_work", "third_work", "works")
 
 
 @query(f"WITH {TOKENS} SELECT author, count(*)::BIGINT AS words, count(DISTINCT work_id)::BIGINT AS works, count(DISTINCT word)::BIGINT AS distinct_words FROM tokens GROUP BY author")
@@ -47,9 +47,9 @@ def words_in_author(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("author").agg(F.count("*").alias("words"), F.count_distinct("work_id").alias("works"), F.count_distinct("word").alias("distinct_words"))
 
 
-@query(f"WITH {TOKENS} SELECT word, translate(word, 'vj', 'ui') AS sort_key FROM (SELECT DISTINCT word FROM tokens WHERE regexp_matches(word, '^[a-z]+$'))")
+@query(f"WITH {TOKENS} SELECT word, {fold('word')} AS sort_key FROM (SELECT DISTINCT word FROM tokens)")
 def distinct_word_set(spark: SparkSession, sf: str) -> DataFrame:
-    words = tokens(spark, sf).select("word").where(F.col("word").rlike("^[a-z]+$")).distinct()
+    words = tokens(spark, sf).select("word").distinct()
     return words.select("word", T.fold(F.col("word")).alias("sort_key"))
 
 
@@ -61,7 +61,7 @@ def completeness_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {TOKENS}, {FORMS}, c AS (SELECT word AS form, count(*) AS n FROM tokens GROUP BY word), h AS (SELECT form, count(*) AS k FROM forms GROUP BY form) SELECT round(sum(CASE WHEN k > 1 THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS of_tokens, round(count(*) FILTER (WHERE k > 1) / count(*), 6)::DOUBLE AS of_forms FROM c JOIN h USING (form)")
 def homonym_ratio(spark: SparkSession, sf: str) -> DataFrame:
     counts = C.word_counts(tokens(spark, sf)).withColumnRenamed("word", "form")
-    many = forms_of(spark, sf).groupBy("form").agg(F.count("*").alias("k"))
+    many = all_forms(spark, sf).groupBy("form").agg(F.count("*").alias("k"))
     rows = counts.join(many, "form")
     return rows.agg(F.round(F.sum(F.when(F.col("k") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("of_tokens"), F.round(F.count_if(F.col("k") > 1) / F.count("*"), 6).alias("of_forms"))
 
@@ -87,11 +87,17 @@ def most_common_forms(spark: SparkSession, sf: str) -> DataFrame:
     return forms.join(top, "headword", "left_semi").select("form").distinct()
 
 
-@query(f"WITH {LINES} SELECT work_id, idx, regexp_replace(regexp_replace(regexp_replace(line, '\\([^)]*\\)', '', 'g'), '^[^(]*\\)', ''), '\\([^)]*$', '') AS line FROM lines WHERE line LIKE '%(%' OR line LIKE '%)%'")
+def _unbracketed(column: str) -> str:
+    for a, b in T.BRACKETS.values():
+        x, y = "\\" + a, "\\" + b
+        column = f"regexp_replace(regexp_replace(regexp_replace({column}, '{x}[^{y}]*{y}', '', 'g'), '^[^{x}]*{y}', ''), '{x}[^{y}]*$', '')"
+    return column
+
+
+@query(f"WITH {LINES} SELECT work_id, idx, {_unbracketed('line')} AS line FROM lines WHERE regexp_matches(line, '[][(){{}}⟨⟩]')")
 def unbracketed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.lines(corpus.works(spark, sf)).where(F.col("line").contains("(") | F.col("line").contains(")"))
-    kept = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"\([^)]*\)", ""), r"^[^(]*\)", ""), r"\([^)]*$", "")
-    return rows.select("work_id", "idx", kept.alias("line"))
+    rows = corpus.lines(corpus.works(spark, sf)).where(F.col("line").rlike(r"[\[\](){}⟨⟩]"))
+    return rows.select("work_id", "idx", T.without_bracketed(F.col("line")).alias("line"))
 
 
 @query(f"WITH {LINES}, h AS (SELECT work_id, idx FROM lines WHERE regexp_matches(lower(line), '(^|\\s)whst(\\s|$)')) SELECT DISTINCT l.work_id, l.idx, l.line FROM h JOIN lines l ON l.work_id = h.work_id AND l.idx BETWEEN h.idx - 2 AND h.idx + 1")

@@ -44,10 +44,10 @@ p AS (SELECT term, entry, min(rung) AS rung FROM probes GROUP BY term, entry),
 found AS (SELECT p.*, v.n FROM p JOIN v ON p.entry = v.word), best AS (SELECT term, min(rung) AS rung FROM found GROUP BY term)"""
 
 
-@query(f"WITH {TOKENS}, v AS (SELECT word, count(*)::BIGINT AS n FROM tokens WHERE corpus = 'en' GROUP BY word HAVING count(*) >= 3), asked AS (SELECT DISTINCT word AS term FROM tokens), {_LADDER} SELECT term, rung::INT AS rung, entry, n FROM found JOIN best USING (term, rung)")
+@query(f"WITH {TOKENS}, v AS (SELECT word, count(*)::BIGINT AS n FROM tokens WHERE corpus = 'en' GROUP BY word), asked AS (SELECT DISTINCT word AS term FROM tokens), {_LADDER} SELECT term, rung::INT AS rung, entry, n FROM found JOIN best USING (term, rung)")
 def morphology_ladder(spark: SparkSession, sf: str) -> DataFrame:
     lines = corpus.lines(corpus.works(spark, sf)).select("corpus", F.explode(T.index_tokens(F.col("line"))).alias("word"))
-    entries = lines.where("corpus = 'en'").groupBy(F.col("word").alias("entry")).agg(F.count("*").alias("n")).where("n >= 3")
+    entries = lines.where("corpus = 'en'").groupBy(F.col("word").alias("entry")).agg(F.count("*").alias("n"))
     t = F.col("term")
     rewrites = [t, F.regexp_replace(t, "(es|s)$", ""), F.regexp_replace(t, "(ed|ing)$", "")]
     return L.ladder(lines.select(F.col("word").alias("term")).distinct(), entries, rewrites)
@@ -63,21 +63,21 @@ def entries_with_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 #: a form's analysis drawn from its length and count, so that both engines agree
 _ANALYSES = f"""{TOKENS}, c AS (SELECT word AS form, count(*)::BIGINT AS n FROM tokens GROUP BY word),
-a AS (SELECT form, n, CASE len(form) % 3 WHEN 0 THEN 'masc/fem' WHEN 1 THEN 'fem' ELSE 'neut' END AS g, CASE n % 3 WHEN 0 THEN 'nom/acc' WHEN 1 THEN 'gen' ELSE 'dat' END AS cs, CASE WHEN n % 2 = 0 THEN 'sg' ELSE 'pl' END AS nb FROM c WHERE n >= 40)"""
+a AS (SELECT substr(form, 1, 5) AS headword, form, n, CASE len(form) % 3 WHEN 0 THEN 'masc/fem' WHEN 1 THEN 'fem' ELSE 'neut' END AS g, CASE n % 3 WHEN 0 THEN 'nom/acc' WHEN 1 THEN 'gen' ELSE 'dat' END AS cs, CASE WHEN n % 2 = 0 THEN 'sg' ELSE 'pl' END AS nb FROM c)"""
 
 
 def _analyses(spark: SparkSession, sf: str) -> DataFrame:
-    counts = C.word_counts(tokens(spark, sf)).where("n >= 40").withColumnRenamed("word", "form")
+    counts = C.word_counts(tokens(spark, sf)).withColumnRenamed("word", "form")
     size = F.char_length("form") % 3
     gender = F.when(size == 0, "masc/fem").when(size == 1, "fem").otherwise("neut")
     case = F.when(F.col("n") % 3 == 0, "nom/acc").when(F.col("n") % 3 == 1, "gen").otherwise("dat")
-    return counts.select("form", "n", F.concat_ws(" ", gender, case, F.when(F.col("n") % 2 == 0, "sg").otherwise("pl")).alias("analysis"))
+    return counts.select(F.substring("form", 1, 5).alias("headword"), "form", "n", F.concat_ws(" ", gender, case, F.when(F.col("n") % 2 == 0, "sg").otherwise("pl")).alias("analysis"))
 
 
 _CELL = lambda g: f"coalesce(string_agg(form || ' (' || n || ')', ' / ' ORDER BY form) FILTER (gender = '{g}'), '---') AS {g}"
 
 
-@query(f"WITH {_ANALYSES}, x AS (SELECT form, n, unnest(string_split(g, '/')) AS gender, cs, nb FROM a), y AS (SELECT form, n, gender, unnest(string_split(cs, '/')) AS case_, nb AS number FROM x) SELECT case_ AS \"case\", number, {_CELL('masc')}, {_CELL('fem')}, {_CELL('neut')} FROM y GROUP BY case_, number")
+@query(f"WITH {_ANALYSES}, x AS (SELECT headword, form, n, unnest(string_split(g, '/')) AS gender, cs, nb FROM a), y AS (SELECT headword, form, n, gender, unnest(string_split(cs, '/')) AS case_, nb AS number FROM x) SELECT headword, case_ AS \"case\", number, {_CELL('masc')}, {_CELL('fem')}, {_CELL('neut')} FROM y GROUP BY headword, case_, number")
 def declension_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return L.declension(_analyses(spark, sf), ["masc", "fem", "neut"], ["nom", "gen", "dat", "acc"], ["sg", "pl"])
 
@@ -88,7 +88,13 @@ def mostly_conjugated(spark: SparkSession, sf: str) -> DataFrame:
     return L.mostly_conjugated(corpus.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("headword"), kind.alias("analysis")))
 
 
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a[^>]*>([^<]*)</a>', 1))), '|') AS anchors FROM pages")
+_TAG = lambda t: f"list_distinct(regexp_extract_all(html, '<{t}\\b[^>]*>([^<]*)</{t}>', 1))"
+
+
+@query(f"SELECT page_id, array_to_string(list_sort({_TAG('a')}), '|') AS senses, array_to_string(list_sort(list_filter({_TAG('b')}, lambda q: NOT list_contains({_TAG('li')}, q))), '|') AS quotes, array_to_string(list_sort({_TAG('h1')}), '|') AS authors FROM pages")
 def entry_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    every = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit("<a[^>]*>([^<]*)</a>"), F.lit(1))))
-    return corpus.table(spark, sf, "pages").select("page_id", F.array_join(every, "|").alias("anchors"))
+    body = F.col("html")
+    for tag, name in (("a", "sense"), ("li", "orth"), ("b", "quote"), ("h1", "author")):  # the pages' tags as an entry's
+        body = F.regexp_replace(body, rf"<(/?){tag}\b", f"<$1{name}")
+    found = L.entry_summaries(body)
+    return corpus.table(spark, sf, "pages").select("page_id", *(F.array_join(found[c], "|").alias(c) for c in ("senses", "quotes", "authors")))

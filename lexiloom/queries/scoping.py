@@ -97,7 +97,7 @@ def catalog_extremes(spark: SparkSession, sf: str) -> DataFrame:
 _CITED = f"WITH {LINES}, cited AS (SELECT *, ((idx - 1) // 5 + 1)::INT AS l1, ((idx - 1) % 5 + 1)::INT AS l0 FROM lines) "
 
 
-@query(_CITED + "SELECT work_id, l1 AS value, min(idx)::INT AS first, max(idx)::INT AS last FROM cited GROUP BY work_id, l1")
+@query(_CITED + "SELECT work_id, l1::VARCHAR AS value, min(idx)::INT AS first, max(idx)::INT AS last, (row_number() OVER (PARTITION BY work_id ORDER BY l1))::INT AS place FROM cited GROUP BY work_id, l1")
 def citation_level_values(spark: SparkSession, sf: str) -> DataFrame:
     return B.level_values(B.cited_lines(corpus.works(spark, sf)))
 
@@ -139,9 +139,9 @@ def bracket_carry_over(spark: SparkSession, sf: str) -> DataFrame:
     return B.bracket_state(corpus.works(spark, sf)).select("work_id", "idx", "open")
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE starts_with(lower(p_name), 'p') ORDER BY p_name LIMIT 50")
+@query("SELECT DISTINCT p_name FROM part WHERE starts_with(lower(p_name), 's') ORDER BY p_name LIMIT 50")
 def autocomplete_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return B.autocomplete(corpus.table(spark, sf, "part"), "p_name", "P")
+    return B.autocomplete(corpus.table(spark, sf, "part"), "p_name", "S")
 
 
 @query("SELECT substr(lower(p_name), 1, 2) AS prefix, count(DISTINCT p_name)::BIGINT AS n, min(p_name) AS first FROM part GROUP BY ALL".replace("lower(p_name)", "translate(lower(p_name), 'vj', 'ui')"))

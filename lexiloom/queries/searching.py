@@ -10,7 +10,7 @@ from ..operators import concordance as C
 from ..operators import search as S
 from ..registry import query
 from ..sources import corpus
-from .sql import CATALOG, LINES, TOKENS
+from .sql import CATALOG, LINES, TOKENS, fold
 
 WORD = T.term_pattern(" the ")
 OTHER = T.term_pattern(" of ")
@@ -126,13 +126,73 @@ FORMS = """vocabulary AS (SELECT DISTINCT word FROM tokens), forms AS (
 )"""
 
 
-def forms_of(spark: SparkSession, sf: str) -> DataFrame:
+def forms_of(spark: SparkSession, sf: str, headword: str) -> DataFrame:
+    """form, headword of one headword, from the words of the corpus."""
+    return C.forms_of_headword(C.words(corpus.lines(corpus.works(spark, sf))), headword)
+
+
+def all_forms(spark: SparkSession, sf: str) -> DataFrame:
     return C.suffix_forms(C.words(corpus.lines(corpus.works(spark, sf))).select("word").distinct())
 
 
 @query(f"WITH {TOKENS}, {FORMS} SELECT DISTINCT t.corpus, t.author, t.work_id, t.idx FROM tokens t JOIN forms f ON t.word = f.form WHERE f.headword = 'the'")
 def lemma_search(spark: SparkSession, sf: str) -> DataFrame:
-    return S.lemma(corpus.lines(corpus.works(spark, sf)), forms_of(spark, sf), "the").select(*KEYS)
+    return S.lemma(corpus.works(spark, sf), S.forms_of(forms_of(spark, sf, "the"), "the")).select(*KEYS)
+
+
+_LEMMATA = f"WITH {TOKENS}, {FORMS}, h AS (SELECT DISTINCT work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'the'), o AS (SELECT DISTINCT work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'of')"
+
+
+@query(_LEMMATA + " SELECT work_id, idx FROM h WHERE EXISTS (SELECT 1 FROM o WHERE o.work_id = h.work_id AND abs(o.idx - h.idx) <= 1)")
+def lemma_near_lemma(spark: SparkSession, sf: str) -> DataFrame:
+    the, of = (S.holding(S.forms_of(forms_of(spark, sf, w), w)) for w in ("the", "of"))
+    return S.near_lines(corpus.works(spark, sf), the, of, 1).select("work_id", "idx")
+
+
+@query(f"WITH {TOKENS}, {FORMS} SELECT 'headword' AS kind, work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'whst' GROUP BY ALL UNION ALL SELECT 'word', work_id, idx FROM lines WHERE regexp_matches(lower(line), '(^|\\s)the,(\\s|$)')")
+def word_or_headword(spark: SparkSession, sf: str) -> DataFrame:
+    works, found = corpus.works(spark, sf), None
+    for kind, term in (("headword", "whst"), ("word", "the,")):
+        rows = S.term_or_headword(works, term, forms_of(spark, sf, term)).select(F.lit(kind).alias("kind"), "work_id", "idx")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(_WORDS.rstrip() + ", around AS (SELECT f.work_id, f.idx, coalesce(string_agg(CASE WHEN p.spot < f.spot THEN p.word END, ' ' ORDER BY p.spot), '') AS leading, coalesce(string_agg(CASE WHEN p.spot > f.spot THEN p.word END, ' ' ORDER BY p.spot), '') AS lagging FROM firsts f JOIN placed p ON p.work_id = f.work_id AND p.spot BETWEEN f.spot - 3 AND f.spot + 3 GROUP BY f.work_id, f.idx) SELECT * FROM around AS a_ WHERE regexp_matches(a_.leading, 'of t[a-z]*|and$') OR regexp_matches(a_.lagging, 'of t[a-z]*|and$')")
+def word_window_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return S.window_matches(corpus.works(spark, sf), "the", "of t[a-z]*|and$", 3).select("work_id", "idx", "leading", "lagging")
+
+
+_PWORDS = _WORDS.split("firsts AS")[0] + """begins AS (SELECT a.work_id, a.idx, min(a.spot) AS spot FROM placed a JOIN placed b ON b.work_id = a.work_id AND b.spot = a.spot + 1 AND a.word = 'of' AND b.word = 'the' GROUP BY a.work_id, a.idx),
+close AS (SELECT DISTINCT f.work_id, f.idx FROM begins f JOIN placed p ON p.work_id = f.work_id AND p.word = 'and' AND (p.spot BETWEEN f.spot - 5 AND f.spot - 1 OR p.spot BETWEEN f.spot + 2 AND f.spot + 6))"""
+
+
+@query(_PWORDS + " SELECT * FROM close")
+def phrase_near_words(spark: SparkSession, sf: str) -> DataFrame:
+    return S.near_words(corpus.works(spark, sf), ["of", "the"], "and", 5).select("work_id", "idx")
+
+
+@query(_PWORDS + " SELECT work_id, idx FROM begins EXCEPT SELECT * FROM close")
+def phrase_not_near_words(spark: SparkSession, sf: str) -> DataFrame:
+    return S.near_words(corpus.works(spark, sf), ["of", "the"], "and", 5, near=False).select("work_id", "idx")
+
+
+@query(rf"WITH {LINES} SELECT 'é' AS term, work_id, idx FROM lines WHERE regexp_matches(lower(line), '(^|\s)é(\s|$)') UNION ALL SELECT 'e', work_id, idx FROM lines WHERE regexp_matches({fold('line')}, '(^|\s)e(\s|$)')")
+def accented_or_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """A term with accents is looked for in lines as they are, one without in folded lines."""
+    works, found = corpus.works(spark, sf), None
+    for term in (" é ", " e "):
+        rows = S.simple(works, T.term_pattern(term), T.line_form(term)).select(F.lit(term.strip()).alias("term"), "work_id", "idx")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_ANY = T.any_accent_pattern("ere")
+
+
+@query(f"WITH {LINES} SELECT work_id, idx FROM lines WHERE regexp_matches(line, '{_ANY}')")
+def any_accents(spark: SparkSession, sf: str) -> DataFrame:
+    return S.simple(corpus.works(spark, sf), _ANY, form=lambda line: line).select("work_id", "idx")
 
 
 @query(f"WITH {LINES}, words AS (SELECT unnest(list_filter(string_split(replace(lower(line), chr(160), ' '), ' '), lambda w: w <> '')) AS w FROM lines) SELECT term, count(w)::BIGINT AS n FROM (VALUES ('the'), ('with'), ('whst'), ('zzz')) v(term) LEFT JOIN words ON w = term GROUP BY term")
@@ -159,24 +219,43 @@ def search_inside_markup(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "pages").where(F.col("html").rlike("<title>[^<]*the[^<]*</title>")).select("page_id")
 
 
-def _planned(spark: SparkSession, sf: str, **what) -> DataFrame:
+def _planned(spark: SparkSession, sf: str, forms: DataFrame | None = None, **what) -> DataFrame:
     from ..plans.spec import SearchSpec, plan
 
-    return plan(SearchSpec(**what), corpus.works(spark, sf), corpus.works_catalog(spark, sf))
+    return plan(SearchSpec(**what), corpus.works(spark, sf), corpus.works_catalog(spark, sf), forms)
 
 
-_SCOPED = "(corpus IN ('en', 'fr') AND genre LIKE '%epic%')"
+FOLDED_HIT = f"regexp_matches({fold('line')}, '{WORD}')"
+_FOLDED_PHRASE = _PHRASE.replace("lower(line)", fold("line")).replace("lower(next)", fold("next"))
 
 
-@query(f"WITH {LINES}, {CATALOG}, h AS (SELECT l.author, l.work_id, d.title, l.idx, l.line FROM lines l JOIN dated d USING (work_id) WHERE d.corpus IN ('en', 'fr') AND d.genre LIKE '%epic%' AND {HIT}) SELECT (row_number() OVER (ORDER BY author, work_id, idx))::INT AS number, * FROM h ORDER BY author, work_id, idx LIMIT 200")
+@query(f"WITH {LINES}, {CATALOG}, h AS (SELECT l.author, l.work_id, d.title, l.idx, l.line FROM lines l JOIN dated d USING (work_id) WHERE d.corpus IN ('en', 'fr') AND d.genre LIKE '%epic%' AND {FOLDED_HIT}) SELECT (row_number() OVER (ORDER BY author, work_id, idx))::INT AS number, * FROM h ORDER BY author, work_id, idx LIMIT 200")
 def planned_simple(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.scope import Scope
 
     return _planned(spark, sf, term=" the ", scope=Scope(corpora=("en", "fr"), genres=("epic",)))
 
 
-@query(f"{_NEXT.replace('WITH ' + LINES, 'WITH ' + LINES + ', ' + CATALOG)}, h AS (SELECT p.author, p.work_id, d.title, d.genre, p.idx, p.line FROM pairs p JOIN dated d USING (work_id) WHERE d.corpus = 'en' AND {_PHRASE}) SELECT (row_number() OVER (ORDER BY genre, author, work_id, idx))::INT AS number, author, work_id, title, idx, line FROM h ORDER BY genre, author, work_id, idx LIMIT 100")
+@query(f"{_NEXT.replace('WITH ' + LINES, 'WITH ' + LINES + ', ' + CATALOG)}, h AS (SELECT p.author, p.work_id, d.title, d.genre, p.idx, p.line FROM pairs p JOIN dated d USING (work_id) WHERE d.corpus = 'en' AND {_FOLDED_PHRASE}) SELECT (row_number() OVER (ORDER BY genre, author, work_id, idx))::INT AS number, author, work_id, title, idx, line FROM h ORDER BY genre, author, work_id, idx LIMIT 100")
 def planned_phrase_by_genre(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.scope import Scope
 
     return _planned(spark, sf, term="of the", scope=Scope(corpora=("en",)), cap=100, sort="genre")
+
+
+_BOTH = f"{_LEMMATA}, {CATALOG}, p AS (SELECT h.work_id, h.idx FROM h WHERE EXISTS (SELECT 1 FROM o WHERE o.work_id = h.work_id AND abs(o.idx - h.idx) <= 1)), j AS (SELECT l.author, l.work_id, d.title, l.idx, l.line FROM p JOIN lines l USING (work_id, idx) JOIN dated d USING (work_id) WHERE d.corpus = 'en') SELECT (row_number() OVER (ORDER BY author, work_id, idx))::INT AS number, * FROM j ORDER BY author, work_id, idx LIMIT 200"
+
+
+@query(_BOTH)
+def planned_lemma_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.scope import Scope
+
+    forms = forms_of(spark, sf, "the").unionByName(forms_of(spark, sf, "of"))
+    return _planned(spark, sf, forms, lemma="the", other_lemma="of", distance=1, scope=Scope(corpora=("en",)))
+
+
+@query(f"{_PWORDS}, {CATALOG}, j AS (SELECT l.author, l.work_id, d.title, l.idx, l.line FROM close c JOIN lines l USING (work_id, idx) JOIN dated d USING (work_id) WHERE d.corpus = 'en') SELECT (row_number() OVER (ORDER BY author, work_id, idx))::INT AS number, * FROM j ORDER BY author, work_id, idx LIMIT 200")
+def planned_phrase_near_words(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.scope import Scope
+
+    return _planned(spark, sf, term="of the", other="and", unit="words", distance=5, scope=Scope(corpora=("en",)))

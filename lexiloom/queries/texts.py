@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import browse as B
+from ..operators import scope as P
 from ..operators import vectors as V
 from ..registry import query
 from ..sources import corpus
@@ -90,3 +91,61 @@ def sentence_bundles(spark: SparkSession, sf: str) -> DataFrame:
 def letter_runs(spark: SparkSession, sf: str) -> DataFrame:
     bare = F.regexp_replace(F.lower("line"), r"[\p{P}\p{S}]", "")
     return _lines(spark, sf).select("work_id", "idx", F.regexp_count("line", F.lit(r"\p{L}+")).cast("int").alias("runs"), F.regexp_replace(bare, "[aeiou]", "").alias("consonants"))
+
+
+#: Lines of Greek, some with Latin, marks of another width and editors' signs.
+GREEK = [(1, "μῆνιν ἄειδε θεὰ"), (2, "Πηληϊάδεω Ἀχιλῆος"), (3, "τὸ μὲν ς. λόγος σοφός"), (4, "<i>ς</span>. ἐς arma καὶ uirum"), (5, "ΣΟΦΟΣ σκότος﹖ ❨x❩"), (6, ""), (7, "ἀπὸ τοῦ; λόγος")]
+_GREEK = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in GREEK) + ") g(id, t)"
+_USUAL = "translate(t, '{}', '{}')".format(T.SMALL_MARKS[0], T.SMALL_MARKS[1].replace("'", "''"))
+
+
+@query(rf"""SELECT id, translate(t, 'σςΣ', 'ϲϲϹ') AS lunate, regexp_replace(translate(translate(t, 'σςΣ', 'ϲϲϹ'), 'ϲϹ', 'σΣ'), 'σ([^\p{{L}}]|$)', 'ς\1', 'g') AS sigmas, {_USUAL} AS usual,
+  regexp_replace(regexp_replace(t, '([\s>])ς\.', '\1σ.', 'g'), '([\s>])ς</span>\.', '\1σ</span>.', 'g') AS abbreviated,
+  array_to_string(list_transform(regexp_extract_all(t, '\p{{Greek}}+|\p{{Latin}}+'), lambda r: CASE WHEN regexp_matches(r, '^\p{{Greek}}') THEN 'greek ' ELSE 'latin ' END || r), '|') AS runs FROM {_GREEK}""")
+def greek_lines(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("t")
+    runs = F.array_join(F.transform(T.script_runs(t), lambda r: F.concat_ws(" ", r["script"], r["run"])), "|")
+    return spark.createDataFrame(GREEK, "id int, t string").select("id", T.lunate(t).alias("lunate"), T.differentiated_sigma(T.lunate(t)).alias("sigmas"), T.usual_marks(t).alias("usual"), T.inner_sigma_abbreviated(t).alias("abbreviated"), runs.alias("runs"))
+
+
+@query(rf"WITH {LINES} SELECT work_id, idx, regexp_replace(line, '[\p{{P}}\p{{S}}]', '', 'g') AS bare, len(regexp_extract_all(line, '\p{{Greek}}+|\p{{Latin}}+'))::INT AS runs FROM lines")
+def script_runs(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("line")
+    return _lines(spark, sf).select("work_id", "idx", T.depunct(c).alias("bare"), F.size(T.script_runs(c)).alias("runs"))
+
+
+@query("SELECT DISTINCT p_name, translate(lower(p_name), '" + "', '".join(T.BETA_LETTERS) + "') AS greek FROM part")
+def beta_code_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names read as beta code. The conversion is Python, a batch of distinct names at a time."""
+    from ..shipping import ship
+
+    ship(spark)
+    names = corpus.table(spark, sf, "part").select("p_name").distinct()
+    return names.select("p_name", T.beta_to_greek_column("p_name").alias("greek"))
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(replace(replace(html, '<', chr(1) || '<'), '>', '>' || chr(1)), chr(1)), lambda p: CASE WHEN starts_with(p, '<') THEN p ELSE translate(p, 'vV', 'uU') END), '') AS html FROM pages")
+def u_for_v_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.table(spark, sf, "pages").select("page_id", T.u_for_v_outside_markup(F.col("html")).alias("html"))
+
+
+#: prefix, stem, compound
+LATIN = [("ad", "tollo", "attollo"), ("dis", "fundo", "diffundo"), ("ex", "eo", "exseo"), ("ex", "mitto", "emitto"), ("trans", "eo", "transeo"), ("de_", "sero", "desero"), ("sub", "pono", "suppono"), ("ob", "fero", "offero"), ("in", "pono", "impono"), ("con", "rigo", "corrigo"), ("per", "misceo", "permisceo"), ("dis", "moueo", "dimoueo"), ("ad", "sono", "assono")]
+COMPOUNDS = [("απο", "ἵημι", "αφἵημι"), ("περι", "ἔχω", "περιἔχω"), ("κατα", "βαίνω", "καταβαίνω"), ("ϲυν", "λέγω", "ϲυλλέγω"), ("εν", "γράφω", "εγγράφω"), ("εκ", "λάω", "εκλάω")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('latin', '{p}', '{s}', '{c}')" for p, s, c in LATIN) + ", " + ", ".join(f"('greek', '{p}', '{s}', '{c}')" for p, s, c in COMPOUNDS) + ") v(language, prefix, stem, compound)")
+def compounds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lambda table, name: spark.createDataFrame([(name, p, s) for p, s, _ in table], "language string, prefix string, stem string")
+    p, s = F.col("prefix"), F.col("stem")
+    latin = rows(LATIN, "latin").withColumn("compound", T.joined_prefix(p, s))
+    return latin.unionByName(rows(COMPOUNDS, "greek").withColumn("compound", T.elided_prefix(p, s)))
+
+
+@query("WITH known AS (SELECT r_name AS language, substr(n_name, 1, 3) || n_nationkey AS abbreviation, n_name AS author FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey < 3), asked AS (SELECT s_suppkey, r_name AS language, substr(n_name, 1, 3) || n_nationkey AS abbreviation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT s_suppkey, coalesce(author, abbreviation) AS author FROM asked LEFT JOIN known USING (language, abbreviation)")
+def authors_by_abbreviation(spark: SparkSession, sf: str) -> DataFrame:
+    nation = corpus.table(spark, sf, "nation").join(corpus.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    short = F.concat(F.substring("n_name", 1, 3), F.col("n_nationkey").cast("string"))
+    known = nation.where("n_regionkey < 3").select(F.col("r_name").alias("language"), short.alias("abbreviation"), F.col("n_name").alias("author"))
+    asked = corpus.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("language"), short.alias("abbreviation"))
+    return P.authors_in_full(asked, known).select("s_suppkey", "author")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import concordance as C
+from ..operators import morphology as M
+from ..operators import scope as P
 from ..operators import vectors as V
 from ..registry import query
-from ..sources import corpus
+from ..sources import corpus, interim, models
 from .searching import FORMS
 from .texts import SENTENCES
 
@@ -104,7 +107,20 @@ def tfidf_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def word2vec_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    model = V.word2vec(V.sentence_words(corpus.works(spark, sf)))
+    """Neighbours of a word in a model of the corpus, which is fitted once and found again by the fingerprint of its works."""
+    works = corpus.works(spark, sf)
+    sentences = V.sentence_words(works)
+    size = sentences.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    root = interim.folder(spark)
+    key = models.fingerprint([P.fingerprint(works, "work_id").first().fingerprint], "word2vec", size=300, window=10, least=10, steps=12)
+    model = models.find(spark, Word2VecModel, root, key)
+    if model is None and size:
+        model = V.word2vec(sentences)
+        models.store(model, root, key)
+    known = {r.word for r in model.getVectors().where(F.col("word") == "the").collect()} if model is not None else set()
+    why = V.refusal(size, ["the"], known, most_words=1 << 62)
+    if why:
+        return spark.createDataFrame([], "word string, similarity double")
     return model.findSynonyms("the", 25)
 
 
@@ -119,3 +135,97 @@ def latent_space(spark: SparkSession, sf: str) -> DataFrame:
     works = corpus.works(spark, sf)
     words = works.select("work_id", T.index_tokens(F.array_join("lines", " ")).alias("words"))
     return V.latent_space(words, ["work_id"])
+
+
+@query()
+def latent_plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Works in two dimensions, for a map of them."""
+    works = corpus.works(spark, sf)
+    words = works.select("work_id", T.index_tokens(F.array_join("lines", " ")).alias("words"))
+    return V.latent_space(words, ["work_id"], k=2)
+
+
+@query()
+def lsi_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Works by their likeness to a few words in the space of the largest singular values."""
+    from ..shipping import ship
+
+    ship(spark)
+    works = corpus.works(spark, sf)
+    docs = works.select(F.col("work_id").alias("id"), T.index_tokens(F.array_join("lines", " ")).alias("words"))
+    return V.lsi(docs, ["the", "of", "and"]).select(F.col("id").alias("work_id"), F.round("similarity", 6).alias("similarity"))
+
+
+_LIKE = "(1 + list_cosine_similarity(embedding::DOUBLE[], {v}.embedding::DOUBLE[])) / 2"
+
+
+@query(f"WITH p AS (SELECT embedding FROM embeddings WHERE vec_id = 1), q AS (SELECT embedding FROM embeddings WHERE vec_id = 2), m AS (SELECT embedding FROM embeddings WHERE vec_id = 4) SELECT e.vec_id, round(({_LIKE.format(v='p').replace('(embedding', '(e.embedding')}) * ({_LIKE.format(v='q').replace('(embedding', '(e.embedding')}) / (({_LIKE.format(v='m').replace('(embedding', '(e.embedding')}) + 1e-6), 4) AS score FROM embeddings e, p, q, m WHERE vec_id NOT IN (1, 2, 4) ORDER BY score DESC, vec_id LIMIT 5")
+def multiplied_analogy(spark: SparkSession, sf: str) -> DataFrame:
+    return V.multiplied_analogy(corpus.table(spark, sf, "embeddings"), [_one(spark, sf, 1), _one(spark, sf, 2)], [_one(spark, sf, 4)], 5, [1, 2, 4])
+
+
+_NAMED = "named AS (SELECT 'v' || vec_id AS word, embedding FROM embeddings)"
+
+
+@query(f"WITH {_NAMED}, n AS (SELECT a.word AS a, b.word AS b, round({_COS}, 4) AS similarity FROM named a, named b WHERE a.word <> b.word AND a.word IN ('v3', 'v5') AND round({_COS}, 4) > 0.15), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM n) SELECT a, b, similarity FROM r WHERE k <= 10 UNION ALL SELECT a.word, b.word, round({_COS}, 4) FROM named a, named b WHERE a.word = 'v1' AND b.word = 'v2'")
+def neighbours_of_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """One term, one with a capital, two terms, and an unknown one."""
+    vectors, found = corpus.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), "embedding"), None
+    for terms in (["v3"], ["V5"], ["v1", "V2"], ["nothing"]):
+        rows = V.neighbours_of_terms(vectors, terms, 10)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(f"WITH {_NAMED} SELECT b.word, round({_COS}, 4) AS similarity FROM named a, named b WHERE a.word = 'v3' AND b.word <> 'v3' AND round({_COS}, 4) > 0.15 AND right(b.word, 1) = '7' ORDER BY similarity DESC, b.word")
+def neighbours_by_part_of_speech(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours that some analysis makes a verb: here those whose name ends in 7 have a finite form's."""
+    vectors = corpus.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("word"), "embedding")
+    analyses = vectors.select(F.col("word").alias("form"), F.when(F.endswith("word", F.lit("7")), "pres ind act 3rd sg").otherwise("neut nom sg").alias("analysis"))
+    near = V.neighbours_of_terms(vectors, ["v3"], k=1 << 30).select(F.col("b").alias("word"), "similarity")
+    return M.of_kind(near, analyses, verbs=True)
+
+
+_MARKED = """marked AS (SELECT doc_id AS work_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: '⊏' || i || '⊐' || l), ' ') AS t FROM documents),
+cut AS (SELECT work_id, unnest(string_split_regex(t, '[.?!·;]')) AS raw, (generate_subscripts(string_split_regex(t, '[.?!·;]'), 1) - 1)::INT AS pos FROM marked),
+told AS (SELECT work_id, pos, trim(regexp_replace(raw, '⊏\\d+⊐', '', 'g'), ' ') AS text, regexp_extract(raw, '^\\s*⊏(\\d+)⊐', 1) AS own, regexp_extract_all(raw, '⊏(\\d+)⊐', 1)[-1] AS last FROM cut),
+loci AS (SELECT work_id, pos AS sentence, text, coalesce(nullif(own, ''), last_value(last IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS idx FROM told)"""
+
+
+@query(f"WITH {_MARKED} SELECT work_id, sentence, text, idx FROM loci WHERE text <> ''")
+def sentence_loci(spark: SparkSession, sf: str) -> DataFrame:
+    return V.sentence_loci(corpus.works(spark, sf))
+
+
+@query(rf"WITH {_MARKED} SELECT work_id, sentence, text, idx FROM loci WHERE text <> '' AND regexp_matches(lower(text), '(^|\s)whst(\s|$)')")
+def sentences_with_term(spark: SparkSession, sf: str) -> DataFrame:
+    return V.sentence_loci(corpus.works(spark, sf), T.term_pattern(" whst "))
+
+
+@query("WITH lines AS (SELECT doc_id AS work_id, trim(unnest(string_split(text, chr(10))), ' ') AS text, generate_subscripts(string_split(text, chr(10)), 1)::INT AS idx FROM documents) SELECT text, work_id, idx FROM lines WHERE text <> '' AND text IN (SELECT text FROM lines WHERE work_id % 2 = 1)")
+def lines_of_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    lines = corpus.lines(corpus.works(spark, sf)).select("work_id", "idx", "line")
+    return V.lines_of_sentences(lines.where("work_id % 2 = 1").select(F.col("line").alias("text")), lines)
+
+
+_OWN = f"""WITH tf AS (SELECT doc_id AS id, word, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS word FROM documents) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+w AS (SELECT id, word, tf * ln((SELECT count(*) FROM documents) / df) AS w FROM tf JOIN df USING (word)), l AS (SELECT id, sqrt(sum(w * w)) AS n FROM w WHERE w > 0 GROUP BY id),
+u AS (SELECT id, word, w / n AS w FROM w JOIN l USING (id) WHERE w > 0), s AS (SELECT q.id AS a, d.id AS b, sum(q.w * d.w) AS similarity FROM u q JOIN u d ON q.word = d.word AND q.id < d.id GROUP BY ALL HAVING sum(q.w * d.w) >= 0.6)"""
+
+
+def _own_weights(spark: SparkSession, sf: str) -> DataFrame:
+    docs = corpus.table(spark, sf, "documents")
+    return V.tfidf(docs.select(F.col("doc_id").alias("id"), "text"), "id", T.index_tokens(F.translate("text", "\n", " ")))
+
+
+@query(_OWN + " SELECT a, b, round(similarity, 4) AS similarity FROM s")
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return V.similar_documents(_own_weights(spark, sf), 0.6).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+@query(_OWN + ", both_ AS (SELECT a AS query, b AS doc, round(similarity, 4) AS similarity FROM s UNION ALL SELECT b, a, round(similarity, 4) FROM s), k AS (SELECT x.*, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS place FROM both_ x JOIN documents q ON q.doc_id = query JOIN documents d ON d.doc_id = doc WHERE q.source <> d.source) SELECT query, doc, similarity, place::INT AS place FROM k WHERE place <= 3")
+def likest_of_other_authors(spark: SparkSession, sf: str) -> DataFrame:
+    weights = _own_weights(spark, sf)
+    pairs = V.best_tfidf_matches(weights, weights, 0.6).where("query <> doc").withColumn("similarity", F.round("similarity", 4))
+    authors = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    return V.best_of_each(pairs, 3, (authors, "source"))

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from .queries import catalogs, lexical, scoping, searching, statistics, texts, vector  # noqa: F401
+    from .queries import catalogs, lexical, morphology, scoping, searching, selecting, statistics, texts, vector  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,6 +54,8 @@ def test_bounds():
     assert (got.distance, got.context, got.sort, got.unit, got.cap, got.scope.corpora) == (15, 20, "name", "lines", 1, ("en",))
     assert corpora_mask(("de", "es")) == 5
     assert rationalised(P.Scope(authors=("a", "b"), without_authors=("b",))).authors == ("a",)
+    scope = rationalised(P.Scope(authors=("a",), works=(1, 2, 3, 4), without_works=(4, 5), without_authors=("c",)), {1: "a", 2: "b", 3: "c", 4: "b", 5: "c"})
+    assert (scope.works, scope.without_works) == ((2,), (4,))
 
 
 def test_invalid_pattern_is_told(spark):
