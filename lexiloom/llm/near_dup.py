@@ -10,8 +10,8 @@ pairs left between different components. It needs only the shortest lists of eac
 LEAST_SHARED of them share one among the K - LEAST_SHARED + 1 that come first when values are ordered by the length of their lists.
 So a passage that many documents share drops out, unless a document is little else. Lists of at most SHORT_LIST such members are
 compared whole. In longer ones, most members of which round 1 has joined into one component, all others are compared with all
-members, block by block: in round 2 by the shared values of their sketches, and the AT_FIRST likeliest of each document are
-verified, which joins most of them; in round 3, where a list still holds several components, on their full sets inside the task,
+members, block by block: in round 2 by the shared values of their sketches, and of each document the AT_FIRST likeliest that share
+LIKELY of them are verified, which joins most of them; in round 3, where a list still holds several components, on their full sets inside the task,
 which sends back no pairs but the links of a spanning forest. So no pair of a list is left out. The work of round 3 grows with the
 documents outside times the members of their lists.
 
@@ -38,10 +38,11 @@ SHORT_LIST = 64
 LEAST_SHARED = 12
 LEAST_ESTIMATE = LEAST_SHARED / K
 #: Members of a long list that meet in one task, on each side, about, and the shingles of their sets.
-BLOCK = 512
-BLOCK_SHINGLES = 250_000
-#: Pairs from long lists that round 2 verifies of each document.
+BLOCK = 1024
+BLOCK_SHINGLES = 500_000
+#: Pairs from long lists that round 2 verifies of each document, and the share of values that their sketches have in common at least.
 AT_FIRST = 4
+LIKELY = 0.7
 #: Ids are broadcast to filter texts up to this many (8 bytes each); beyond, both sides are shuffled.
 MOST_BROADCAST_IDS = 500_000
 
@@ -153,14 +154,14 @@ def _block(table, column: str):
 
 
 def _likeliest(table, most: int):
-    """Pairs (x, hub) of different components whose set sizes and shared sketch values allow a link, and how many values they share: of
+    """Pairs (x, hub) of different components that are likely links by their set sizes and sketches, and how many values they share: of
     each x the `most` that share the most."""
     import pyarrow as pa
 
     left, right, _, rep, width, shared, fits = _block(table, "sketch")
     n = table.column("n").to_numpy().astype(np.int32)
     n_a, n_b = n[left][:, None], n[right][None]
-    fits &= (shared >= LEAST_ESTIMATE * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
+    fits &= (shared >= LIKELY * np.maximum(width[left][:, None], width[right][None])) & (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b))
     if most < len(right):
         best = np.argpartition(np.where(fits, -shared, 1), most - 1, axis=1)[:, :most]
         few = np.zeros_like(fits)
