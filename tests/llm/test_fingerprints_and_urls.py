@@ -4,6 +4,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import xxhash
 
 from lexiloom.llm import fingerprints as fp
 from lexiloom.llm import url_filters
@@ -46,6 +47,40 @@ def test_likeness_estimates_jaccard(spark):
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.12
 
 
+def plain_fingerprint(text):
+    """Bins, walks to filled bins and low-order bits in plain loops."""
+    w = brute.words(text)
+    if len(w) >= fp.WIDTH:
+        parts = [w[i : i + fp.WIDTH] for i in range(len(w) - fp.WIDTH + 1)]
+    else:
+        parts = [[" ".join(w)]] if w else []
+    least = {}
+    for part in parts:
+        h = 42
+        for word in part:
+            h = xxhash.xxh64(word.encode(), seed=h).intdigest()
+        h -= (h >> 63) << 64
+        k = (h >> 64 - fp.BIN_BITS) + fp.BINS // 2
+        least[k] = min(least.get(k, h), h)
+    out = ""
+    for k in range(fp.BINS if least else 0):
+        a, b = fp._walk(k)
+        at = k if k in least else min(least, key=lambda f: (f - b) * a % fp.BINS)
+        out += f"{least[at] & 255:02x}"
+    return out
+
+
+def test_fingerprints_equal_plain_loops(spark):
+    rng = random.Random(3)
+    texts = ["", None, "one", "One two THREE four", "a b c d e", "ÄÖ ü 日本語 😀 é́ z", " ".join(f"w{rng.randrange(50)}" for _ in range(30)), " ".join(f"w{rng.randrange(9999)}" for _ in range(700)), "x" * 200_000, "word " * 50_000]
+    got = fp.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "t", "f").collect()
+    assert {r.id: r.f for r in got} == {k: plain_fingerprint(t) for k, t in enumerate(texts)}
+    pairs = spark.createDataFrame([(plain_fingerprint(a), plain_fingerprint(b)) for a in texts[3:8] for b in texts[3:8]], "a string, b string")
+    for r in pairs.select("a", "b", fp.likeness("a", "b").alias("y")).collect():
+        m = sum(r.a[2 * i : 2 * i + 2] == r.b[2 * i : 2 * i + 2] for i in range(fp.BINS)) / fp.BINS
+        assert abs(r.y - (1.0 if r.a == r.b else max(0.0, (m - 2**-8) / (1 - 2**-8)))) < 1e-9
+
+
 def test_no_python_in_the_plan(spark):
     plan = fp.fingerprints(brute.docs(spark))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -1,4 +1,6 @@
+import itertools
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -52,6 +54,41 @@ def test_marginals_equal_enumeration():
     assert np.allclose(gamma, one / total) and np.allclose(pair, both / total) and math.isclose(z, math.log(total))
 
 
+def test_scores_equal_enumerated_chains(spark):
+    """Scores of short texts from all label sequences of their lines."""
+    rows = labelled()
+    model = quality_crf.fit([t for _, t in rows], [i % 2 for i, _ in rows])
+    texts = [rows[0][1], rows[1][1], "", "one line", "a\n\nb | c", rows[2][1] + "\n" + rows[3][1], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_crf.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        x, doc, size = quality_crf.line_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        e = quality_crf.with_neighbours((x - model.mean) / model.spread, doc) @ model.weights
+        total, good = 0.0, np.zeros(len(e))
+        for y in itertools.product((0, 1), repeat=len(e)):
+            p = math.exp(sum(e[i, v] for i, v in enumerate(y)) + sum(model.step[a, b] for a, b in zip(y, y[1:])))
+            total += p
+            good += p * np.array(y)
+        mean = float((good / total) @ (size + 1) / (size + 1).sum())
+        mean = min(max(mean, 1e-6), 1 - 1e-6)
+        z = model.slope * math.log(mean / (1 - mean)) + model.shift
+        assert abs(got[k] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-6
+
+
+def test_very_long_texts_in_models(spark):
+    long_ = "word of a very long text\n" * 60_000  # 1.5 MB in 60,000 lines
+    rows = labelled(60)
+    docs = brute.docs(spark, [*rows, (100, long_), (101, "x" * 1_000_000)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = quality_crf.score(docs, quality_crf.train(docs, labels)).collect()
+    assert len(got) == 62 and all(0 <= r.score <= 1 for r in got)
+    rated, _, _ = mixing.mix(docs, mixing.train(docs, labels, ("toxic",)), None, anchor="toxic0")
+    assert {r.row.doc_id: r.n_tokens for r in rated.collect()}[100] == 360_000
+    out = {r.doc_id: r for r in lm_scoring.lm_scores(docs, PATH, F.col("doc_id") >= 100, steps=5, rounds=1).collect()}
+    assert out[100].n_tokens == 360_001 and out[101].n_tokens == 2 and all(math.isfinite(r.score) and r.score < 0 for r in out.values())
+
+
 def test_attention_learns_and_windows_score_each_input_once():
     at = attention.windows(np.array([0, 5, 5, 12]), 4)
     own = at[:, 4:]
@@ -67,6 +104,94 @@ def test_attention_learns_and_windows_score_each_input_once():
     assert after > before + 0.5
 
 
+def plain_log_probabilities(model, one, two, offsets, target, share):
+    """Every input by itself, in plain loops: it attends to its own block and the one before, not to what follows, and not beyond its
+    sequence."""
+    p, b, out = model.p, model.block, []
+    for lo, hi in zip(offsets[:-1], offsets[1:]):
+        e = [p["one"][one[i]].astype(float) + p["two"][two[i]] for i in range(lo, hi)]
+        for i in range(hi - lo):
+            q, start = e[i] @ p["q"], (i // b - 1) * b
+            keys = [j for j in range(max(start, 0), i + 1)]
+            s = np.array([q @ (e[j] @ p["k"]) / 4 + p["bias"][i % b, j - start] for j in keys])
+            a = np.exp(s - s.max())
+            h = e[i] + sum(x * (e[j] @ p["v"]) for x, j in zip(a / a.sum(), keys))
+            z = h @ p["out"] + p["shift"]
+            z = np.exp(z - z.max())
+            out.append(math.log((1 - attention.FLOOR) * z[target[lo + i]] / z.sum() + attention.FLOOR * share[target[lo + i]]))
+    return out
+
+
+def test_windows_score_as_one_input_at_a_time():
+    rng = np.random.default_rng(4)
+    model = attention.Attention.fresh(12, 6, 4, seed=2)
+    model.p["bias"][:] = rng.standard_normal((4, 8))
+    model.p["shift"][:] = rng.standard_normal(6)
+    spans, share = np.array([0, 1, 1, 10, 31]), np.full(6, 1 / 6)
+    one, two, target = rng.integers(0, 12, 31), rng.integers(0, 12, 31), rng.integers(0, 6, 31)
+    got = model.log_probabilities(model.tables(), one, two, spans, target, share)
+    assert np.allclose(got, plain_log_probabilities(model, one, two, spans, target, share), atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(6)
+    model = attention.Attention.fresh(9, 5, 4, seed=3)
+    spans, one, two, target = np.array([0, 7, 12]), rng.integers(0, 9, 12), rng.integers(0, 9, 12), rng.integers(0, 5, 12)
+    at = attention.windows(spans, 4)
+    loss = lambda: -np.mean([x for x in plain_log_probabilities(model, one, two, spans, target, np.zeros(5))]) - math.log(1 / (1 - attention.FLOOR))
+    found = attention.Trainer(model).gradients(at, one, two, target)
+    for name in ("q", "k", "v", "out", "shift", "bias", "one", "two"):
+        rows, g = found[name] if isinstance(found[name], tuple) else (np.arange(len(model.p[name])), found[name])
+        i = int(rng.integers(len(rows)))
+        place = (rows[i], 1) if model.p[name].ndim > 1 else (rows[i],)
+        old = model.p[name][place]
+        model.p[name] = model.p[name].astype(np.float64)
+        ends = []
+        for d in (1e-3, -1e-3):
+            model.p[name][place] = old + d
+            ends.append(loss())
+        model.p[name][place] = old
+        assert abs((ends[0] - ends[1]) / 2e-3 - g[(i, *place[1:])]) < 2e-3, name
+
+
+def test_a_text_scores_as_the_sum_of_its_ids(spark):
+    """The model's score of whole texts against a plain walk over their words and ids."""
+    texts = [t for _, t in labelled(60)] + ["", "one", "the river ran"]
+    n_ids = lm_scoring._pieces(PATH).get_piece_size()
+    ones = np.ones(n_ids)
+    model = lm_scoring.SubwordModel(PATH, texts, ones, ones, 50, 9, steps=20)
+    model.prepare()
+    raw = [t.encode() for t in texts]
+    got = model.log10(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for k in (0, 1, 30, 60, 61, 62):
+        spelled = [lm_scoring._pieces(PATH).encode(w) for w in brute.words(texts[k])]
+        one, two = np.array([model.bos, *(s[0] for s in spelled)]), np.array([model.bos, *(s[-1] for s in spelled)])
+        target = np.array([*(model.word_class[s[0]] for s in spelled), lm_scoring.WORD_CLASSES])
+        total = sum(plain_log_probabilities(model.by_word, one, two, [0, len(one)], target, model.word_share))
+        for s in spelled:
+            s = np.array(s)
+            inner = np.array([*model.piece_class[s[1:]], lm_scoring.PIECE_CLASSES])
+            total += model.word_in[s[0]] + sum(plain_log_probabilities(model.by_piece, s, np.full(len(s), model.bos), [0, len(s)], inner, model.piece_share)) + model.piece_in[s[1:]].sum()
+        assert abs(got[k] - total / math.log(10)) < 1e-3 * max(1, abs(got[k]))
+
+
+def test_rounds_train_on_every_partition_and_average(spark):
+    rows = [(i, t) for i, t in labelled(300) if i % 2]
+    train = brute.docs(spark, rows).select("text").repartition(70)
+    n_ids = lm_scoring._pieces(PATH).get_piece_size()
+    model = lm_scoring.SubwordModel(PATH, [rows[0][1]], np.ones(n_ids), np.ones(n_ids), 50, 9, steps=5)
+    data = [t.encode() for _, t in rows]
+    whole = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in data])])
+
+    def score(m):
+        m.prepare()
+        return m.log10(*whole).sum()
+
+    before = score(model)
+    changed = lm_scoring.trained_round(model, train, 1.0, 0)
+    assert score(changed) > before
+
+
 def test_gradient_is_causal():
     model = attention.Attention.fresh(9, 4, 4, seed=1)
     one, two, spans, share = np.arange(8) % 8, np.full(8, 8), np.array([0, 8]), np.full(4, 0.25)
@@ -77,10 +202,17 @@ def test_gradient_is_causal():
     assert np.allclose(a[:5], b[:5]) and not np.allclose(a[5:], b[5:])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_scores_are_above_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = lm_scoring.lm_scores(docs, PATH, crc32_of_id("doc_id") % 10 == 0).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert out.s > out.b
+
+
 @pytest.mark.parametrize("frequent", [10, 300_000])
 def test_base_scores(spark, frequent):
     rows = [*labelled(60), *brute.AWKWARD]
-    out = lm_scoring.lm_scores(brute.docs(spark, rows), PATH, crc32_of_id("doc_id") % 10 == 0, frequent=frequent).collect()
+    out = lm_scoring.lm_scores(brute.docs(spark, rows), PATH, crc32_of_id("doc_id") % 10 == 0, frequent=frequent, steps=50, rounds=1).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     tokens = [(i, [*brute.words(t), None]) for i, t in rows]
     c = Counter(w for i, t in tokens if not held(i) for w in t)
@@ -120,6 +252,31 @@ def test_mixing_meets_its_targets(spark):
     assert {r.rate for r in mixing.mix(docs, one, {"all": 1.0}, anchor="all")[0].collect()} == {1.0}
 
 
+def test_rates_equal_a_plain_solver(spark):
+    """The fitted rates against projected gradient steps in plain loops over the same posteriors, and the totals against the optimum."""
+    rows = labelled(120, seed=9)
+    docs = brute.docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:80]], "doc_id long, toxic int")
+    model = mixing.train(docs, labels, ("toxic",))
+    rated, target, got = mixing.mix(docs, model, {"toxic1": 0.7, "toxic0": 0.3}, anchor="toxic1", close=1e-6)
+    out = rated.collect()
+    n, p, t = [r.n_tokens for r in out], [list(r.posterior) for r in out], [target[name] for name in model.names]
+    rates = [1.0] * len(n)
+    tokens = sum(n)
+    start = [sum(a * b[k] for a, b in zip(n, p)) for k in range(2)]
+    scale = [max(s, 1e-3 * tokens) for s in start]
+    for _ in range(mixing.STEPS):
+        off = [sum(r * a * b[k] for r, a, b in zip(rates, n, p)) - t[k] for k in range(2)]
+        if max(map(abs, off)) <= 1e-6 * tokens:
+            break
+        m = [[sum(a * b[i] * b[j] for r, a, b in zip(rates, n, p) if r > 0) / math.sqrt(scale[i] * scale[j]) for j in range(2)] for i in range(2)]
+        top = (m[0][0] + m[1][1] + math.sqrt((m[0][0] - m[1][1]) ** 2 + 4 * m[0][1] * m[1][0])) / 2
+        rates = [max(0.0, r - sum(b[k] * off[k] / scale[k] for k in range(2)) / top) for r, b in zip(rates, p)]
+    assert max(abs(r.rate - x) for r, x in zip(out, rates)) < 1e-6
+    best = [sum(x * a * b[k] for x, a, b in zip(rates, n, p)) for k in range(2)]
+    assert all(abs(best[k] - got[name]) < 1e-6 * tokens and abs(best[k] - t[k]) < 2e-3 * tokens for k, name in enumerate(model.names))
+
+
 def test_copies(spark):
     rates = spark.range(4000).select("id", (F.col("id") % 3 / 2).alias("rate"))
     total = rates.agg(F.sum(mixing.copies(F.col("rate"), F.col("id"))).alias("n"), F.sum("rate").alias("want")).first()
