@@ -122,6 +122,7 @@ def authors_in_full(asked: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def fingerprint(ids: DataFrame, column: str) -> DataFrame:
-    """An md5 of a scope's sorted ids, by way of one digest of each id, so that nothing but digests meets."""
+    """An md5 of a scope's sorted ids, by way of one digest of each id, so that nothing but digests meets: first those
+    that begin with the same four digits, then one digest for each beginning."""
     one = ids.select(F.md5(F.col(column).cast("string")).alias("d")).distinct()
-    return one.select(F.substring("d", 1, 2).alias("part"), "d").groupBy("part").agg(F.md5(F.array_join(F.sort_array(F.collect_list("d")), "")).alias("p")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), "")).alias("fingerprint"))
+    return one.select(F.substring("d", 1, 4).alias("part"), "d").groupBy("part").agg(F.md5(F.array_join(F.sort_array(F.collect_list("d")), "")).alias("p")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), "")).alias("fingerprint"))

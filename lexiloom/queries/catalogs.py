@@ -89,7 +89,7 @@ def most_common_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _unbracketed(column: str) -> str:
     for a, b in T.BRACKETS.values():
-        x, y = "\\" + a, "\\" + b
+        x, y = (f"\\{c}" if c.isascii() else c for c in (a, b))
         column = f"regexp_replace(regexp_replace(regexp_replace({column}, '{x}[^{y}]*{y}', '', 'g'), '^[^{x}]*{y}', ''), '{x}[^{y}]*$', '')"
     return column
 
@@ -128,7 +128,7 @@ def authors_for_models(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.works_catalog(spark, sf).groupBy("author").agg(F.sum("size").alias("size")).where("size between 1000 and 100000000")
 
 
-@query(f"WITH {CATALOG}, d AS (SELECT DISTINCT md5(work_id::VARCHAR) AS d FROM catalog WHERE corpus = 'en'), p AS (SELECT substr(d, 1, 2) AS part, md5(string_agg(d, '' ORDER BY d)) AS p FROM d GROUP BY 1) SELECT md5(string_agg(p, '' ORDER BY part)) AS fingerprint FROM p")
+@query(f"WITH {CATALOG}, d AS (SELECT DISTINCT md5(work_id::VARCHAR) AS d FROM catalog WHERE corpus = 'en'), p AS (SELECT substr(d, 1, 4) AS part, md5(string_agg(d, '' ORDER BY d)) AS p FROM d GROUP BY 1) SELECT md5(string_agg(p, '' ORDER BY part)) AS fingerprint FROM p")
 def scope_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return P.fingerprint(corpus.works_catalog(spark, sf).where("corpus = 'en'"), "work_id")
 
@@ -161,3 +161,8 @@ def windowed_event_counts(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.search import windowed_counts
 
     return windowed_counts(corpus.table(spark, sf, "events")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("string"))
+
+
+@query("SELECT * FROM (VALUES ('documents', true), ('pages', true), ('part', true), ('no_such_table', false)) v(name, present)")
+def available_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.available(spark, sf, ["documents", "pages", "part", "no_such_table"])

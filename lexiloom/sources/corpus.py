@@ -5,6 +5,7 @@ works: corpus, author, work_id, lines array<string>. Catalog tables (authors, wo
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def available(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """name and whether there is such a table; only footers are read."""
+
+    def there(name: str) -> bool:
+        try:
+            return bool(table(spark, sf_dir, name).columns)
+        except AnalysisException:
+            return False
+
+    return spark.createDataFrame([(n, there(n)) for n in names], "name string, present boolean")
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("lang").alias("corpus"), F.col("source").alias("author"), F.col("doc_id").alias("work_id"), F.split("text", LINE_BREAK).alias("lines"))
