@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, warc
+from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, vector_codes, warc
 from .shared import crc32_of_id
 
 
@@ -77,8 +77,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters, op12_vector_codes)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +93,5 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
 FROM p LEFT JOIN t USING (d)""",
     "op10_url_filters": url_filters.oracle(),
+    "op12_vector_codes": vector_codes.oracle(),
 }
