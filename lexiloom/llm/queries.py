@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, quality_crf, sentencepiece_codec, token_counts, url_filters, vector_codes, warc
+from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, nearest, quality_crf, sentencepiece_codec, token_counts, url_filters, vector_codes, warc
 from .shared import crc32_of_id
 
 
@@ -81,8 +81,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters, op12_vector_codes)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters, op12_vector_codes, op13_nearest)
 }
 
 ORACLE_SQL: dict[str, str] = {
