@@ -4,7 +4,7 @@ Equal vectors form a class with its smallest ids (as many as an answer can use).
 bounded sample of the classes (SAMPLE_ROWS of those of smallest hash, fewer where vectors are long); every class goes down to a leaf. A leaf with many
 classes is dealt to blocks, and its visitors to groups, so that no task holds more than BLOCK_ROWS classes and about GROUP_ROWS queries.
 A query opens the tree's nodes by a priority queue and visits leaves, nearest first; how many is calibrated: CALIBRATION queries of
-smallest hash are compared with all classes by brute force, and the visits are doubled until the leaves visited hold RECALL of their true
+smallest hash are compared with all classes by brute force, and the visits grow by a quarter until the leaves visited hold RECALL of their true
 neighbours (all leaves hold all of them, so that it always ends). A query goes on until its leaves hold enough rows to answer it. Distances are taken
 in double precision from the original vectors.
 
@@ -28,7 +28,7 @@ SAMPLE_ROWS, SAMPLE_VALUES = 32_768, 4_194_304
 #: Classes a leaf holds, about (while the sample has LEAST_ROWS of them).
 LEAF_ROWS, LEAST_ROWS = 128, 8
 BLOCK_ROWS, GROUP_ROWS = 4096, 32_768
-CALIBRATION, RECALL = 256, 0.97
+CALIBRATION, RECALL = 256, 0.95
 #: Queries that are compared with a block or led through the tree at a time.
 QUERIES = 256
 
@@ -215,7 +215,7 @@ def nearest_vectors(vectors: DataFrame, is_query, k: int = NEIGHBOURS, id_col: s
                 got = float(hit[want[:, 0], want[:, 1]].mean())
                 if got >= recall or width[n] >= tree.leaves:
                     break
-                width[n] = min(2 * width[n], tree.leaves)
+                width[n] = min(width[n] + max(1, width[n] // 4), tree.leaves)
         reached = min(reached, got)
     visits = written(mapped(queries, _visited(trees, width, held, k + 1), "q_id long, q_hash long, leaf int"), "nearest_visits")
     visitors = {r.leaf: r["count"] for r in visits.groupBy("leaf").count().collect()}  # one row a leaf
