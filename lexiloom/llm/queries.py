@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, nearest, quality_crf, sentencepiece_codec, token_counts, url_filters, vector_codes, warc
+from . import embedding_dup, fingerprints, lm_scoring, mixing, near_dup, nearest, quality_crf, sentencepiece_codec, spelling, token_counts, url_filters, vector_codes, warc
 from .shared import crc32_of_id
 
 
@@ -77,6 +77,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +90,7 @@ def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters, op12_vector_codes, op13_nearest)
+    f.__name__: f for f in (op1_token_counts, op2_near_dup, op3_sentencepiece, op4_embedding_dup, op5_warc, op6_mixing, op7_quality, op8_fingerprints, op9_lm_scoring, op10_url_filters, op11_spelling, op12_vector_codes, op13_nearest)
 }
 
 ORACLE_SQL: dict[str, str] = {
