@@ -1,8 +1,9 @@
 """Operator 13: nearest vectors by a hierarchical k-means tree that is searched best bin first.
 
 Equal vectors form a class with its smallest ids (as many as an answer can use). A tree of k-means clusters is fitted on the driver to a
-bounded sample of the classes (SAMPLE_ROWS of those of smallest hash, fewer where vectors are long); every class goes down to a leaf. A leaf with many
-classes is dealt to blocks, and its visitors to groups, so that no task holds more than BLOCK_ROWS classes and about GROUP_ROWS queries.
+bounded sample of the classes (SAMPLE_ROWS of those of smallest hash, fewer where vectors are long); every class goes down to a leaf. Leaves side by side
+make a bin, to which a query goes once and from which it gets one answer; a leaf with many classes is dealt to blocks, and a bin's visitors to groups,
+so that no task holds more than about BLOCK_ROWS classes and GROUP_ROWS queries.
 A query opens the tree's nodes by a priority queue and visits leaves, nearest first; how many is calibrated: CALIBRATION queries of
 smallest hash are compared with all classes by brute force, and the visits grow by a quarter until the leaves visited hold RECALL of their true
 neighbours (all leaves hold all of them, so that it always ends). A query goes on until its leaves hold enough rows to answer it. Distances are taken
@@ -124,7 +125,7 @@ def _measured(trees: dict, asked: dict, k: int):
     return run
 
 
-def _placed(trees: dict):
+def _placed(trees: dict, bin_of: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
@@ -133,12 +134,14 @@ def _placed(trees: dict):
             leaf = np.zeros(len(column), np.int32)
             for n, at, x in _by_length(column):
                 leaf[at] = trees[n][1] + trees[n][0].leaf_of(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(bin_of[leaf].astype(np.int32))], names=[*batch.schema.names, "leaf", "bin"])
 
     return run
 
 
-def _visited(trees: dict, width: dict, held: np.ndarray, least: int):
+def _visited(trees: dict, width: dict, held: np.ndarray, least: int, bin_of: np.ndarray):
+    """For each query and bin the leaves that it visits there."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -149,26 +152,59 @@ def _visited(trees: dict, width: dict, held: np.ndarray, least: int):
                 tree, base = trees[n]
                 for lo in range(0, len(q), QUERIES):
                     r, leaf = tree.visits(q[lo : lo + QUERIES], width[n], held[base : base + tree.leaves], least)
-                    row = pa.array(at[lo + r])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array((base + leaf).astype(np.int32))], names=["q_id", "q_hash", "leaf"])
+                    leaf += base
+                    order = np.lexsort((leaf, r))
+                    r, leaf = r[order], leaf[order]
+                    new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (bin_of[leaf[1:]] != bin_of[leaf[:-1]])]))
+                    leaves = pa.ListArray.from_arrays(pa.array(np.append(new, len(r)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
+                    row = pa.array(at[lo + r[new]])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(bin_of[leaf[new]].astype(np.int32)), leaves], names=["q_id", "q_hash", "bin", "leaves"])
 
     return run
 
 
 def _searched(k: int):
+    """A bin's leaves, each against its visitors; a query's nearest of all of them go on."""
+
     def run(classes, queries):
         import pyarrow as pa
 
         schema = pa.schema([("q_id", pa.int64()), ("q_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not classes.num_rows or not queries.num_rows:
             return schema.empty_table()
-        q_id = queries.column("q_id").to_numpy()
-        r, each, _, d = _answers(_matrix(queries.column("q_vector")), q_id, _matrix(classes.column("vector")), classes.column("ids").to_pylist(), k)
-        return pa.table([pa.array(q_id[r]), pa.array(queries.column("q_hash").to_numpy()[r]), pa.array(each), pa.array(d)], schema=schema)
+        q_id, q, x = queries.column("q_id").to_numpy(), _matrix(queries.column("q_vector")), _matrix(classes.column("vector"))
+        ids, home = classes.column("ids").to_pylist(), classes.column("leaf").to_numpy()
+        leaves = queries.column("leaves").combine_chunks()
+        visitor, leaf = np.repeat(np.arange(len(q)), np.diff(np.asarray(leaves.offsets))), np.asarray(leaves.flatten())
+        parts = []
+        for u in np.unique(home):
+            here, who = np.flatnonzero(home == u), visitor[leaf == u]
+            if len(who):
+                r, each, _, d = _answers(q[who], q_id[who], x[here], [ids[i] for i in here], k)
+                parts.append((who[r], each, d))
+        if not parts:
+            return schema.empty_table()
+        r, each, d = (np.concatenate(v) for v in zip(*parts))
+        order = np.lexsort((each, d, r))
+        r, each, d = r[order], each[order], d[order]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r = r[top]
+        return pa.table([pa.array(q_id[r]), pa.array(queries.column("q_hash").to_numpy()[r]), pa.array(each[top]), pa.array(d[top])], schema=schema)
 
     return run
 
 
+def _bins(trees: dict, in_leaf: np.ndarray) -> np.ndarray:
+    """The bin of each leaf: leaves of one tree that follow each other, of BLOCK_ROWS classes at most together (or one leaf of more)."""
+    out, now, rows = np.zeros(len(in_leaf), np.int64), -1, 0
+    for tree, base in trees.values():
+        for u in range(base, base + tree.leaves):
+            if u == base or rows + in_leaf[u] > BLOCK_ROWS:
+                now, rows = now + 1, 0
+            out[u], rows = now, rows + in_leaf[u]
+    return out
+
+
 def _sample(classes: DataFrame, length: int, count: int) -> np.ndarray:
     """Of the classes of one length those of smallest hash: all, or about as many as the bounds allow."""
     most = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // length))
@@ -217,15 +253,17 @@ def nearest_vectors(vectors: DataFrame, is_query, k: int = NEIGHBOURS, id_col: s
                     break
                 width[n] = min(width[n] + max(1, width[n] // 4), tree.leaves)
         reached = min(reached, got)
-    visits = written(mapped(queries, _visited(trees, width, held, k + 1), "q_id long, q_hash long, leaf int"), "nearest_visits")
-    visitors = {r.leaf: r["count"] for r in visits.groupBy("leaf").count().collect()}  # one row a leaf
-    plan = spark.createDataFrame([(u, -(-int(in_leaf[u]) // BLOCK_ROWS), -(-c // GROUP_ROWS)) for u, c in sorted(visitors.items())], "leaf int, blocks int, groups int")
+    bin_of = _bins(trees, in_leaf)
+    visits = written(mapped(queries, _visited(trees, width, held, k + 1, bin_of), "q_id long, q_hash long, bin int, leaves array<int>"), "nearest_visits")
+    visitors = {r.bin: r["count"] for r in visits.groupBy("bin").count().collect()}  # one row a bin
+    in_bin = np.bincount(bin_of, weights=in_leaf, minlength=1)
+    plan = spark.createDataFrame([(u, -(-int(in_bin[u]) // BLOCK_ROWS), -(-c // GROUP_ROWS)) for u, c in sorted(visitors.items())], "bin int, blocks int, groups int")
     deal = lambda *by: F.xxhash64(F.lit(7), *by)
-    left = mapped(classes, _placed(trees), "h long, vector " + dict(classes.dtypes)["vector"] + ", ids array<long>, leaf int").join(F.broadcast(plan), "leaf")
-    left = left.select("leaf", F.pmod(deal("h"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vector", "ids")
-    right = visits.join(queries.withColumnRenamed("vector", "q_vector"), ["q_id", "q_hash"]).join(F.broadcast(plan), "leaf").where("blocks > 0")
-    right = right.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(deal("q_id", "q_hash"), "groups").cast("int").alias("group"), "q_id", "q_hash", "q_vector")
-    keys = ["leaf", "block", "group"]
+    left = mapped(classes, _placed(trees, bin_of), "h long, vector " + dict(classes.dtypes)["vector"] + ", ids array<long>, leaf int, bin int").join(F.broadcast(plan), "bin")
+    left = left.select("bin", F.pmod(deal("h"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "leaf", "vector", "ids")
+    right = visits.join(queries.withColumnRenamed("vector", "q_vector"), ["q_id", "q_hash"]).join(F.broadcast(plan), "bin").where("blocks > 0")
+    right = right.select("bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(deal("q_id", "q_hash"), "groups").cast("int").alias("group"), "q_id", "q_hash", "leaves", "q_vector")
+    keys = ["bin", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k), "q_id long, q_hash long, vec_id long, score double")
     order = Window.partitionBy("q_id", "q_hash").orderBy("score", "vec_id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
