@@ -55,10 +55,55 @@ def tidy(column: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(column), r"[\p{P}\p{S}\p{N}]", ""), "vj", "ui")
 
 
+# fixed values: marks beside punctuation, symbols and digits that an index drops
+INDEX_MARKS = "\u02c8\u0304\u0306\u035c\u035d\u0361"
+INDEX_DROPS = rf"[\p{{P}}\p{{S}}0-9{INDEX_MARKS}]"
+_GREEK = r"[\p{IsGreek}]"
+_ELISION = "’"
+
+
+def index_form(column: Column) -> Column:
+    """Text as an index lists it: lower case, punctuation, symbols and digits off, graves as acutes, v as u."""
+    graves, acutes = accent_pairs()
+    return F.translate(F.regexp_replace(F.lower(column), INDEX_DROPS, ""), graves + "v", acutes + "u")
+
+
+def index_pairs(column: Column) -> Column:
+    """(raw, word) of every token: as written, in lower case, and as an index lists it ('' for bare punctuation). A Greek word that the line, without its
+    tags, also has with an elision mark behind it is an elided one and keeps it (as an apostrophe); behind a Latin word the same mark may
+    close a quotation, and goes."""
+    marked = tokens(F.regexp_replace(strip_markup(column), "&nbsp;", ""))
+
+    def careful(w):
+        elided = w.rlike(_GREEK) & F.array_contains(marked, F.concat(F.regexp_replace(F.lower(w), INDEX_DROPS, ""), F.lit(_ELISION)))
+        return F.struct(F.lower(w).alias("raw"), F.when(elided, F.concat(index_form(w), F.lit("'"))).otherwise(index_form(w)).alias("word"))
+
+    plain = lambda w: F.struct(F.lower(w).alias("raw"), index_form(w).alias("word"))
+    return F.when(_may_elide(column), F.transform(tokens(column), careful)).otherwise(F.transform(tokens(column), plain))
+
+
 def index_tokens(column: Column) -> Column:
-    """Tokens as an index lists them: lower case, punctuation off, empty ones gone, repeats kept."""
-    bare = F.regexp_replace(F.lower(column), _PUNCTUATION, "")
-    return tokens(bare)
+    """Tokens as an index lists them (see index_pairs), repeats kept, empty ones gone."""
+    careful = F.filter(F.transform(index_pairs(column), lambda t: t["word"]), lambda w: w != "")
+    return F.when(_may_elide(column), careful).otherwise(tokens(index_form(column)))
+
+
+def _may_elide(column: Column) -> Column:
+    return F.coalesce(column.contains(_ELISION) & column.rlike(_GREEK), F.lit(False))
+
+
+def index_pattern(words: list[str]) -> str | None:
+    """A pattern that matches a lower-case line where index_tokens of it has one of some words, so that a line need not be cut into tokens; None
+    where a word has Greek letters, whose elisions no pattern tells."""
+    if any(re.search("[\u0370-\u03ff\u1f00-\u1fff']", w) for w in words):
+        return None
+    graves, acutes = accent_pairs()
+    other = {}
+    for g, a in zip(graves + "v", acutes + "u"):
+        other.setdefault(a, []).append(g)
+    gap = f"[\\p{{P}}\\p{{S}}0-9{INDEX_MARKS}]*"
+    one = lambda c: f"[{re.escape(c)}{''.join(other[c])}]" if c in other else re.escape(c)
+    return rf"(?:^|[ \u00a0]){gap}(?:{'|'.join(gap.join(map(one, w)) for w in words)}){gap}(?:$|[ \u00a0])"
 
 
 def depunct(column: Column, allowed: str = "") -> Column:
@@ -163,12 +208,36 @@ def sentences(column: Column) -> Column:
     return F.split(column, r"[.?!·;]")
 
 
+# fixed values: abbreviated first names and words of dates, whose points end no sentence
+PRAENOMINA = {
+    "A.": "Aulus", "App.": "Appius", "C.": "Caius", "G.": "Gaius", "Cn.": "Cnaius", "Gn.": "Gnaius", "D.": "Decimus", "L.": "Lucius", "M.": "Marcus", "N.": "Numerius", "P.": "Publius",
+    "Q.": "Quintus", "S.": "Spurius", "Sp.": "Spurius", "Ser.": "Servius", "Sex.": "Sextus", "T.": "Titus", "Ti.": "Tiberius", "V.": "Vibius",
+}
+DATE_WORDS = {
+    "a.": "ante", "d.": "dies", "Id.": "Idibus", "Kal.": "Kalendas", "Non.": "Nonas", "prid.": "pridie", "Ian.": "Ianuarias", "Feb.": "Februarias", "Mart.": "Martias", "Apr.": "Aprilis",
+    "Mai.": "Maias", "Iun.": "Iunias", "Quint.": "Quintilis", "Sext.": "Sextilis", "Sept.": "Septembris", "Oct.": "Octobris", "Nov.": "Novembris", "Dec.": "Decembris",
+}
+#: A word with a point behind it.
+POINTED = r"[\p{L}\p{N}_]+\."
+
+
+def expanded_points(column: Column, names: dict[str, str] | None = None) -> Column:
+    """Abbreviations written out, in one pass: every whole word with a point behind it is looked up once."""
+    names = PRAENOMINA | DATE_WORDS if names is None else names
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    words = F.transform(F.regexp_extract_all(column, F.lit(POINTED), F.lit(0)), lambda w: F.coalesce(F.try_element_at(known, w), w))
+    whole = F.array_join(F.zip_with(F.split(column, POINTED), F.concat(words, F.array(F.lit(""))), lambda between, w: F.concat(between, w)), "")
+    some = "|".join(re.escape(x.rstrip(".")) for x in names)
+    return F.when(column.rlike(rf"(?<![\p{{L}}\p{{N}}_])({some})\."), whole).otherwise(column)
+
+
 def vector_clean(column: Column) -> Column:
-    return fold(strip_markup(column))
+    """Text as sentences are cut from it: no tags, abbreviations written out, folded."""
+    return fold(expanded_points(F.regexp_replace(strip_markup(column), "&nbsp;", "")))
 
 
 def without_stop_words(words: Column, stops: list[str]) -> Column:
-    return F.array_except(F.array(), words) if not stops else F.filter(words, lambda w: ~w.isin(stops))
+    return F.filter(words, lambda w: ~w.isin(stops)) if stops else words
 
 
 def highlight(column: Column, pattern: str) -> Column:
@@ -210,19 +279,35 @@ def joined_prefix(prefix: Column, stem: Column) -> Column:
     return F.coalesce(F.concat(F.substring(prefix, F.lit(1), size - 1), joint, F.substring(stem, F.lit(2), F.char_length(stem))), F.concat(prefix, stem))
 
 
+_ACCENTS = "̓̔́̀͂"
+
+
+def bare_vowels() -> tuple[str, str]:
+    """Greek vowels with a breathing or an accent, and the vowel without, its iota below kept."""
+    source, target = [], []
+    for code in [*range(0x370, 0x400), *range(0x1F00, 0x2000)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        bare = unicodedata.normalize("NFC", "".join(c for c in parts if c not in _ACCENTS))
+        if parts[0] in "αεηιουω" and len(bare) == 1 and bare != chr(code):
+            source.append(chr(code))
+            target.append(bare)
+    return "".join(source), "".join(target)
+
+
 def elided_prefix(prefix: Column, stem: Column) -> Column:
-    """Greek compound: a prefix's final short vowel goes before a vowel (except that of περι and προ), and what is left is
-    aspirated before a rough breathing; a nu takes on the gamma, lambda, mu or sigma that follows it."""
+    """Greek compound: a prefix's final short vowel goes before a vowel (except that of περι and προ), and what is left is aspirated before a rough breathing; a nu
+    takes on the gamma, lambda, mu or sigma that follows it. The stem's first vowel, now inside the word, loses its breathing and accent."""
     bare = fold(stem)
     vowel = F.substring(bare, 1, 1).isin(list("αεηιουω"))
     rough = stem.rlike(r"^[ἁἅἃἇἑἕἓἡἥἣἧἱἵἳἷὁὅὃὑὕὓὗὡὥὣὧ]")
+    inside = F.when(vowel, F.concat(F.translate(F.substring(stem, 1, 1), *bare_vowels()), F.substring(stem, F.lit(2), F.char_length(stem)))).otherwise(stem)
     short = F.regexp_replace(prefix, "[αιοε]$", "")
     aspirated = F.regexp_replace(F.regexp_replace(short, "π$", "φ"), "τ$", "θ")
     keeps = prefix.isin("περι", "προ")
-    elided = F.concat(F.when(rough, aspirated).otherwise(short), stem)
+    elided = F.concat(F.when(rough, aspirated).otherwise(short), inside)
     likened = F.concat(F.regexp_replace(prefix, "ν$", ""), F.substring(bare, 1, 1), stem)
     nasal = prefix.rlike("ν$") & F.substring(bare, 1, 1).isin("γ", "λ", "μ", "ϲ")
-    return F.when(vowel & ~keeps & prefix.rlike("[αιοε]$"), elided).when(nasal, likened).otherwise(F.concat(prefix, stem))
+    return F.when(vowel & ~keeps & prefix.rlike("[αιοε]$"), elided).when(nasal, likened).otherwise(F.concat(prefix, inside))
 
 
 def u_for_v_outside_markup(column: Column) -> Column:

@@ -127,15 +127,6 @@ def carried(rows: DataFrame, key: str, order: str, value: Column, name: str) ->
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def carried_spans(lines: DataFrame, key: str, order: str, column: str, tag: str = "span") -> DataFrame:
-    """Lines made whole by themselves: `before` tags that earlier lines of the key left open are opened again, and what stays open at
-    the line's end is closed; before, after: how many of each."""
-    opens = F.regexp_count(F.col(column), F.lit(f"<{tag}\\b")) - F.regexp_count(F.col(column), F.lit(f"</{tag}>"))
-    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.greatest(F.sum(opens).over(upto), F.lit(0))
-    return lines.withColumn("before", F.greatest(F.sum(opens).over(upto) - opens, F.lit(0))).withColumn("after", after)
-
-
 def autocomplete(rows: DataFrame, column: str, prefix: str, cap: int = 50) -> DataFrame:
     """Distinct values that begin with the prefix, whatever their case and with or without a bracket before it, sorted; cap of them."""
     return rows.where(F.startswith(F.regexp_replace(F.lower(column), r"^[\[(<⟨{]+", ""), F.lit(prefix.lower()))).select(column).distinct().orderBy(column).limit(cap)

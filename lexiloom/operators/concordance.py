@@ -38,10 +38,14 @@ def suffix_forms(vocabulary: DataFrame, suffixes: tuple[str, ...] = ("s", "es",
     return vocabulary.select(F.col("word").alias("form"), F.explode(F.array_distinct(F.concat(F.array("word"), found))).alias("headword"))
 
 
+def possible_forms(headword: str, suffixes: tuple[str, ...] = ("s", "es", "ed", "ing")) -> list[str]:
+    """What could be a form of a headword: as many as there are suffixes, and itself."""
+    return [headword, *(headword + x for x in suffixes if len(headword) >= 3)]
+
+
 def forms_of_headword(words: DataFrame, headword: str, suffixes: tuple[str, ...] = ("s", "es", "ed", "ing")) -> DataFrame:
     """form, headword for one headword, out of all words: what can't be a form of it goes before anything is shuffled."""
-    longest = len(headword) + max(map(len, suffixes))
-    likely = words.where(F.startswith("word", F.lit(headword)) & (F.char_length("word") <= longest)).select("word").distinct()
+    likely = words.where(F.col("word").isin(possible_forms(headword, suffixes))).select("word").distinct()
     return suffix_forms(likely, suffixes).where(F.col("headword") == headword)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import corpus
+from ..sources.postings import WordIndex
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
@@ -25,6 +26,9 @@ def valid_pattern(spark: SparkSession, pattern: str) -> bool:
 
 def holding(words: list[str], form=F.lower):
     """A test for lines: whether one of their words is among some (the forms of one headword: their number is bounded by its inflection)."""
+    pattern = T.index_pattern(words)
+    if pattern is not None and words:
+        return lambda line: form(line).rlike(pattern)
     return lambda line: F.exists(T.index_tokens(form(line)), lambda w: w.isin(words)) if words else F.lit(False)
 
 
@@ -102,7 +106,7 @@ def _word(what):
 
 def one_of(words: list[str]):
     """A test for words: whether they are among some; the index forms of both sides meet."""
-    return lambda w: F.regexp_replace(w, r"[\p{P}\p{S}]", "").isin(words) if words else F.lit(False)
+    return lambda w: T.index_form(w).isin(words) if words else F.lit(False)
 
 
 def _first_places(rows: DataFrame, hit, length: int = 1) -> DataFrame:
@@ -208,13 +212,13 @@ def with_context(hits: DataFrame, works: DataFrame, context: int) -> DataFrame:
     return rows.select("work_id", "x.hit_idx", "x.idx", "x.line")
 
 
-def rarest_term(lines: DataFrame, terms: list[str], form=F.lower) -> DataFrame:
-    """The terms by how often they occur as words (0 where never), rarest first."""
-    spark = lines.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
-    words = lines.select(F.explode(T.tokens(form("line"))).alias("term")).where(F.col("term").isin(*terms))
-    counted = words.groupBy("term").agg(F.count("*").alias("n"))
-    return wanted.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).orderBy("n", "term")
+def rarest_term(index: WordIndex, terms: list[str]) -> DataFrame:
+    """The terms by how often they occur as words (0 where never), rarest first: from the stored index, whose rows of these words alone are read."""
+    spark = index.spark
+    wanted = spark.createDataFrame([(t, t.lower()) for t in terms], "term string, raw string")
+    keys = [r.word for r in wanted.select(T.index_form(F.col("term")).alias("word")).distinct().collect()]
+    counted = index.counts(keys, by="raw").select("raw", "n")
+    return wanted.join(counted, "raw", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).orderBy("n", "term")
 
 
 def sort_hits(hits: DataFrame, catalog: DataFrame, key: str) -> DataFrame:

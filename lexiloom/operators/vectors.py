@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, PCA, Word2Vec
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.interim import written
+from .singular import truncated
 
 
 #: Forms whose choice of headwords is broadcast (about 100 bytes each); beyond, words are joined by shuffle.
@@ -205,11 +205,6 @@ def neighbours_of_terms(vectors: DataFrame, terms: list[str], k: int = 25, least
     return rows.select(F.lit(names[0]).alias("a"), F.col("word").alias("b"), F.round(cosine(F.col("embedding"), F.array(*map(F.lit, found[names[0]]))), 4).alias("similarity"))
 
 
-def word2vec(sentences: DataFrame, size: int = 300, window: int = 10, least: int = 10, steps: int = 12, seed: int = 1, partitions: int = 8):
-    """A fitted skip-gram model (hierarchical softmax; Spark has no negative sampling and no subsampling)."""
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=steps, seed=seed, inputCol="words", outputCol="vector", numPartitions=partitions).fit(sentences)
-
-
 def topics(sentences: DataFrame, k: int = 7, features: int = 2000, most_share: float = 0.35, least_docs: int = 5, steps: int = 12, seed: int = 1, terms: int = 8) -> DataFrame:
     """topic, place, word, weight of an online LDA over counts of words neither too common nor too rare."""
     counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features, maxDF=most_share, minDF=least_docs).fit(sentences)
@@ -219,40 +214,24 @@ def topics(sentences: DataFrame, k: int = 7, features: int = 2000, most_share: f
     return rows.select("topic", (F.col("place") + 1).alias("place"), F.get(names, F.col("t.termIndices")).alias("word"), F.col("t.termWeights").alias("weight"))
 
 
-def latent_space(sentences: DataFrame, key: list[str], k: int = 20, features: int = 1000) -> DataFrame:
-    """keys and `embedding`: tf-idf counts of words reduced to k principal components, of unit length."""
-    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features, minDF=5).fit(sentences)
-    rows = counter.transform(sentences)
-    rows = IDF(inputCol="counts", outputCol="weights").fit(rows).transform(rows)
-    rows = PCA(k=k, inputCol="weights", outputCol="reduced").fit(rows).transform(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    return Normalizer(inputCol="reduced", outputCol="unit").transform(rows).select(*key, vector_to_array("unit").alias("embedding"))
-
-
-def lsi(docs: DataFrame, query: list[str], k: int = 250, features: int = 2000, least_docs: int = 5) -> DataFrame:
-    """docs: id, words. id and similarity of each document to a query of words, by cosine in the space of the k largest singular values
-    of the tf-idf matrix. The matrix is distributed; only its products of columns (features x features numbers) come to the driver, whose
-    largest eigenvectors are the matrix's right singular vectors."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features, minDF=least_docs).fit(docs)
-    idf = IDF(inputCol="counts", outputCol="weights").fit(counter.transform(docs))
-    rows = idf.transform(counter.transform(docs)).select("id", "weights")
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("weights"), "weights"))
-    axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, -k:]
-    asked = idf.transform(counter.transform(docs.sparkSession.createDataFrame([(query,)], "words array<string>"))).first().weights.toArray() @ axes
-    reduced = _project(axes)
-    rows = rows.select("id", reduced(vector_to_array("weights")).alias("v"))
-    q = F.array(*(F.lit(float(x)) for x in asked))
-    return rows.select("id", F.coalesce(F.try_divide(dot(F.col("v"), q), norm(F.col("v")) * norm(q)), F.lit(0.0)).alias("similarity"))
-
-
-def _project(axes):
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_list()) @ axes)) if len(x) else pd.Series([], dtype=object)
-
-    return project
+def latent_space(docs: DataFrame, k: int = 20) -> DataFrame:
+    """docs: id, words. id and `embedding` of every document with a telling word: its place along the k largest axes of the tf-idf matrix of all words, of
+    unit length."""
+    _, _, rows = truncated(tfidf(docs, "id", F.col("words")), k)
+    length = norm(F.col("row"))
+    return rows.select("id", F.transform("row", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0))).alias("embedding"))
+
+
+def lsi(docs: DataFrame, query: list[str], k: int = 250) -> DataFrame:
+    """docs: id, words. id and similarity of each document to a query of words, by cosine along the axes of the k largest singular values of the
+    tf-idf matrix, of all words. Only the axes of the query's words come to the driver. Documents without a telling word, and queries without a
+    known one, are like nothing."""
+    _, axes, rows = truncated(tfidf(docs, "id", F.col("words")), k)
+    n = docs.count()
+    seen = docs.select(F.explode(F.array_distinct("words")).alias("word")).where(F.col("word").isin(query)).groupBy("word").agg(F.count("*").alias("df"))
+    idf = {r.word: float(np.log(n / r.df)) for r in seen.collect()}
+    place = {r.word: np.array(r.row) for r in axes.where(F.col("word").isin(query)).collect()}
+    q = sum((query.count(w) * idf[w] * place[w] for w in sorted(place)), np.zeros(1))
+    asked = F.array(*(F.lit(float(x)) for x in q))
+    same = F.coalesce(F.try_divide(dot(F.col("row"), asked), norm(F.col("row")) * norm(asked)), F.lit(0.0)) if place else F.lit(0.0)
+    return docs.select("id").join(rows.select("id", same.alias("likeness")), "id", "left").select("id", F.coalesce("likeness", F.lit(0.0)).alias("similarity"))

@@ -10,6 +10,7 @@ from ..operators import concordance as C
 from ..operators import search as S
 from ..registry import query
 from ..sources import corpus
+from ..sources.postings import WordIndex
 from .sql import CATALOG, LINES, TOKENS, fold
 
 WORD = T.term_pattern(" the ")
@@ -126,9 +127,24 @@ FORMS = """vocabulary AS (SELECT DISTINCT word FROM tokens), forms AS (
 )"""
 
 
+def word_index(spark: SparkSession, sf: str) -> WordIndex:
+    """The stored index of the corpus, brought up to date."""
+    index = WordIndex(spark, sf)
+    index.refresh()
+    return index
+
+
 def forms_of(spark: SparkSession, sf: str, headword: str) -> DataFrame:
-    """form, headword of one headword, from the words of the corpus."""
-    return C.forms_of_headword(C.words(corpus.lines(corpus.works(spark, sf))), headword)
+    """form, headword of one headword: what the index has of its possible forms."""
+    found = word_index(spark, sf).known(C.possible_forms(headword))
+    return spark.createDataFrame([(w, headword) for w in found], "form string, headword string")
+
+
+def _holding(spark: SparkSession, sf: str, *headwords: str):
+    """The works that hold a form of every one of some headwords, and a test for the forms of each."""
+    index = word_index(spark, sf)
+    forms = [index.known(C.possible_forms(h)) for h in headwords]
+    return corpus.as_works(index.docs_holding(*forms)), [S.holding(f) for f in forms]
 
 
 def all_forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +153,8 @@ def all_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOKENS}, {FORMS} SELECT DISTINCT t.corpus, t.author, t.work_id, t.idx FROM tokens t JOIN forms f ON t.word = f.form WHERE f.headword = 'the'")
 def lemma_search(spark: SparkSession, sf: str) -> DataFrame:
-    return S.lemma(corpus.works(spark, sf), S.forms_of(forms_of(spark, sf, "the"), "the")).select(*KEYS)
+    works, (the,) = _holding(spark, sf, "the")
+    return S.simple(works, the).select(*KEYS)
 
 
 _LEMMATA = f"WITH {TOKENS}, {FORMS}, h AS (SELECT DISTINCT work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'the'), o AS (SELECT DISTINCT work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'of')"
@@ -145,8 +162,8 @@ _LEMMATA = f"WITH {TOKENS}, {FORMS}, h AS (SELECT DISTINCT work_id, idx FROM tok
 
 @query(_LEMMATA + " SELECT work_id, idx FROM h WHERE EXISTS (SELECT 1 FROM o WHERE o.work_id = h.work_id AND abs(o.idx - h.idx) <= 1)")
 def lemma_near_lemma(spark: SparkSession, sf: str) -> DataFrame:
-    the, of = (S.holding(S.forms_of(forms_of(spark, sf, w), w)) for w in ("the", "of"))
-    return S.near_lines(corpus.works(spark, sf), the, of, 1).select("work_id", "idx")
+    works, (the, of) = _holding(spark, sf, "the", "of")
+    return S.near_lines(works, the, of, 1).select("work_id", "idx")
 
 
 @query(f"WITH {TOKENS}, {FORMS} SELECT 'headword' AS kind, work_id, idx FROM tokens JOIN forms ON word = form WHERE headword = 'whst' GROUP BY ALL UNION ALL SELECT 'word', work_id, idx FROM lines WHERE regexp_matches(lower(line), '(^|\\s)the,(\\s|$)')")
@@ -197,7 +214,21 @@ def any_accents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {LINES}, words AS (SELECT unnest(list_filter(string_split(replace(lower(line), chr(160), ' '), ' '), lambda w: w <> '')) AS w FROM lines) SELECT term, count(w)::BIGINT AS n FROM (VALUES ('the'), ('with'), ('whst'), ('zzz')) v(term) LEFT JOIN words ON w = term GROUP BY term")
 def least_common_term(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rarest_term(corpus.lines(corpus.works(spark, sf)), ["the", "with", "whst", "zzz"])
+    return S.rarest_term(word_index(spark, sf), ["the", "with", "whst", "zzz"])
+
+
+@query(f"WITH {TOKENS} SELECT word, count(*)::BIGINT AS n, count(DISTINCT work_id)::BIGINT AS works FROM tokens GROUP BY word")
+def indexed_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the stored index, how often it occurs and in how many works."""
+    return word_index(spark, sf).counts().where("word <> ''")
+
+
+@query(f"WITH {TOKENS}, {FORMS}, k AS (SELECT DISTINCT work_id FROM tokens JOIN forms ON word = form WHERE headword = 'whst'), o AS (SELECT DISTINCT work_id FROM tokens JOIN forms ON word = form WHERE headword = 'of') SELECT work_id FROM k JOIN o USING (work_id)")
+def works_holding_headwords(spark: SparkSession, sf: str) -> DataFrame:
+    """Works that hold a form of each of two headwords, told by the index alone: no text is read."""
+    index = word_index(spark, sf)
+    one, other = (index.holding(index.known(C.possible_forms(h))) for h in ("whst", "of"))
+    return one.join(other, "work_id", "left_semi")
 
 
 @query(f"WITH {LINES}, parts AS (SELECT work_id, idx, line, list_filter(string_split(replace(line, chr(160), ' '), ' '), lambda w: w <> '') AS ws FROM lines), ext AS (SELECT work_id, idx, line, lag(ws) OVER w AS p, lead(ws) OVER w AS n FROM parts WINDOW w AS (PARTITION BY work_id ORDER BY idx)) SELECT work_id, idx, trim(concat_ws(' ', coalesce(array_to_string(p[-2:], ' '), ''), line, coalesce(array_to_string(n[:2], ' '), '')), ' ') AS line FROM ext")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import walks as W
 from ..operators import browse as B
 from ..operators import scope as P
 from ..plans import selection as E
@@ -139,11 +140,19 @@ def browse_citations(spark: SparkSession, sf: str) -> DataFrame:
     return B.around(*_places(spark, sf), 3)
 
 
-@query("WITH l AS (SELECT page_id, unnest(string_split(html, '>')) || '>' AS line, generate_subscripts(string_split(html, '>'), 1)::INT AS idx FROM pages), c AS (SELECT *, len(regexp_extract_all(line, '<p\\b')) - len(regexp_extract_all(line, '</p>')) AS o FROM l), s AS (SELECT *, sum(o) OVER (PARTITION BY page_id ORDER BY idx) AS t FROM c) SELECT page_id, idx, greatest(t - o, 0)::BIGINT AS before, greatest(t, 0)::BIGINT AS after FROM s")
+#: Tags of a line as marks: a class (or none) for an opening one, a slash for a closing one; a stack is a text of marks.
+_MARKS = r"""list_transform(regexp_extract_all(part, '<(/?)p\b([^>]*)>'), lambda m: CASE WHEN starts_with(m, '</') THEN '/' ELSE '|' || regexp_extract(m, 'class="([^"]*)"', 1) END)"""
+_STACK = "list_reduce(list_prepend('', flatten(list(marks) OVER (PARTITION BY page_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND {upto}))), lambda s, m: CASE WHEN m = '/' THEN regexp_replace(s, '[|][^|]*$', '') ELSE s || m END)"
+
+
+@query(rf"""WITH l AS (SELECT page_id, unnest(string_split(html, '.')) AS part, (generate_subscripts(string_split(html, '.'), 1))::INT AS idx FROM pages),
+m AS (SELECT *, {_MARKS} AS marks FROM l), s AS (SELECT page_id, idx, part, coalesce({_STACK.format(upto='1 PRECEDING')}, '') AS before, {_STACK.format(upto='CURRENT ROW')} AS after FROM m)
+SELECT page_id, idx, regexp_replace(regexp_replace(before, '[|]([^|]+)', '<p class="\1">', 'g'), '[|]', '<p>', 'g') || part || repeat('</p>', len(regexp_extract_all(after, '[|]'))) AS line, before, after FROM s""")
 def carried_spans(spark: SparkSession, sf: str) -> DataFrame:
-    pages = corpus.table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("pos", "part"))
-    lines = pages.select("page_id", (F.col("pos") + 1).alias("idx"), F.concat("part", F.lit(">")).alias("line"))
-    return B.carried_spans(lines, "page_id", "idx", "line", "p").select("page_id", "idx", "before", "after")
+    """Pages cut at points, each part's paragraphs made whole: what is open is opened again with its class."""
+    rows = corpus.table(spark, sf, "pages").select("page_id", F.posexplode(W.carried_spans(spark, F.split("html", "[.]"), "p")).alias("pos", "x"))
+    stack = lambda c: F.array_join(F.transform(c, lambda name: F.concat(F.lit("|"), name)), "")
+    return rows.select("page_id", (F.col("pos") + 1).alias("idx"), "x.line", stack("x.before").alias("before"), stack("x.after").alias("after"))
 
 
 @query(f"{_CITED.rstrip()}, e AS (SELECT work_id, idx, l1, CASE WHEN regexp_matches(line, '\\([^)]*$') THEN 1 WHEN regexp_matches(line, '^[^(]*\\)') THEN 0 END AS event FROM cited) SELECT work_id, idx, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY work_id, l1 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::INT AS open FROM e")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import FOLD_FROM, FOLD_TO
+from ..functions.text import FOLD_FROM, FOLD_TO, INDEX_MARKS, accent_pairs
 
 LINES = """lines AS (
   SELECT lang AS corpus, source AS author, doc_id AS work_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS idx
@@ -23,13 +23,27 @@ authors AS (
   FROM catalog
 ),
 dated AS (SELECT c.*, author_date, location, coalesce(date, author_date) AS eff FROM catalog c LEFT JOIN authors a USING (author))"""
-#: Punctuation off, as the Java classes P and S in the engine.
-BARE = "regexp_replace(lower(line), '[\\p{P}\\p{S}]', '', 'g')"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def bare(expression: str) -> str:
+    """Text as an index lists it: lower case, punctuation, symbols, digits and a few marks off, graves as acutes, v as u."""
+    graves, acutes = accent_pairs()
+    return f"translate(regexp_replace(lower({expression}), '[\\p{{P}}\\p{{S}}0-9{INDEX_MARKS}]', '', 'g'), {quoted(graves + 'v')}, {quoted(acutes + 'u')})"
+
+
+def index_words(expression: str) -> str:
+    return f"list_filter(string_split(replace({bare(expression)}, chr(160), ' '), ' '), lambda w: w <> '')"
+
+
+BARE = bare("line")
 TOKENS = f"""{LINES}, tokens AS (
-  SELECT corpus, author, work_id, idx, unnest(list_filter(string_split(replace({BARE}, chr(160), ' '), ' '), lambda w: w <> '')) AS word FROM lines
+  SELECT corpus, author, work_id, idx, unnest({index_words('line')}) AS word FROM lines
 )"""
 
 
 def fold(expression: str) -> str:
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
     return f"translate({expression}, {quoted(FOLD_FROM)}, {quoted(FOLD_TO)})"

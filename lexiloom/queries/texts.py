@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import walks as W
 from ..operators import browse as B
 from ..operators import scope as P
 from ..operators import vectors as V
 from ..registry import query
 from ..sources import corpus
-from .sql import BARE, LINES, TOKENS, fold
+from .sql import BARE, LINES, TOKENS, bare, fold, quoted
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,9 +72,13 @@ def part_labels(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "part").select("p_partkey", T.u_for_v_outside_markup(F.col("p_name")).alias("u_name"), T.year_label(F.when(size % 2 == 0, size).otherwise(-size)).alias("year"), split["head"].alias("head"), split["tail"].alias("tail"))
 
 
-_TEXT = fold("regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g')")
-SENTENCES = f"""raw AS (SELECT doc_id AS work_id, unnest(string_split_regex({_TEXT}, '[.?!·;]')) AS s, generate_subscripts(string_split_regex({_TEXT}, '[.?!·;]'), 1) AS k FROM documents),
-worded AS (SELECT work_id, k, list_filter(string_split(replace(regexp_replace(s, '[\\p{{P}}\\p{{S}}]', '', 'g'), chr(160), ' '), ' '), lambda w: w <> '') AS words FROM raw),
+_POINTED = r"[\p{L}\p{N}_]+\."
+_WRITTEN_OUT = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in (T.PRAENOMINA | T.DATE_WORDS).items()) + "}"
+_WHOLE = f"array_to_string(list_transform(list_zip(string_split_regex(t, '{_POINTED}'), list_append(list_transform(regexp_extract_all(t, '{_POINTED}'), lambda w: coalesce({_WRITTEN_OUT}[w], w)), '')), lambda z: z[1] || z[2]), '')"
+SENTENCES = rf"""bare_texts AS (SELECT doc_id AS work_id, replace(regexp_replace(replace(text, chr(10), ' '), '<[^>]*>', '', 'g'), '&nbsp;', '') AS t FROM documents),
+whole_texts AS (SELECT work_id, {fold(_WHOLE)} AS t FROM bare_texts),
+raw AS (SELECT work_id, unnest(string_split_regex(t, '[.?!·;]')) AS s, generate_subscripts(string_split_regex(t, '[.?!·;]'), 1) AS k FROM whole_texts),
+worded AS (SELECT work_id, k, list_filter(string_split(replace(regexp_replace(s, '[\p{{P}}\p{{S}}]', '', 'g'), chr(160), ' '), ' '), lambda w: w <> '') AS words FROM raw),
 sentences AS (SELECT work_id, (row_number() OVER (PARTITION BY work_id ORDER BY k))::INT AS sentence, words FROM worded WHERE len(words) > 0)"""
 
 
@@ -89,23 +94,77 @@ def sentence_bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"WITH {LINES} SELECT work_id, idx, len(regexp_extract_all(line, '\p{{L}}+'))::INT AS runs, regexp_replace({BARE}, '[aeiou]', '', 'g') AS consonants FROM lines")
 def letter_runs(spark: SparkSession, sf: str) -> DataFrame:
-    bare = F.regexp_replace(F.lower("line"), r"[\p{P}\p{S}]", "")
-    return _lines(spark, sf).select("work_id", "idx", F.regexp_count("line", F.lit(r"\p{L}+")).cast("int").alias("runs"), F.regexp_replace(bare, "[aeiou]", "").alias("consonants"))
+    return _lines(spark, sf).select("work_id", "idx", F.regexp_count("line", F.lit(r"\p{L}+")).cast("int").alias("runs"), F.regexp_replace(T.index_form(F.col("line")), "[aeiou]", "").alias("consonants"))
 
 
-#: Lines of Greek, some with Latin, marks of another width and editors' signs.
-GREEK = [(1, "μῆνιν ἄειδε θεὰ"), (2, "Πηληϊάδεω Ἀχιλῆος"), (3, "τὸ μὲν ς. λόγος σοφός"), (4, "<i>ς</span>. ἐς arma καὶ uirum"), (5, "ΣΟΦΟΣ σκότος﹖ ❨x❩"), (6, ""), (7, "ἀπὸ τοῦ; λόγος")]
-_GREEK = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in GREEK) + ") g(id, t)"
-_USUAL = "translate(t, '{}', '{}')".format(T.SMALL_MARKS[0], T.SMALL_MARKS[1].replace("'", "''"))
+#: Lines of the corpus written with Greek letters, small and lunate sigmas, elision marks for commas, marks of another width; some letters stay Latin.
+TO_GREEK = ("abcdefgilmnopqrstuwxyzABDEGILMNOPRSTU,?(){}é'", "αβχδεφγιλμνοπθρςτυωξηζΑΒΔΕΓΙΛΜΝΟΠΡϹΤΥ’﹖❨❩❴❵ὰ﹡")
+_GREEK_LINES = f"{LINES}, greek AS (SELECT work_id, idx, translate(line, {quoted(TO_GREEK[0])}, {quoted(TO_GREEK[1])}) AS t FROM lines)"
+_USUAL = f"translate(t, {quoted(T.SMALL_MARKS[0])}, {quoted(T.SMALL_MARKS[1])})"
 
 
-@query(rf"""SELECT id, translate(t, 'σςΣ', 'ϲϲϹ') AS lunate, regexp_replace(translate(translate(t, 'σςΣ', 'ϲϲϹ'), 'ϲϹ', 'σΣ'), 'σ([^\p{{L}}]|$)', 'ς\1', 'g') AS sigmas, {_USUAL} AS usual,
-  regexp_replace(regexp_replace(t, '([\s>])ς\.', '\1σ.', 'g'), '([\s>])ς</span>\.', '\1σ</span>.', 'g') AS abbreviated,
-  array_to_string(list_transform(regexp_extract_all(t, '\p{{Greek}}+|\p{{Latin}}+'), lambda r: CASE WHEN regexp_matches(r, '^\p{{Greek}}') THEN 'greek ' ELSE 'latin ' END || r), '|') AS runs FROM {_GREEK}""")
+def _greek(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("work_id", "idx", F.translate("line", *TO_GREEK).alias("t"))
+
+
+@query(rf"""WITH {_GREEK_LINES} SELECT work_id, idx, translate(t, 'σςΣ', 'ϲϲϹ') AS lunate, regexp_replace(translate(translate(t, 'σςΣ', 'ϲϲϹ'), 'ϲϹ', 'σΣ'), 'σ([^\p{{L}}]|$)', 'ς\1', 'g') AS sigmas, {_USUAL} AS usual,
+  regexp_replace(t, '([\s>])ς\.', '\1σ.', 'g') AS abbreviated,
+  array_to_string(list_transform(regexp_extract_all(t, '\p{{Greek}}+|\p{{Latin}}+'), lambda r: CASE WHEN regexp_matches(r, '^\p{{Greek}}') THEN 'greek ' ELSE 'latin ' END || r), '|') AS runs FROM greek""")
 def greek_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("t")
     runs = F.array_join(F.transform(T.script_runs(t), lambda r: F.concat_ws(" ", r["script"], r["run"])), "|")
-    return spark.createDataFrame(GREEK, "id int, t string").select("id", T.lunate(t).alias("lunate"), T.differentiated_sigma(T.lunate(t)).alias("sigmas"), T.usual_marks(t).alias("usual"), T.inner_sigma_abbreviated(t).alias("abbreviated"), runs.alias("runs"))
+    return _greek(spark, sf).select("work_id", "idx", T.lunate(t).alias("lunate"), T.differentiated_sigma(T.lunate(t)).alias("sigmas"), T.usual_marks(t).alias("usual"), T.inner_sigma_abbreviated(t).alias("abbreviated"), runs.alias("runs"))
+
+
+@query(rf"""WITH {_GREEK_LINES}, parts AS (SELECT work_id, idx, list_filter(string_split(replace(t, chr(160), ' '), ' '), lambda w: w <> '') AS ws, list_filter(string_split(replace(regexp_replace(t, '<[^>]*>', '', 'g'), chr(160), ' '), ' '), lambda w: w <> '') AS shown FROM greek),
+each AS (SELECT work_id, idx, shown, unnest(ws) AS w FROM parts), formed AS (SELECT work_id, idx, {bare('w')} || CASE WHEN regexp_matches(w, '[\x{{370}}-\x{{3ff}}\x{{1f00}}-\x{{1fff}}]') AND list_contains(shown, regexp_replace(lower(w), '[\p{{P}}\p{{S}}0-9{T.INDEX_MARKS}]', '', 'g') || '’') THEN chr(39) ELSE '' END AS word FROM each)
+SELECT work_id, idx, word, count(*)::BIGINT AS n FROM formed WHERE word <> '' GROUP BY ALL""")
+def index_tokens_greek(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of Greek lines: elided words keep their mark, graves become acutes."""
+    rows = _greek(spark, sf).select("work_id", "idx", F.explode(T.index_tokens(F.col("t"))).alias("word"))
+    return rows.groupBy("work_id", "idx", "word").agg(F.count("*").alias("n"))
+
+
+#: Abbreviations of the corpus' own short words, in place of the Latin ones.
+_POINTS = {"la.": "laudat", "is.": "ista", "the.": "thesis", "un.": "unus", "et.": "etiam", "und.": "undique", "of.": "officium", "that.": "thalamus"}
+_MAP = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in _POINTS.items()) + "}"
+
+
+@query(f"WITH {LINES}, t AS (SELECT work_id, idx, line AS t FROM lines) SELECT work_id, idx, {_WHOLE.replace(_WRITTEN_OUT, _MAP)} AS line FROM t")
+def pointed_words_written_out(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("work_id", "idx", T.expanded_points(F.col("line"), _POINTS).alias("line"))
+
+
+def _insertions(kind: str) -> str:
+    """One family's insertions by windows and patterns: what is open before a line, then what stands up to the first closing bracket, then the rest."""
+    a, b = (rf"\{c}" if c.isascii() else c for c in T.BRACKETS[kind])
+    wrapped = rf'{a[-1]}<span class="{kind}">\1</span>\2'
+    spanned = rf"'{a}([^{b}]*)({b}|$)', '{wrapped}', 'g'"
+    head = f"regexp_extract(line, '^[^{b}]*')"
+    return rf"""SELECT '{kind}' AS kind, work_id, idx, CASE WHEN begun THEN '<span class="{kind}">' || {head} || '</span>' || regexp_replace(substr(line, len({head}) + 1), {spanned}) ELSE regexp_replace(line, {spanned}) END AS line
+FROM (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '{a}[^{b}]*$') THEN 1 WHEN regexp_matches(line, '{b}') THEN 0 END IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 OR regexp_matches(line, '^[^{a}{b}]*{b}') AS begun FROM marked)"""
+
+
+#: Commas and semicolons as brackets that change with the line's number, so that many stay open over lines.
+_BRACKETED = f"{LINES}, marked AS (SELECT work_id, idx, translate(line, ',;', CASE WHEN idx % 3 = 0 THEN ')]' WHEN idx % 3 = 1 THEN '([' ELSE '⟨⟩' END) AS line FROM lines)"
+
+
+@query(f"WITH {_BRACKETED} " + " UNION ALL ".join(_insertions(k) for k in ("square", "round", "angled")))
+def editorial_insertions(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans around what editors put in, family by family, open brackets carried over the lines of a work."""
+    marks = lambda i: F.when((i + 1) % 3 == 0, ")]").when((i + 1) % 3 == 1, "([").otherwise("⟨⟩")
+    turned = corpus.works(spark, sf).withColumn("lines", F.transform("lines", lambda line, i: F.call_function("translate", line, F.lit(",;"), marks(i))))
+    found = None
+    for kind in ("square", "round", "angled"):
+        rows = turned.select("work_id", F.posexplode(W.editorial_insertions(spark, F.col("lines"), (kind,))).alias("pos", "x")).select(F.lit(kind).alias("kind"), "work_id", (F.col("pos") + 1).alias("idx"), "x.line")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(replace(replace(html, '<', chr(1) || '<'), '>', '>' || chr(1)), chr(1)), lambda p: CASE WHEN starts_with(p, '<') THEN p ELSE replace(p, 'an', '<b>an</b>') END), '') AS html FROM pages")
+def highlighted_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches marked in text, never in tags."""
+    return corpus.table(spark, sf, "pages").select("page_id", W.highlight(spark, F.col("html"), "an").alias("html"))
 
 
 @query(rf"WITH {LINES} SELECT work_id, idx, regexp_replace(line, '[\p{{P}}\p{{S}}]', '', 'g') AS bare, len(regexp_extract_all(line, '\p{{Greek}}+|\p{{Latin}}+'))::INT AS runs FROM lines")

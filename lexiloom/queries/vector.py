@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import concordance as C
 from ..operators import morphology as M
-from ..operators import scope as P
+from ..operators import upkeep as U
 from ..operators import vectors as V
+from ..operators.skipgram import skip_gram
 from ..registry import query
 from ..sources import corpus, interim, models
+from ..sources.postings import digest
 from .searching import FORMS
+from .sql import index_words
 from .texts import SENTENCES
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -87,7 +89,7 @@ def sentence_bags_winner(spark: SparkSession, sf: str) -> DataFrame:
     return _bags(spark, sf, "winner")
 
 
-_WORDS = "list_filter(string_split(replace(regexp_replace(lower(replace(text, chr(10), ' ')), '[\\p{P}\\p{S}]', '', 'g'), chr(160), ' '), ' '), lambda w: w <> '')"
+_WORDS = index_words("replace(text, chr(10), ' ')")
 _TFIDF = f"""WITH docs AS (SELECT doc_id AS id, {_WORDS} AS ws FROM documents UNION ALL SELECT -1 - item_id, {_WORDS} FROM benchmark),
 tf AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(ws) AS word FROM docs) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 w AS (SELECT id, word, tf * ln((SELECT count(*) FROM docs) / df) AS w FROM tf JOIN df USING (word)), l AS (SELECT id, sqrt(sum(w * w)) AS n FROM w WHERE w > 0 GROUP BY id),
@@ -105,23 +107,23 @@ def tfidf_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select((-1 - F.col("query")).alias("item_id"), F.col("doc").alias("doc_id"), F.round("similarity", 4).alias("similarity"))
 
 
+#: What a model of words is made with.
+SKIPGRAM = {"size": 300, "window": 10, "least": 10, "passes": 12}
+
+
 @query()
 def word2vec_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of a word in a model of the corpus, which is fitted once and found again by the fingerprint of its works."""
+    """Neighbours of a word in a model of the corpus, which is fitted once and found again by a digest of its works' texts. More words than a model may be made
+    of are refused, as the search form does."""
     works = corpus.works(spark, sf)
     sentences = V.sentence_words(works)
     size = sentences.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    root = interim.folder(spark)
-    key = models.fingerprint([P.fingerprint(works, "work_id").first().fingerprint], "word2vec", size=300, window=10, least=10, steps=12)
-    model = models.find(spark, Word2VecModel, root, key)
-    if model is None and size:
-        model = V.word2vec(sentences)
-        models.store(model, root, key)
-    known = {r.word for r in model.getVectors().where(F.col("word") == "the").collect()} if model is not None else set()
-    why = V.refusal(size, ["the"], known, most_words=1 << 62)
-    if why:
-        return spark.createDataFrame([], "word string, similarity double")
-    return model.findSynonyms("the", 25)
+    texts = works.select("work_id", F.xxhash64("lines").alias("h")).agg(digest("work_id", "h")).first()[0]
+    path = models.path(interim.folder(spark), models.fingerprint([texts], "skip-gram", **SKIPGRAM))
+    if V.refusal(size, ["the"], {"the"}) is None and not interim.exists(spark, f"{path}/_SUCCESS"):
+        skip_gram(sentences, ["work_id", "sentence"], **SKIPGRAM).write.mode("overwrite").parquet(path)
+    vectors = spark.read.parquet(path) if interim.exists(spark, f"{path}/_SUCCESS") else spark.createDataFrame([], "word string, embedding array<float>")
+    return V.neighbours_of_terms(vectors, ["the"], 25).select(F.col("b").alias("word"), "similarity")
 
 
 @query()
@@ -130,30 +132,41 @@ def lda_topics(spark: SparkSession, sf: str) -> DataFrame:
     return V.topics(sentences)
 
 
+def _worded(spark: SparkSession, sf: str) -> DataFrame:
+    works = corpus.works(spark, sf)
+    return works.select(F.col("work_id").alias("id"), T.index_tokens(F.array_join("lines", " ")).alias("words"))
+
+
 @query()
 def latent_space(spark: SparkSession, sf: str) -> DataFrame:
-    works = corpus.works(spark, sf)
-    words = works.select("work_id", T.index_tokens(F.array_join("lines", " ")).alias("words"))
-    return V.latent_space(words, ["work_id"])
+    return V.latent_space(_worded(spark, sf)).withColumnRenamed("id", "work_id")
 
 
 @query()
 def latent_plane(spark: SparkSession, sf: str) -> DataFrame:
     """Works in two dimensions, for a map of them."""
-    works = corpus.works(spark, sf)
-    words = works.select("work_id", T.index_tokens(F.array_join("lines", " ")).alias("words"))
-    return V.latent_space(words, ["work_id"], k=2)
+    return V.latent_space(_worded(spark, sf), k=2).withColumnRenamed("id", "work_id")
 
 
 @query()
 def lsi_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Works by their likeness to a few words in the space of the largest singular values."""
-    from ..shipping import ship
+    """Works by their likeness to a few words along the axes of the largest singular values."""
+    return V.lsi(_worded(spark, sf), ["the", "of", "and"]).select(F.col("id").alias("work_id"), F.round("similarity", 6).alias("similarity"))
+
+
+_UPKEEP = """words AS (SELECT lang, source, doc_id, len(list_filter(string_split(replace(replace(text, chr(10), ' '), chr(160), ' '), ' '), lambda w: w <> '')) AS n FROM documents),
+lists AS (SELECT 'author' AS kind, source AS name, sum(n)::BIGINT AS words, max((doc_id IN (5, 17, 23))::INT) AS changed, max((lang = 'en')::INT) AS english FROM words GROUP BY source
+  UNION ALL SELECT 'corpus', lang, sum(n)::BIGINT, max((doc_id IN (5, 17, 23))::INT), 0 FROM words GROUP BY lang)"""
+
 
-    ship(spark)
+@query(f"WITH {_UPKEEP} SELECT kind, name, words, CASE WHEN words < 500 THEN 'small' WHEN words >= 94000000 THEN 'large' WHEN changed = 1 THEN 'due' ELSE 'current' END AS state FROM lists UNION ALL SELECT kind, 'old ' || name, 0, 'gone' FROM lists WHERE english = 1")
+def models_due(spark: SparkSession, sf: str) -> DataFrame:
+    """What the keeper of models has to do where its register was made before three works came and some authors got other names."""
     works = corpus.works(spark, sf)
-    docs = works.select(F.col("work_id").alias("id"), T.index_tokens(F.array_join("lines", " ")).alias("words"))
-    return V.lsi(docs, ["the", "of", "and"]).select(F.col("id").alias("work_id"), F.round("similarity", 6).alias("similarity"))
+    then = U.worklist(works.where(~F.col("work_id").isin(5, 17, 23)))
+    left = U.worklist(works.where("corpus = 'en'")).where("kind = 'author'").withColumn("name", F.concat(F.lit("old "), "name"))
+    register = then.unionByName(left).select("kind", "name", "digest", F.lit("{}").alias("parameters"), F.lit("").alias("path"))
+    return U.states(U.worklist(works), register, "{}").select("kind", "name", "words", "state")
 
 
 _LIKE = "(1 + list_cosine_similarity(embedding::DOUBLE[], {v}.embedding::DOUBLE[])) / 2"

@@ -29,7 +29,10 @@ def available(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return as_works(table(spark, sf_dir, "documents"))
+
+
+def as_works(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").alias("corpus"), F.col("source").alias("author"), F.col("doc_id").alias("work_id"), F.split("text", LINE_BREAK).alias("lines"))
 
 

@@ -26,3 +26,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _place(spark, path)
+    return store.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    store, at = _place(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it."""
+    store, at = _place(spark, path)
+    store.delete(at, True)
