@@ -175,21 +175,58 @@ def test_a_text_scores_as_the_sum_of_its_ids(spark):
         assert abs(got[k] - total / math.log(10)) < 1e-3 * max(1, abs(got[k]))
 
 
-def test_rounds_train_on_every_partition_and_average(spark):
+def test_rounds_train_on_groups_whatever_the_partitions(spark):
     rows = [(i, t) for i, t in labelled(300) if i % 2]
-    train = brute.docs(spark, rows).select("text").repartition(70)
     n_ids = lm_scoring._pieces(PATH).get_piece_size()
-    model = lm_scoring.SubwordModel(PATH, [rows[0][1]], np.ones(n_ids), np.ones(n_ids), 50, 9, steps=5)
     data = [t.encode() for _, t in rows]
     whole = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in data])])
 
     def score(m):
         m.prepare()
-        return m.log10(*whole).sum()
-
-    before = score(model)
-    changed = lm_scoring.trained_round(model, train, 1.0, 0)
-    assert score(changed) > before
+        return m.log10(*whole)
+
+    seen = []
+    for parts in (1, 4, 70):
+        model = lm_scoring.SubwordModel(PATH, [rows[0][1]], np.ones(n_ids), np.ones(n_ids), 50, 9, steps=5)
+        before = score(model)
+        seen.append(score(lm_scoring.trained_round(model, brute.docs(spark, rows).select("text").repartition(parts), 1.0, 0, groups=5)))
+        assert seen[-1].sum() > before.sum()
+    assert all(np.array_equal(x, seen[0]) for x in seen)
+
+
+def test_drawn_windows_are_those_of_the_texts(spark):
+    """All windows, with the words that they look at, against plain slices; and a share of them, the same for any partitioning."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 15, 16, 17, 31, 32, 33, 40)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = sorted((r.place, r.ended, r.text.decode()) for r in lm_scoring.drawn_windows(table, 1.0, 0, 3).collect())
+    want = []
+    for t in texts:
+        w = t.split()
+        for k in range(len(w) // 16 + 1):
+            want.append((k, 16 * (k + 1) > len(w), " ".join(w[max(0, 16 * k - 17) : 16 * k + 16])))
+    assert got == sorted(want)
+    some = [sorted(tuple(r) for r in lm_scoring.drawn_windows(brute.docs(spark, labelled(80)).repartition(p), 0.3, 1, 4).collect()) for p in (1, 6)]
+    assert some[0] == some[1] and 0.2 < len(some[0]) / lm_scoring.drawn_windows(brute.docs(spark, labelled(80)), 1.0, 1, 4).count() < 0.4
+
+
+def test_windows_are_trained_on_as_whole_sequences(spark):
+    """The step over a text's windows is that over the text as one sequence."""
+    text = " ".join(f"and the w{k % 5}" for k in range(14))
+    n_ids = lm_scoring._pieces(PATH).get_piece_size()
+    model = lm_scoring.SubwordModel(PATH, [text], np.ones(n_ids), np.ones(n_ids), 50, 9, steps=3)
+    rows = sorted(lm_scoring.drawn_windows(spark.createDataFrame([(text,)], "text string"), 1.0, 0, 1).collect(), key=lambda r: r.place)
+    seen = []
+
+    class Spy:
+        def step(self, at, one, two, target, rate):
+            real = at >= 0
+            seen.append([([(int(one[i]), int(two[i])) for i in a[r]], target[a[16:][r[16:]]].tolist()) for a, r in zip(at, real)])
+
+    model.train_on((Spy(), Spy()), np.array([r.place for r in rows]), np.array([r.ended for r in rows]), [bytes(r.text) for r in rows], np.random.default_rng(0))
+    spelled = [lm_scoring._pieces(PATH).encode(w) for w in text.split()]
+    one, two, _, target = model.word_sequences(np.array([x[0] for x in spelled]), np.array([x[-1] for x in spelled]), np.array([len(spelled)]))
+    want = [(list(zip(one[max(0, lo - 16) : lo + 16].tolist(), two[max(0, lo - 16) : lo + 16].tolist())), target[lo : lo + 16].tolist()) for lo in range(0, len(one), 16)]
+    assert sorted(seen[-1]) == sorted(want)
 
 
 def test_gradient_is_causal():
