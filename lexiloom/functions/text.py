@@ -79,16 +79,17 @@ def index_pairs(column: Column) -> Column:
         return F.struct(F.lower(w).alias("raw"), F.when(elided, F.concat(index_form(w), F.lit("'"))).otherwise(index_form(w)).alias("word"))
 
     plain = lambda w: F.struct(F.lower(w).alias("raw"), index_form(w).alias("word"))
-    return F.when(_may_elide(column), F.transform(tokens(column), careful)).otherwise(F.transform(tokens(column), plain))
+    return F.when(may_elide(column), F.transform(tokens(column), careful)).otherwise(F.transform(tokens(column), plain))
 
 
 def index_tokens(column: Column) -> Column:
     """Tokens as an index lists them (see index_pairs), repeats kept, empty ones gone."""
     careful = F.filter(F.transform(index_pairs(column), lambda t: t["word"]), lambda w: w != "")
-    return F.when(_may_elide(column), careful).otherwise(tokens(index_form(column)))
+    return F.when(may_elide(column), careful).otherwise(tokens(index_form(column)))
 
 
-def _may_elide(column: Column) -> Column:
+def may_elide(column: Column) -> Column:
+    """Whether a line has Greek letters and an elision mark."""
     return F.coalesce(column.contains(_ELISION) & column.rlike(_GREEK), F.lit(False))
 
 

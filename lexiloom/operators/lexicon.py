@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.interim import written
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """rows sorted, with `place` from 1. The sort is spread over ranges; a row's place is its place in its range, and the sizes of the ranges before it, one number a range."""
+    names = rows.columns
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place within it in the lower 33
+    sorted_ = written(rows.orderBy(*order).withColumn("at_", at), "ranked").withColumn("range_", F.shiftright("at_", 33))
+    sizes = sorted_.groupBy("range_").agg(F.count("*").alias("size_"))
+    before = sizes.withColumn("before_", F.sum("size_").over(Window.partitionBy(F.lit(0)).orderBy("range_")) - F.col("size_")).drop("size_")
+    within = F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_.join(F.broadcast(before), "range_").select(*(f"`{c}`" for c in names), (within + F.col("before_") + 1).alias("place"))
+
 
 def reverse_lookup(entries: DataFrame, counts: DataFrame, term: str) -> DataFrame:
-    """Entries whose translations hold the term, by total count, those without one last."""
+    """Entries whose translations hold the term, with their place by total count (ties by entry), those without one last."""
     rows = entries.where(F.col("translations").rlike(term))
-    return rows.join(counts, "entry", "left").select("entry", "translations", F.coalesce("total", F.lit(0)).alias("total"))
+    return ranked(rows.join(counts, "entry", "left").select("entry", "translations", F.coalesce("total", F.lit(0)).alias("total")), F.desc("total"), "entry")
 
 
 def headword_search(entries: DataFrame, term: str) -> DataFrame:
@@ -93,13 +106,14 @@ def superscript_free(column: Column) -> Column:
 
 
 def reverse_search(dictionaries: dict[str, DataFrame], counts: DataFrame, term: str) -> DataFrame:
-    """reverse_lookup over several dictionaries (by name) at once: dictionary, entry, translations, total; an entry that several hold is
+    """reverse_lookup over several dictionaries (by name) at once: dictionary, entry, translations, total, place; an entry that several hold is
     told once for each."""
     rows = None
     for name, entries in dictionaries.items():
         part = entries.select(F.lit(name).alias("dictionary"), "entry", "translations")
         rows = part if rows is None else rows.unionByName(part)
-    return rows.where(F.col("translations").rlike(term)).join(counts, "entry", "left").select("dictionary", "entry", "translations", F.coalesce("total", F.lit(0)).alias("total"))
+    found = rows.where(F.col("translations").rlike(term)).join(counts, "entry", "left").select("dictionary", "entry", "translations", F.coalesce("total", F.lit(0)).alias("total"))
+    return ranked(found, F.desc("total"), "entry", "dictionary")
 
 
 def look_up(asked: DataFrame, entries: DataFrame, forms: DataFrame) -> DataFrame:

@@ -61,8 +61,8 @@ def near_lines(works: DataFrame, pattern, other, distance: int, near: bool = Tru
     return _found(rows, F.filter(_numbered(F.col("lines")), lambda x: first(x["line"]) & wanted(x))).drop("second")
 
 
-def phrase(works: DataFrame, words: str, form=F.lower) -> DataFrame:
-    """Lines that hold the whole phrase, or whose end and the next line's beginning do. The next line is one of the same work."""
+def _phrase_hits(words: str, form) -> Column:
+    """(idx, line, next) of the lines that hold the whole phrase, or whose end and the next line's beginning do."""
     parts = [w for w in words.split(" ") if w]
     alone = rf"(^|\s){' '.join(parts)}(\s|$)"
     splits = [(rf"(^|\s){' '.join(parts[:k])}\s*$", rf"^\s*{' '.join(parts[k:])}(\s|$)") for k in range(1, len(parts))]
@@ -74,7 +74,12 @@ def phrase(works: DataFrame, words: str, form=F.lower) -> DataFrame:
             found = found | (form(x["line"]).rlike(head) & form(x["next"]).rlike(tail))
         return found
 
-    return _found(works, F.filter(nexts, fits))
+    return F.filter(nexts, fits)
+
+
+def phrase(works: DataFrame, words: str, form=F.lower) -> DataFrame:
+    """Lines that hold the whole phrase, or whose end and the next line's beginning do. The next line is one of the same work."""
+    return _found(works, _phrase_hits(words, form))
 
 
 def phrase_window(works: DataFrame, pattern: str, form=F.lower) -> DataFrame:
@@ -84,13 +89,12 @@ def phrase_window(works: DataFrame, pattern: str, form=F.lower) -> DataFrame:
 
 
 def phrase_near(works: DataFrame, words: str, other, distance: int, near: bool = True, form=F.lower) -> DataFrame:
-    """Phrase hits with (or without) a match of the other pattern at most `distance` lines away in the same work. The other's lines go
-    along with the work's id only, and one row of a work meets its phrase hits."""
-    hits, other = phrase(works, words, form), _test(other, form)
-    second = F.transform(F.filter(_numbered(F.col("lines")), lambda x: other(x["line"])), lambda x: x["idx"])
-    others = works.select("work_id", second.alias("second"))
-    close = F.exists("second", lambda k: F.abs(k - F.col("idx")) <= distance)
-    return hits.join(others, "work_id").where(close if near else ~close).select(*hits.columns)
+    """Phrase hits with (or without) a match of the other pattern at most `distance` lines away in the same work: told inside the work's row."""
+    test = _test(other, form)
+    second = F.transform(F.filter(_numbered(F.col("lines")), lambda x: test(x["line"])), lambda x: x["idx"])
+    close = lambda x: F.exists("second", lambda k: F.abs(k - x["idx"]) <= distance)
+    hits = F.filter(_phrase_hits(words, form), (lambda x: close(x)) if near else (lambda x: ~close(x)))
+    return _found(works.withColumn("second", second), hits).drop("second")
 
 
 def work_tokens(works: DataFrame, form=F.lower) -> DataFrame:

@@ -71,6 +71,11 @@ def only(corpora: tuple[str, ...], wanted: tuple[str, ...]) -> bool:
     return set(corpora) == set(wanted)
 
 
+def are_only(corpora, wanted: tuple[str, ...]):
+    """Column: only(), for a column that lists corpora."""
+    return F.array_sort(F.array_distinct(corpora)) == F.array_sort(F.array(*map(F.lit, dict.fromkeys(wanted))))
+
+
 def is_literary(corpus):
     """Column: whether a corpus is one of literary texts."""
     return corpus.isin(*LITERARY)

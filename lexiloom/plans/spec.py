@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import scope as P
 from ..operators import search as S
-from ..sources import corpus
+from ..sources import corpus, interim
+from .restrict import restricted
 
 CORPORA = ("de", "en", "es", "fr")
 SORT_KEYS = ("name", "date", "genre", "location", "work")
@@ -61,6 +63,12 @@ def corpora_mask(corpora: tuple[str, ...]) -> int:
     return sum(1 << k for k, c in enumerate(CORPORA) if c in corpora)
 
 
+def mask_of(corpora: Column) -> Column:
+    """corpora_mask of a column that lists corpora."""
+    bits = [F.when(F.array_contains(corpora, c), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(CORPORA)]
+    return reduce(lambda a, b: a + b, bits)
+
+
 def rationalised(scope: P.Scope, author_of: dict[int, str] | None = None) -> P.Scope:
     """A scope without what it says twice: choices that are excluded again, and, where the authors of works are given, chosen works of
     chosen authors and excluded works of excluded ones."""
@@ -108,8 +116,8 @@ def plan(spec: SearchSpec, works: DataFrame, catalog: DataFrame, forms: DataFram
     spec = spec.checked()
     authors = corpus.authors(catalog)
     named = catalog.where(F.col("work_id").isin(*spec.scope.works, *spec.scope.without_works)).select("work_id", "author").collect()  # as many as the spec names
-    chosen = P.compile_scope(catalog, authors, rationalised(spec.scope, {r.work_id: r.author for r in named}))
-    found = hits(spec, works.join(chosen.select("work_id"), "work_id", "left_semi"), forms)
+    chosen = interim.written(P.compile_scope(catalog, authors, rationalised(spec.scope, {r.work_id: r.author for r in named})), "scope")
+    found = hits(spec, restricted(works, catalog, chosen), forms)
     if spec.one_hit:
         found = S.one_per_author(found)
     rows = found.join(chosen.select("work_id", "title", "date", "author_date", "genre", "location"), "work_id")

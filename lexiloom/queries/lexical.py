@@ -20,7 +20,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("translations"))
 
 
-@query(f"WITH {_ENTRIES} SELECT id AS entry, translations, coalesce(total, 0)::BIGINT AS total FROM entries LEFT JOIN counts USING (id) WHERE regexp_matches(translations, '[A-E]')")
+@query(f"WITH {_ENTRIES} SELECT id AS entry, translations, coalesce(total, 0)::BIGINT AS total, row_number() OVER (ORDER BY coalesce(total, 0) DESC, id) AS place FROM entries LEFT JOIN counts USING (id) WHERE regexp_matches(translations, '[A-E]')")
 def reverse_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     entries = _entries(spark, sf).withColumnRenamed("id", "entry")
     counts = corpus.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("entry")).agg(F.count("*").alias("total"))
@@ -33,10 +33,16 @@ def dictionary_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return L.neighbours(entries)
 
 
-@query("SELECT DISTINCT p_name AS entry FROM part WHERE starts_with(p_name, 'small') AND ends_with(p_name, 'bolt')")
+@query("""WITH e AS (SELECT DISTINCT p_name AS entry FROM part UNION SELECT DISTINCT c_name FROM customer) SELECT 'whole' AS how, entry FROM e WHERE entry = 'small ring' UNION ALL SELECT 'start', entry FROM e WHERE starts_with(entry, 'small') UNION ALL
+SELECT 'end', entry FROM e WHERE ends_with(entry, '7') UNION ALL SELECT 'within', entry FROM e WHERE contains(entry, '#00000001')""")
 def headword_search(spark: SparkSession, sf: str) -> DataFrame:
-    entries = corpus.table(spark, sf, "part").select(F.col("p_name").alias("entry")).distinct()
-    return L.headword_search(L.headword_search(entries, " small"), "bolt ")
+    """All four anchorings of a term, over two lists of entries."""
+    entries = corpus.table(spark, sf, "part").select(F.col("p_name").alias("entry")).union(corpus.table(spark, sf, "customer").select("c_name")).distinct()
+    found = None
+    for how, term in (("whole", " small ring "), ("start", " small"), ("end", "7 "), ("within", "#00000001")):
+        rows = L.headword_search(entries, term).select(F.lit(how).alias("how"), "entry")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 _LADDER = """probes AS (SELECT term, 1 AS rung, term AS entry FROM asked UNION ALL SELECT term, 2, regexp_replace(term, '(es|s)$', '') FROM asked UNION ALL SELECT term, 3, regexp_replace(term, '(ed|ing)$', '') FROM asked),

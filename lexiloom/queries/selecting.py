@@ -124,10 +124,14 @@ def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return B.resolve_citations(spark.createDataFrame([c[:3] for c in CITATIONS], "ask int, work_id long, citation string"), lines), lines
 
 
-@query("SELECT ask, levels FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, _, _, x in CITATIONS) + ") v(ask, levels)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN concat_ws(' ', doc_id % 7, n_chars % 9, doc_id % 5) ELSE concat_ws(' ', doc_id % 7, n_chars % 9) END AS levels FROM documents")
 def foreign_citations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([c[:3] for c in CITATIONS], "ask int, work_id long, citation string")
-    return rows.select("ask", F.array_join(B.foreign_levels(F.col("citation")), " ").alias("levels"))
+    """Citations as others write them, made of the works' numbers: points, labels and ranges, colons, brackets."""
+    rows = corpus.table(spark, sf, "documents")
+    a, b, c = (F.col(x).cast("string") for x in ("a", "b", "c"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat_ws(".", a, b)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("bk. "), a, F.lit(", l. "), b, F.lit("-"), c)).when(F.col("doc_id") % 4 == 2, F.concat_ws(":", a, b, c)).otherwise(F.concat(F.lit("("), a, F.lit(","), b, F.lit(")")))
+    rows = rows.select("doc_id", (F.col("doc_id") % 7).alias("a"), (F.col("n_chars") % 9).alias("b"), (F.col("doc_id") % 5).alias("c"))
+    return rows.select("doc_id", F.array_join(B.foreign_levels(text), " ").alias("levels"))
 
 
 @query(_PLACES + " SELECT * FROM places")

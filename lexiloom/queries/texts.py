@@ -9,7 +9,10 @@ from ..functions import text as T
 from ..functions import walks as W
 from ..operators import browse as B
 from ..operators import scope as P
+from ..operators import search as S
 from ..operators import vectors as V
+from ..plans.selection import are_only
+from ..plans.spec import mask_of
 from ..registry import query
 from ..sources import corpus
 from .sql import BARE, LINES, TOKENS, bare, fold, quoted
@@ -188,17 +191,47 @@ def u_for_v_pages(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.table(spark, sf, "pages").select("page_id", T.u_for_v_outside_markup(F.col("html")).alias("html"))
 
 
-#: prefix, stem, compound
-LATIN = [("ad", "tollo", "attollo"), ("dis", "fundo", "diffundo"), ("ex", "eo", "exseo"), ("ex", "mitto", "emitto"), ("trans", "eo", "transeo"), ("de_", "sero", "desero"), ("sub", "pono", "suppono"), ("ob", "fero", "offero"), ("in", "pono", "impono"), ("con", "rigo", "corrigo"), ("per", "misceo", "permisceo"), ("dis", "moueo", "dimoueo"), ("ad", "sono", "assono")]
-COMPOUNDS = [("απο", "ἵημι", "αφἵημι"), ("περι", "ἔχω", "περιἔχω"), ("κατα", "βαίνω", "καταβαίνω"), ("ϲυν", "λέγω", "ϲυλλέγω"), ("εν", "γράφω", "εγγράφω"), ("εκ", "λάω", "εκλάω")]
+_ACCENTED = f"WITH {LINES}, words AS (SELECT DISTINCT unnest(string_split(replace(lower(line), chr(160), ' '), ' ')) AS word FROM lines)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('latin', '{p}', '{s}', '{c}')" for p, s, c in LATIN) + ", " + ", ".join(f"('greek', '{p}', '{s}', '{c}')" for p, s, c in COMPOUNDS) + ") v(language, prefix, stem, compound)")
-def compounds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lambda table, name: spark.createDataFrame([(name, p, s) for p, s, _ in table], "language string, prefix string, stem string")
-    p, s = F.col("prefix"), F.col("stem")
-    latin = rows(LATIN, "latin").withColumn("compound", T.joined_prefix(p, s))
-    return latin.unionByName(rows(COMPOUNDS, "greek").withColumn("compound", T.elided_prefix(p, s)))
+@query(f"{_ACCENTED} SELECT word, left(word, greatest(len(word) - 2, 0)) || translate(right(word, 2), {quoted(T.accent_pairs()[0])}, {quoted(T.accent_pairs()[1])}) AS acute FROM words WHERE word <> ''")
+def graves_at_the_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Words with graves on their last two letters as they stand in a dictionary."""
+    words = _lines(spark, sf).select(F.explode(T.tokens(F.lower("line"))).alias("word")).distinct()
+    return words.select("word", T.grave_to_acute(F.col("word")).alias("acute"))
+
+
+@query(rf"WITH {LINES} SELECT work_id, idx FROM lines WHERE regexp_matches(lower(line), '(^|\s)l[áà](\s|$)|(^|\s)[uv]n(\s|$)|(^|\s)whst(\s|$)')")
+def word_list_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with any of some whole words, either accent and either of u and v."""
+    return S.simple(corpus.works(spark, sf), T.word_list_pattern(["là", "vn", "whst"])).select("work_id", "idx")
+
+
+@query(f"WITH {LINES} SELECT work_id, idx FROM lines WHERE contains(lower(line), 'whst')")
+def either_case_search(spark: SparkSession, sf: str) -> DataFrame:
+    return S.simple(corpus.works(spark, sf), T.either_case("Whst"), form=lambda line: line).select("work_id", "idx")
+
+
+@query("SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), '|') AS notes FROM pages")
+def annotated_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of inline annotations: the pages' links written as such."""
+    marked = F.regexp_replace("html", 'href="([^"]*)"', '><hmu_metadata_notes value="$1" /><')
+    return corpus.table(spark, sf, "pages").select("page_id", F.array_join(T.annotations(marked), "|").alias("notes"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(string_split(html, '.')) AS part, (generate_subscripts(string_split(html, '.'), 1))::INT AS idx FROM pages), n AS (SELECT *, len(regexp_extract_all(part, '<p>')) AS o, len(regexp_extract_all(part, '</p>')) AS c FROM l)
+SELECT page_id, idx, repeat('<span>', greatest(c - o, 0)) || replace(replace(part, '<p>', '<span>'), '</p>', '</span>') || repeat('</span>', greatest(o - c, 0)) AS line FROM n""")
+def balanced_parts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = corpus.table(spark, sf, "pages").select("page_id", F.posexplode(F.split("html", "[.]")).alias("pos", "part"))
+    spans = F.replace(F.replace("part", F.lit("<p>"), F.lit("<span>")), F.lit("</p>"), F.lit("</span>"))
+    return parts.select("page_id", (F.col("pos") + 1).alias("idx"), T.balanced_spans(spans).alias("line"))
+
+
+@query("SELECT source AS author, bit_or(CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 4 WHEN 'fr' THEN 8 ELSE 0 END)::INT AS mask, bool_and(lang = 'en') AS english FROM documents GROUP BY source")
+def corpora_of_authors(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpora that an author's works are in, as bits, and whether that is one alone."""
+    rows = corpus.works_catalog(spark, sf).groupBy("author").agg(F.collect_set("corpus").alias("corpora"))
+    return rows.select("author", mask_of(F.col("corpora")).alias("mask"), are_only(F.col("corpora"), ("en",)).alias("english"))
 
 
 @query("WITH known AS (SELECT r_name AS language, substr(n_name, 1, 3) || n_nationkey AS abbreviation, n_name AS author FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey < 3), asked AS (SELECT s_suppkey, r_name AS language, substr(n_name, 1, 3) || n_nationkey AS abbreviation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT s_suppkey, coalesce(author, abbreviation) AS author FROM asked LEFT JOIN known USING (language, abbreviation)")

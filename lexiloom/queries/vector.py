@@ -10,6 +10,7 @@ from ..operators import concordance as C
 from ..operators import morphology as M
 from ..operators import upkeep as U
 from ..operators import vectors as V
+from ..operators.plane import in_the_plane
 from ..operators.skipgram import skip_gram
 from ..registry import query
 from ..sources import corpus, interim, models
@@ -144,8 +145,8 @@ def latent_space(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def latent_plane(spark: SparkSession, sf: str) -> DataFrame:
-    """Works in two dimensions, for a map of them."""
-    return V.latent_space(_worded(spark, sf), k=2).withColumnRenamed("id", "work_id")
+    """Works in two dimensions, for a map of them: those that use the same words lie side by side."""
+    return in_the_plane(V.latent_space(_worded(spark, sf))).withColumnRenamed("id", "work_id")
 
 
 @query()

@@ -24,7 +24,7 @@ PAGE = 4096
 BUCKETS = 64
 MOST_SEGMENTS = 8
 #: Ids and files up to these numbers are filters of the scan, which Parquet prunes by; more ids are joined.
-MOST_IDS, MOST_FILES = 10_000, 2_000
+MOST_IDS, MOST_FILES = 500, 500
 #: Ids up to this number (about 20 bytes each) are broadcast.
 MOST_BROADCAST_IDS = 1_000_000
 #: A search that must read more than this share of the works reads them all.
@@ -50,6 +50,7 @@ class WordIndex:
         self.root = root or f"{interim.folder(spark)}/word_index-{hashlib.md5(sf_dir.encode()).hexdigest()[:16]}"
         self.version: int | None = None
         self.segments: list[int] = []
+        self.files, self.size = 0, 0
         self.dirty = False  # whether some segment holds works that have changed or gone since
         self._open()
 
@@ -60,7 +61,7 @@ class WordIndex:
         if done:
             self.version = max(done)
             state = self.spark.read.parquet(f"{self._at()}/state").first()
-            self.segments, self.dirty = list(state.segments), state.dirty
+            self.segments, self.dirty, self.files, self.size = list(state.segments), state.dirty, state.files, state.size
 
     def _at(self) -> str:
         return f"{self.root}/version={self.version}"
@@ -69,20 +70,19 @@ class WordIndex:
         """work_id, digest, segment, files."""
         return self.spark.read.parquet(f"{self._at()}/works")
 
-    def _current_files(self) -> DataFrame:
-        return self.docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("long").alias("file_time")).distinct()
+    def _files_now(self) -> int:
+        """One number for the names, sizes and times of the table's files: only footers are read."""
+        files = self.docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("long").alias("file_time")).distinct()
+        return files.agg(F.coalesce(digest("file_path", "file_size", "file_time"), F.lit(0)).alias("d")).first().d
 
     def up_to_date(self) -> bool:
-        if self.version is None:
-            return False
-        now, then = self._current_files(), self.spark.read.parquet(f"{self._at()}/files")
-        return now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty()
+        return self.version is not None and self._files_now() == self.files
 
     def refresh(self) -> dict[str, int]:
         """Brings the index up to date. How many works were indexed, kept and removed."""
         if self.up_to_date():
-            return {"indexed": 0, "kept": self.works().count(), "removed": 0}
-        files = self._current_files()
+            return {"indexed": 0, "kept": self.size, "removed": 0}
+        files = self._files_now()
         found = self.docs.groupBy(F.col("doc_id").cast("long").alias("work_id")).agg(digest("text").alias("digest"), F.sort_array(F.collect_set("_metadata.file_path")).alias("files"))
         found = interim.written(found, "work_digests")
         fresh = self.version is None or len(self.segments) >= MOST_SEGMENTS
@@ -100,9 +100,9 @@ class WordIndex:
         before = self.version
         self.version = 1 + (self.version or 0)
         works.write.parquet(f"{self._at()}/works")
-        files.write.parquet(f"{self._at()}/files")
         self.segments, self.dirty = sorted({*([] if fresh else self.segments), *([segment] if indexed else [])}), (False if fresh else self.dirty or removed > 0)
-        state = self.spark.createDataFrame([(self.segments, self.dirty)], "segments array<int>, dirty boolean")
+        self.files, self.size = files, indexed + kept
+        state = self.spark.createDataFrame([(self.segments, self.dirty, self.files, self.size)], "segments array<int>, dirty boolean, files long, size long")
         state.coalesce(1).write.parquet(f"{self._at()}/state")
         if before is not None:  # readers of the version before may still be at work; older ones go
             for name in interim.children(self.spark, self.root):
@@ -161,14 +161,16 @@ class WordIndex:
             ids = own if ids is None else ids.join(own, "work_id", "left_semi")
         ids = interim.written(ids, "holding")
         count = ids.count()
-        if count > MOST_SHARE * self.works().count():
+        if count > MOST_SHARE * self.size:
             return self.docs
-        docs, nameless = self.docs, self._in_files(self.works().where("work_id is null")).where("doc_id is null")
+        some = F.broadcast(ids) if count <= MOST_BROADCAST_IDS else ids
+        docs = self._in_files(self.works().join(some, "work_id"))
         if count <= MOST_IDS:
-            wanted = [r.work_id for r in ids.where("work_id is not null").collect()]
-            return self._in_files(self.works().join(F.broadcast(ids), "work_id")).where(F.col("doc_id").isin(wanted)).unionByName(nameless)
-        ids = F.broadcast(ids) if count <= MOST_BROADCAST_IDS else ids
-        return docs.join(ids, docs.doc_id == ids.work_id, "left_semi").unionByName(nameless)
+            docs = docs.where(F.col("doc_id").isin([r.work_id for r in ids.where("work_id is not null").collect()]))
+        else:
+            docs = docs.join(some, docs.doc_id == ids.work_id, "left_semi")
+        nameless = self.works().where("work_id is null")
+        return docs if nameless.isEmpty() else docs.unionByName(self._in_files(nameless).where("doc_id is null"))
 
     def _in_files(self, works: DataFrame) -> DataFrame:
         """The table's files that hold some works, as long as they are few enough to name."""
@@ -177,9 +179,14 @@ class WordIndex:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
+    """Rows as they are stored. What a word is in an index is worked out once for each page, not for each token, but in lines that may hold elisions."""
+    line = F.col("line")
+    plain = F.transform(T.tokens(F.lower(line)), lambda w: F.struct(w.alias("raw"), F.lit(None).cast("string").alias("word")))
     lines = docs.select(F.col("doc_id").cast("long").alias("work_id"), F.explode(F.split("text", corpus.LINE_BREAK)).alias("line"))
-    rows = lines.select("work_id", F.explode(T.index_pairs(F.col("line"))).alias("t")).groupBy("t.word", "t.raw", "work_id").agg(F.count("*").cast("int").alias("n"))
+    rows = lines.select("work_id", F.explode(F.when(T.may_elide(line), T.index_pairs(line)).otherwise(plain)).alias("t")).groupBy("t.word", "t.raw", "work_id").agg(F.count("*").cast("int").alias("n"))
     page = F.floor(F.col("work_id") / PAGE)
     rows = rows.groupBy("word", "raw", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("work_id", "n"))).alias("x"))  # PAGE entries at most
-    rows = rows.select("word", "raw", "page", F.transform("x", lambda x: (x["work_id"] - F.col("page") * PAGE).cast("int")).alias("offsets"), F.transform("x", lambda x: x["n"]).alias("counts"), (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int").alias("bucket"))
+    rows = rows.select(F.coalesce("word", T.index_form(F.col("raw"))).alias("word"), "raw", "page", F.transform("x", lambda x: (x["work_id"] - F.col("page") * PAGE).cast("int")).alias("offsets"), F.transform("x", lambda x: x["n"]).alias("counts"))
+    rows = rows.withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % BUCKETS).cast("int"))
+    rows = interim.written(rows, "postings")  # ranges are told from a sample, which would count all words again
     return rows.repartitionByRange("bucket", "word", "raw", "page").sortWithinPartitions("bucket", "word", "raw", "page")
