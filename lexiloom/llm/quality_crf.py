@@ -110,9 +110,9 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.column_stack([x, before, after, first, last, np.ones(n, x.dtype)])
 
 
-def marginals(emission: np.ndarray, doc: np.ndarray, n_docs: int, step: np.ndarray):
+def marginals(emission: np.ndarray, doc: np.ndarray, n_docs: int, step: np.ndarray, weight: np.ndarray | float = 1.0):
     """Forward-backward over all chains at once, one line position at a time. Returns P(label) of each line, the expected
-    count of each transition, and the log partition functions' sum."""
+    count of each transition, and the log partition functions' sum, the last two with each document's weight."""
     count = np.bincount(doc, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     by = np.argsort(-count, kind="stable")
@@ -131,8 +131,9 @@ def marginals(emission: np.ndarray, doc: np.ndarray, n_docs: int, step: np.ndarr
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
     inner = np.flatnonzero(doc[1:] == doc[:-1])
-    pair = alpha[inner].T @ (e[inner + 1] * beta[inner + 1] / scale[inner + 1, None]) * m
-    return gamma, pair, float((np.log(scale) + top[:, 0]).sum())
+    weight = np.broadcast_to(weight, n_docs)[doc]
+    pair = (alpha[inner] * weight[inner, None]).T @ (e[inner + 1] * beta[inner + 1] / scale[inner + 1, None]) * m
+    return gamma, pair, float(((np.log(scale) + top[:, 0]) * weight).sum())
 
 
 @dataclass(frozen=True)
@@ -170,8 +171,23 @@ def link(mean, slope, shift):
     return 1 / (1 + np.exp(-np.clip(slope * _odds(mean) + shift, -30, 30)))
 
 
+def loss(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """What the fit makes small, and its slope: minus the log likelihood of the labels (y: of each document, that of all its lines), each document with its weight,
+    and a small ridge. theta: weights of features by label, then the 2 x 2 weights of steps."""
+    w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+    emission = (x @ w.astype(x.dtype)).astype(float)
+    gamma, pair, z = marginals(emission, doc, len(y), step, weight)
+    line, truth = weight[doc], y[doc]
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (truth[same], truth[same + 1]), line[same])
+    value = z - float((emission[np.arange(len(doc)), truth] * line).sum()) - float((seen * step).sum()) + 0.5e-4 * float((w * w).sum()) + 0.5e-2 * float((step * step).sum())
+    grad_w = x.T @ ((gamma - np.eye(2)[truth]) * line[:, None]).astype(x.dtype) + 1e-4 * w
+    return value, np.concatenate([grad_w.ravel(), (pair - seen + 1e-2 * step).ravel()])
+
+
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> QualityModel:
-    """Maximum likelihood with a small ridge by Adam; both labels weigh alike."""
+    """Maximum likelihood with a small ridge by Adam; both labels weigh alike, and a document counts once, however many lines it has."""
     y = np.array(labels, dtype=np.int64)
     if len(texts) == 0 or y.min() == y.max():
         n = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
@@ -182,21 +198,11 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Quali
     x = with_neighbours(((x - mean) / spread).astype(np.float32), doc)
     lines = np.bincount(doc, minlength=len(y)).astype(float)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w_doc = share / lines  # a document counts once, however many lines it has
-    weight = w_doc[doc]
-    truth = np.eye(2)[y[doc]]
-    same = np.flatnonzero(doc[1:] == doc[:-1])
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[doc[same]], y[doc[same + 1]]), weight[same])
     n_docs = len(y)
     theta = np.zeros(x.shape[1] * 2 + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        gamma, pair, _ = marginals((x @ w.astype(x.dtype)).astype(float), doc, n_docs, step)
-        grad_w = x.T @ ((gamma - truth) * weight[:, None]).astype(x.dtype) + 1e-4 * w
-        grad_s = pair * (seen.sum() / max(pair.sum(), 1e-9)) - seen + 1e-2 * step
-        g = np.concatenate([grad_w.ravel(), grad_s.ravel()])
+        _, g = loss(theta, x, doc, y, share / lines)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta = theta - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)

@@ -133,6 +133,21 @@ def test_windows_score_as_one_input_at_a_time():
     assert np.allclose(got, plain_log_probabilities(model, one, two, spans, target, share), atol=1e-4)
 
 
+def test_quality_slope_equals_differences():
+    """Documents of 2 and 40 lines and others, with weights of their own."""
+    rng = np.random.default_rng(7)
+    lines = np.array([2, 40, 1, 5, 9])
+    doc = np.repeat(np.arange(5), lines)
+    x, y, weight = rng.standard_normal((len(doc), 3)), np.array([0, 1, 1, 0, 1]), rng.random(5)
+    theta = rng.standard_normal(10) * 0.5
+    _, g = quality_crf.loss(theta, x, doc, y, weight)
+    for k in range(len(theta)):
+        e = np.zeros(len(theta))
+        e[k] = 1e-5
+        slope = (quality_crf.loss(theta + e, x, doc, y, weight)[0] - quality_crf.loss(theta - e, x, doc, y, weight)[0]) / 2e-5
+        assert abs(slope - g[k]) < 1e-6 * max(1, abs(slope))
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(6)
     model = attention.Attention.fresh(9, 5, 4, seed=3)
