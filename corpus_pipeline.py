@@ -58,7 +58,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mix", mix), ("pieces", pieces)]
 
-#: The classifier, the groups and the rates have no SQL form; tests hold the stages against brute force.
+#: The classifier, the groups and the rates have no SQL form; tests hold the operators against brute force, and what each stage keeps against planted rows.
 ORACLE_SQL = None
 
 
