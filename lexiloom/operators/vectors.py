@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 from ..sources.interim import written
 from .singular import truncated
 
@@ -44,16 +46,33 @@ def bags(sentences: DataFrame, forms: DataFrame, totals: DataFrame, method: str,
         return sentences.select("work_id", "sentence", F.array_join(kept, " ").alias("bag"))
     ranked = forms.join(totals, "headword", "left").select("form", "headword", F.coalesce("total", F.lit(0)).alias("total"))
     choice = written(ranked.groupBy("form").agg(F.sort_array(F.collect_set("headword")).alias("heads"), F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("t"), "headword")))[0]["headword"].alias("best")), "form_choice")
-    few = choice.count() <= MOST_BROADCAST_FORMS
-    rows = sentences.select("work_id", "sentence", F.posexplode("words").alias("pos", "form")).join(F.broadcast(choice) if few else choice, "form", "left")
     heads = F.coalesce("heads", F.array("form"))
-    if stops:
-        rows = rows.where(~F.arrays_overlap(heads, F.array(*map(F.lit, stops))))
     word = {"flat": F.array_join(heads, " "), "alternates": F.array_join(heads, "·"), "winner": F.coalesce("best", "form")}[method]
+    gone = F.arrays_overlap(heads, F.array(*map(F.lit, stops))) if stops else F.lit(False)
+    if choice.count() <= MOST_BROADCAST_FORMS:
+        return _bags_in_place(sentences, choice.select("form", F.when(~gone, word).alias("word")), stops)
+    rows = sentences.select("work_id", "sentence", F.posexplode("words").alias("pos", "form")).join(choice, "form", "left").where(~gone)
     rows = rows.select("work_id", "sentence", "pos", word.alias("word"))
     return rows.groupBy("work_id", "sentence").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("bag"))
 
 
+def _bags_in_place(sentences: DataFrame, words: DataFrame, stops: list[str]) -> DataFrame:
+    """words: form and the word that stands for it in a bag (null: none). Each sentence's words are replaced where they are: no word is shuffled."""
+    spark = sentences.sparkSession
+    ship(spark)
+    table = words.toArrow()
+    held = spark.sparkContext.broadcast(dict(zip(table.column("form").to_pylist(), table.column("word").to_pylist())))
+    none = frozenset(stops)
+
+    @F.pandas_udf("string")
+    def bag(column: pd.Series) -> pd.Series:
+        known = held.value
+        kept = column.map(lambda ws: [x for w in ws if (x := known.get(w, None if w in none else w)) is not None], na_action="ignore")
+        return kept.map(lambda ws: " ".join(ws) if ws else None, na_action="ignore")
+
+    return sentences.select("work_id", "sentence", bag("words").alias("bag")).where("bag is not null")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
