@@ -71,3 +71,25 @@ def test_greek_principal_parts(spark):
 def test_no_analyses(spark):
     none = spark.createDataFrame([], "headword string, form string, analysis string, n int")
     assert M.verb_table(none).count() == M.declension_table(none).count() == M.principal_parts(none, True).count() == M.known_attributes(none).count() == M.known_forms(none, "x").count() == 0
+
+
+@pytest.mark.parametrize("method", ["flat", "alternates", "winner"])
+def test_bags_in_place_are_those_by_joins(spark, monkeypatch, method):
+    sentences = spark.createDataFrame([(1, 1, ["cats", "the", "cat", "x"]), (1, 2, ["the"]), (2, 1, []), (2, 2, ["cats", "cats", "new"])], "work_id long, sentence int, words array<string>")
+    forms = spark.createDataFrame([("cats", "cat"), ("cats", "cats"), ("cat", "cat"), ("the", "the"), ("x", "x"), ("x", "the")], "form string, headword string")
+    totals = spark.createDataFrame([("cat", 5), ("cats", 9), ("the", 3)], "headword string, total long")
+    made = []
+    for most in (V.MOST_BROADCAST_FORMS, 0):
+        monkeypatch.setattr(V, "MOST_BROADCAST_FORMS", most)
+        made.append(sorted(tuple(r) for r in V.bags(sentences, forms, totals, method, ["the"]).collect()))
+    assert made[0] == made[1] == {
+        "flat": [(1, 1, "cat cats cat"), (2, 2, "cat cats cat cats new")], "alternates": [(1, 1, "cat·cats cat"), (2, 2, "cat·cats cat·cats new")], "winner": [(1, 1, "cats cat"), (2, 2, "cats cats new")],
+    }[method]
+
+
+def test_ranks_over_ranges(spark):
+    from lexiloom.operators import lexicon as L
+
+    rows = [(f"e{k}", k % 7) for k in range(300)]
+    got = {r.entry: r.place for r in L.ranked(spark.createDataFrame(rows, "entry string, total int").repartition(5), F.desc("total"), "entry").collect()}
+    assert got == {e: k + 1 for k, (e, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
