@@ -14,8 +14,10 @@ import numpy as np
 WIDTH = 16
 #: Weight of the corpus shares beside the model's class probabilities.
 FLOOR = 0.01
-#: Blocks scored together.
-TOGETHER = 2048
+#: Inputs scored together, so that their logits stay in a core's cache.
+TOGETHER = 1024
+#: Logits within this of zero need no shift before they are exponentiated.
+SAFE = 60
 
 
 def windows(offsets: np.ndarray, block: int):
@@ -30,26 +32,56 @@ def windows(offsets: np.ndarray, block: int):
     return np.where(inside, offsets[:-1][of][:, None] + at, -1)
 
 
-def cluster(left: np.ndarray, right: np.ndarray, n_ids: int, classes: int, features: int = 512, seed: int = 0) -> np.ndarray:
-    """Classes of ids by the company they keep: left and right are neighbouring ids, pair by pair. k-means over co-occurrence with
-    the most frequent ids; ids without pairs share the last class."""
-    count = np.bincount(left, minlength=n_ids) + np.bincount(right, minlength=n_ids)
-    top = np.argsort(-count, kind="stable")[:features]
-    slot = np.full(n_ids, -1)
-    slot[top] = np.arange(len(top))
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits in place, shifted by row where they are large, and its sums by row."""
+    if z.size and not -SAFE < z.min() <= z.max() < SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
+
+
+def most_frequent(count: np.ndarray, features: int = 512) -> np.ndarray:
+    """Of each id its place among the most frequent, -1 for all others."""
+    slot = np.full(len(count), -1)
+    slot[np.argsort(-count, kind="stable")[:features]] = np.arange(min(features, len(count)))
+    return slot
+
+
+def company(left: np.ndarray, right: np.ndarray, slot: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often ids stand before and behind the most frequent ones: cells (id, which side and place) and their counts."""
+    width = 2 * (int(slot.max(initial=0)) + 1)
+    cells, many = [], []
+    for a, b, shift in ((left, right, 0), (right, left, width // 2)):
+        told = np.flatnonzero(slot[b] >= 0)
+        cells.append(a[told] * width + slot[b[told]] + shift)
+        many.append(times[told])
+    return summed(np.concatenate(cells), np.concatenate(many))
+
+
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of what they stand beside."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(times[order], first) if len(first) else times[:0]
+
+
+def cluster(cells: np.ndarray, times: np.ndarray, count: np.ndarray, classes: int, slot: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Classes of ids by the company they keep (cells and times), each counted so often: k-means over co-occurrence with the most
+    frequent ids; ids without count share the last class."""
+    width = 2 * (int(slot.max(initial=0)) + 1)
     seen = np.flatnonzero(count)
-    out = np.full(n_ids, classes - 1)
+    out = np.full(len(count), classes - 1)
     if len(seen) == 0:
         return out
-    row = np.full(n_ids, -1)
+    row = np.full(len(count), -1)
     row[seen] = np.arange(len(seen))
-    table = np.zeros((len(seen), 2 * len(top)), dtype=np.float32)
-    a, b = left[slot[right] >= 0], slot[right][slot[right] >= 0]
-    np.add.at(table, (row[a], b), 1)
-    a, b = right[slot[left] >= 0], slot[left][slot[left] >= 0]
-    np.add.at(table, (row[a], b + len(top)), 1)
-    expect = table.sum(axis=0, keepdims=True) * table.sum(axis=1, keepdims=True) / max(table.sum(), 1)
-    table = np.sqrt(np.maximum(np.log((table + 0.1) / (expect + 0.1)), 0))
+    table = np.zeros((len(seen), width), dtype=np.float32)
+    table[row[cells // width], cells % width] = times
+    across, down, whole = table.sum(axis=0, keepdims=True), table.sum(axis=1, keepdims=True), max(table.sum(), 1)
+    for lo in range(0, len(table), 1024):  # in place, as it may have a row for each id
+        expect = across * down[lo : lo + 1024] / whole
+        table[lo : lo + 1024] = np.sqrt(np.maximum(np.log((table[lo : lo + 1024] + 0.1) / (expect + 0.1)), 0))
     rng = np.random.default_rng(seed)
     weight = count[seen].astype(np.float64)
     basis = np.linalg.qr(table.T @ (table @ rng.standard_normal((table.shape[1], 24)).astype(np.float32)))[0]
@@ -105,8 +137,9 @@ class Attention:
         at_all = windows(offsets, self.block)
         b, w = self.block, WIDTH
         mine_of, others = np.ascontiguousarray(full[:, : 2 * w]), np.ascontiguousarray(full[:, 2 * w :])
-        for lo in range(0, len(at_all), TOGETHER):
-            at = at_all[lo : lo + TOGETHER]
+        together = max(1, TOGETHER // b)
+        for lo in range(0, len(at_all), together):
+            at = at_all[lo : lo + together]
             mine = at[:, b:]
             real = mine >= 0
             own, around = mine_of.take(mine, axis=0, mode="wrap"), others.take(at, axis=0, mode="wrap")
@@ -117,11 +150,9 @@ class Attention:
             h, mine = h[real], mine[real]
             z = h @ self.p["out"]
             z += self.p["shift"]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
+            z, total = exponentials(z)
             want = target[mine]
-            picked = z[np.arange(len(mine)), want].astype(np.float64) / z.sum(axis=1)
-            out[mine] = np.log((1 - FLOOR) * picked + FLOOR * share[want])
+            out[mine] = np.log((1 - FLOOR) * (z[np.arange(len(mine)), want] / total.astype(np.float64)) + FLOOR * share[want])
         return out
 
     def train(self, one, two, offsets, target, steps: int = 400, batch: int = 48, rate: float = 0.01, seed: int = 0) -> None:
@@ -144,56 +175,69 @@ class Trainer:
         self.m2 = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.touched = {k: np.zeros(len(model.p[k]), np.int64) for k in ("one", "two")}
 
-    def gradients(self, at, one, two, target) -> dict:
-        """Of the mean log loss over the windows' targets; for the tables of ids the rows met and their gradients."""
+    def gradients(self, at, one, two, target, weight=None) -> dict:
+        """Of the mean log loss over the windows' targets, each weighted (once, if not told); for the tables of ids the rows met and
+        their gradients."""
         p, b, scale = self.model.p, self.model.block, np.float32(WIDTH**-0.5)
+        flat = lambda x: x.reshape(-1, x.shape[-1])
         safe = np.maximum(at, 0)
-        e = p["one"][one[safe]] + p["two"][two[safe]]
-        own = e[:, b:]
-        q, k, v = own @ p["q"], e @ p["k"], e @ p["v"]
+        one, two = one[safe], two[safe]
+        e = p["one"].take(one, axis=0) + p["two"].take(two, axis=0)
+        own = np.ascontiguousarray(e[:, b:])
+        q, k, v = ((flat(x) @ p[y]).reshape(x.shape) for x, y in ((own, "q"), (e, "k"), (e, "v")))
         s, total = self.model._weights(q, k, at)
         s /= total
         h = own + np.matmul(s, v)
-        z = h @ p["out"] + p["shift"]
-        z = np.exp(z - z.max(axis=2, keepdims=True))
-        z /= z.sum(axis=2, keepdims=True)
         real = at[:, b:] >= 0
-        dz = z
-        r, c = np.nonzero(real)
-        dz[r, c, target[at[:, b:][real]]] -= 1
-        dz *= real[:, :, None] / np.float32(max(real.sum(), 1))
-        dh = dz @ p["out"].T
+        z = flat(h) @ p["out"]
+        z += p["shift"]
+        z, total = exponentials(z)
+        # a target's share of the loss over its sum of exponentials: rows are multiplied by it after they have met the output's table
+        each = real / np.float32(max(real.sum(), 1)) if weight is None else real * (weight / np.float32(max(real.sum(), 1))).astype(np.float32)[:, None]
+        each = each.reshape(-1).astype(np.float32) / total
+        r = np.flatnonzero(real)
+        z[r, target[at[:, b:][real]]] -= total[r]
+        dh = (z @ p["out"].T * each[:, None]).reshape(h.shape)
+        g = {"out": (flat(h) * each[:, None]).T @ z, "shift": each @ z}
         ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = s * (ds - (s * ds).sum(axis=2, keepdims=True))
+        ds -= (s * ds).sum(axis=2, keepdims=True)
+        ds *= s
         dv = np.matmul(s.transpose(0, 2, 1), dh)
         dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "shift": flat(dz).sum(axis=0), "bias": ds.sum(axis=0), "q": flat(own).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, b:] += dh + dq @ p["q"].T
+        g |= {"bias": ds.sum(axis=0), "q": flat(own).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
+        de = flat(dk) @ p["k"].T
+        de += flat(dv) @ p["v"].T
+        de = de.reshape(e.shape)
+        de[:, b:] += dh + (flat(dq) @ p["q"].T).reshape(dh.shape)
         inside = at >= 0
+        de, narrow = de[inside], np.uint16 if len(p["one"]) < 1 << 16 else np.int64  # short numbers sort faster
         for name, ids in (("one", one), ("two", two)):
-            rows, back = np.unique(ids[at[inside]], return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            starts = np.searchsorted(back[order], np.arange(len(rows)))
-            g[name] = rows, np.add.reduceat(de[inside][order], starts, axis=0) if len(rows) else np.zeros((0, WIDTH), np.float32)
+            ids = ids[inside]
+            if len(ids) and (ids == ids[0]).all():
+                g[name] = ids[:1], de.sum(axis=0, keepdims=True)
+                continue
+            order = np.argsort(ids.astype(narrow), kind="stable")
+            ids = ids[order]
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+            g[name] = ids[starts], np.add.reduceat(de[order], starts, axis=0) if len(ids) else np.zeros((0, WIDTH), np.float32)
         return g
 
-    def step(self, at, one, two, target, rate: float) -> None:
+    def step(self, at, one, two, target, rate: float, weight=None) -> None:
         self.t, self.seen = self.t + 1, self.seen + len(at)
         t, p = self.t, self.model.p
-        for name, grad in self.gradients(at, one, two, target).items():
+        for name, grad in self.gradients(at, one, two, target, weight).items():
             rows, grad = grad if isinstance(grad, tuple) else (slice(None), grad)
             if name in self.touched:
                 self.touched[name][rows] += len(at)
-            self.m1[name][rows] = 0.9 * self.m1[name][rows] + 0.1 * grad
-            self.m2[name][rows] = 0.99 * self.m2[name][rows] + 0.01 * grad * grad
-            p[name][rows] -= (rate * self.m1[name][rows] / (1 - 0.9**t) / (np.sqrt(self.m2[name][rows] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            m1 = self.m1[name][rows] = np.float32(0.9) * self.m1[name][rows] + np.float32(0.1) * grad
+            m2 = self.m2[name][rows] = np.float32(0.99) * self.m2[name][rows] + np.float32(0.01) * grad * grad
+            p[name][rows] -= np.float32(rate / (1 - 0.9**t)) * m1 / (np.sqrt(m2 * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
 
     def changes(self):
-        """(name, row, windows, values) of what was trained: rows of the tables of ids that were touched, other arrays row by row."""
+        """(name, rows, windows, values) of what was trained: rows of the tables of ids that were touched, other arrays row by row."""
         for name, value in self.model.p.items():
             flat = value.reshape(len(value), -1) if value.ndim > 1 else value[None]
             steps = self.touched.get(name, np.full(len(flat), self.seen))
-            for row in np.flatnonzero(steps):
-                yield name, int(row), int(steps[row]), flat[row]
+            rows = np.flatnonzero(steps)
+            if len(rows):
+                yield name, rows, steps[rows], flat[rows]

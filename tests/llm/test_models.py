@@ -334,3 +334,52 @@ def test_copies(spark):
     total = rates.agg(F.sum(mixing.copies(F.col("rate"), F.col("id"))).alias("n"), F.sum("rate").alias("want")).first()
     assert abs(total.n - total.want) < 0.05 * total.want
     assert rates.where("id = 1").select(mixing.copies(F.col("rate"), F.col("id"), nearest=True)).first()[0] == 1
+
+
+def test_rounds_take_each_window_and_each_word_once(spark):
+    rows = [*labelled(60), (100, ""), (101, "the " * 700)]
+    train = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    whole = sorted((r.key, r.place) for r in lm_scoring.drawn_windows(train, 1.0, 0, 3).collect())
+    spelled = lm_scoring.spelled_texts(train, PATH)
+    for table in (train, spelled):
+        rounds = [[(r.key, r.place) for r in lm_scoring.drawn_windows(table, 1 / 3, k, 3).collect()] for k in range(3)]
+        seen = sorted(x for r in rounds for x in r)
+        assert all(rounds) and len(seen) == len(whole) and (table is spelled or seen == whole)
+    counts = lm_scoring.word_counts(train, "id", "text")
+    found = Counter()
+    for k in range(3):
+        for r in lm_scoring.drawn_words(counts, 1 / 3, k).collect():
+            assert r.weight <= lm_scoring.COPY
+            found[r.word] += r.weight
+    assert {w: round(c, 6) for w, c in found.items()} == Counter(w for _, t in rows for w in brute.words(t))
+
+
+def test_classes_and_weights_follow_all_training_texts(spark):
+    """Pairs of neighbouring ids of every text, in small flushes, against plain loops; and a trained window comes from spelled ids as from words."""
+    rows = [*labelled(40), (100, ""), (101, None), (102, "unbelievable antidisestablishmentarianism " * 40)]
+    train = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    n_ids = lm_scoring._pieces(PATH).get_piece_size()
+    spelled = lm_scoring.spelled_texts(train, PATH)
+    counts = lm_scoring.word_counts(train, "id", "text")
+    begins, inner, ends, within = lm_scoring.piece_counts(counts, PATH, n_ids)
+    want_word, want_piece, want_begins = Counter(), Counter(), Counter()
+    for _, t in rows:
+        ids = [lm_scoring._pieces(PATH).encode(w) for w in brute.words(t)]
+        want_begins.update(x[0] for x in ids)
+        want_word.update((a[0], b[0]) for a, b in zip(ids, ids[1:]))
+        want_piece.update(p for x in ids for p in zip(x, x[1:]))
+    assert {i: int(begins[i]) for i in np.flatnonzero(begins)} == want_begins
+    for pairs, want in ((lm_scoring.word_pairs(spelled, n_ids), want_word), (within, want_piece)):
+        got = Counter()
+        for r in pairs.collect():
+            for key, n in zip(np.frombuffer(r.keys, "<i8").tolist(), np.frombuffer(r.times, "<i8").tolist()):
+                got[divmod(key, n_ids)] += n
+        assert got == want
+        slot = attention.most_frequent(np.bincount([a for a, _ in want.elements()], minlength=n_ids), 4)
+        cells = Counter()
+        for (a, b), n in want.items():
+            if slot[b] >= 0:
+                cells[a * 8 + int(slot[b])] += n
+            if slot[a] >= 0:
+                cells[b * 8 + int(slot[a]) + 4] += n
+        assert dict(zip(*(x.tolist() for x in lm_scoring.neighbours(pairs, slot)))) == cells
