@@ -13,6 +13,8 @@ rows. Memory: texts pass in slices of about 1 MB, a worker keeps at most MOST_KE
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ MOST_PAIRS = 2_000_000
 #: Characters of text taken together; and of distinct segments indexed together.
 SLICE_CHARS = 1 << 20
 INDEX_CHARS = 1 << 19
+#: Code points that fit in one number, and the largest that it takes for one.
+HEAD, MOST_CODE = 3, (1 << 21) - 1
 
 
 def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
@@ -52,6 +56,14 @@ def suffix_array(chars: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Rows of HEAD code points as numbers in the same order."""
+    out = codes[:, 0].astype(np.int64)
+    for k in range(1, HEAD):
+        out = out << 21 | codes[:, k]
+    return out
+
+
 class Matcher:
     """Finds every occurrence of every piece in indexed text."""
 
@@ -66,10 +78,21 @@ class Matcher:
         self.codes = np.zeros((len(keep), self.depth), dtype=np.uint32)
         for k, (p, _) in enumerate(keep):
             self.codes[k, : len(p)] = np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)
-
-    def _bound(self, chars: np.ndarray, order: np.ndarray, after: bool) -> np.ndarray:
-        """For every piece, the first suffix not below it (after: the first beyond all that begin with it)."""
-        low, high = np.zeros(len(self.sizes), np.int64), np.full(len(self.sizes), len(order), np.int64)
+        head = np.zeros((len(keep), HEAD), np.uint32)
+        head[:, : self.depth] = self.codes[:, :HEAD]
+        self.least = packed(head)
+        head[np.arange(HEAD) >= self.sizes[:, None]] = MOST_CODE
+        self.most = packed(head)
+
+    def _bound(self, chars: np.ndarray, order: np.ndarray, heads: np.ndarray, after: bool) -> np.ndarray:
+        """For every piece, the first suffix not below it (after: the first beyond all that begin with it). heads, the suffixes' first
+        characters, leave only longer pieces to be searched, among the suffixes that begin as they do."""
+        low, high = np.searchsorted(heads, self.least), np.searchsorted(heads, self.most, side="right")
+        short = self.sizes <= HEAD
+        if after:
+            low[short] = high[short]
+        else:
+            high[short] = low[short]
         reach = np.arange(self.depth)
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) >> 1
@@ -89,7 +112,8 @@ class Matcher:
         """(end, start, piece) of every occurrence, by end, longest first. chars must end with depth zeros."""
         order = suffix_array(chars, self.depth)
         order = order[order < len(chars) - self.depth]
-        first, last = self._bound(chars, order, False), self._bound(chars, order, True)
+        heads = packed(chars[order[:, None] + np.arange(HEAD)])
+        first, last = self._bound(chars, order, heads, False), self._bound(chars, order, heads, True)
         count = last - first
         piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         within = np.arange(len(piece), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
@@ -190,7 +214,7 @@ def encode_slice(texts: list[str | None], path: str) -> list[np.ndarray]:
         _matchers[path], _kept[path] = Matcher(vocabulary(path)), {}
     kept = _kept[path]
     split = [segments(t) for t in texts]
-    need = list({s for segs in split for s in segs if s not in kept})
+    need = list(set(chain.from_iterable(split)).difference(kept))
     fresh: dict[str, bytes] = {}
     lo = 0
     while lo < len(need):
@@ -200,13 +224,14 @@ def encode_slice(texts: list[str | None], path: str) -> list[np.ndarray]:
             hi += 1
         fresh.update(zip(need[lo:hi], _matchers[path].encode(need[lo:hi])))
         lo = hi
-    out = []
-    for segs in split:
-        ids = b"".join([kept.get(s) or fresh[s] for s in segs]) if fresh else b"".join(map(kept.__getitem__, segs))
-        out.append(np.frombuffer(ids, dtype="<u2").astype(np.int32))
-    if len(kept) + len(fresh) > MOST_KEPT:
+    full = len(kept) + len(fresh) > MOST_KEPT
+    kept.update(fresh)
+    out = [np.frombuffer(b"".join(map(kept.__getitem__, segs)), dtype="<u2").astype(np.int32) for segs in split]
+    if full:
         kept.clear()
-    kept.update((s, i) for s, i in fresh.items() if len(s) <= LONGEST_KEPT)
+        kept.update(fresh)
+    for s in [s for s in fresh if len(s) > LONGEST_KEPT]:
+        del kept[s]
     if len(kept) > 2 * MOST_KEPT:
         kept.clear()
     return out

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +73,23 @@ def test_many_segments_in_one_index():
 def test_decode_replaces_broken_bytes():
     v = vocabulary(PATH)
     assert v.decode([v.byte_id[0xFF]]) == "�" and v.decode([]) == ""
+
+
+def test_pieces_are_found_everywhere_by_few_comparisons():
+    """Every occurrence of every piece against str.find, and the characters that the search for pieces reads."""
+
+    class Read(np.ndarray):
+        count = 0
+
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            Read.count += np.size(out)
+            return out
+
+    matcher = codec.Matcher(vocabulary(PATH))
+    text = "\0".join(["▁the▁internationalization", "▁𝔘nder", "▁über", "▁" * 9, "ation", "▁the"] + [f"▁word{k}" for k in range(300)]) + "\0" * (matcher.depth + 1)
+    chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).view(Read)
+    end, start, piece = matcher.edges(chars)
+    want = [(k, m) for k, p in enumerate(matcher.names) for m in range(len(text)) if p[0] == text[m] and text.startswith(p, m)]
+    assert sorted(zip(np.asarray(piece).tolist(), np.asarray(start).tolist())) == want and (end - start == matcher.sizes[piece]).all()
+    assert Read.count < 2_000_000  # each piece in full at each step of a binary search: over ten million
