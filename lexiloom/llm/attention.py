@@ -16,6 +16,8 @@ WIDTH = 16
 FLOOR = 0.01
 #: Inputs scored together, so that their logits stay in a core's cache.
 TOGETHER = 1024
+#: Targets whose gradients are worked out together.
+STRETCH = 256
 #: Logits within this of zero need no shift before they are exponentiated.
 SAFE = 60
 
@@ -189,16 +191,21 @@ class Trainer:
         s /= total
         h = own + np.matmul(s, v)
         real = at[:, b:] >= 0
-        z = flat(h) @ p["out"]
-        z += p["shift"]
-        z, total = exponentials(z)
-        # a target's share of the loss over its sum of exponentials: rows are multiplied by it after they have met the output's table
-        each = real / np.float32(max(real.sum(), 1)) if weight is None else real * (weight / np.float32(max(real.sum(), 1))).astype(np.float32)[:, None]
-        each = each.reshape(-1).astype(np.float32) / total
-        r = np.flatnonzero(real)
-        z[r, target[at[:, b:][real]]] -= total[r]
-        dh = (z @ p["out"].T * each[:, None]).reshape(h.shape)
-        g = {"out": (flat(h) * each[:, None]).T @ z, "shift": each @ z}
+        r, want = np.flatnonzero(real), target[at[:, b:][real]]
+        told, dh, g = flat(h)[r], np.zeros_like(flat(h)), {"out": np.zeros_like(p["out"]), "shift": np.zeros_like(p["shift"])}
+        share = np.full(len(r), 1 / max(len(r), 1), np.float32) if weight is None else (weight[r // b] / max(len(r), 1)).astype(np.float32)
+        for lo in range(0, len(r), STRETCH):
+            some = slice(lo, lo + STRETCH)
+            z = told[some] @ p["out"]
+            z += p["shift"]
+            z, total = exponentials(z)
+            # a target's share of the loss over its sum of exponentials: rows are multiplied by it after they have met the output's table
+            each = share[some] / total
+            z[np.arange(len(z)), want[some]] -= total
+            dh[r[some]] = z @ p["out"].T * each[:, None]
+            g["out"] += (told[some] * each[:, None]).T @ z
+            g["shift"] += each @ z
+        dh = dh.reshape(h.shape)
         ds = np.matmul(dh, v.transpose(0, 2, 1))
         ds -= (s * ds).sum(axis=2, keepdims=True)
         ds *= s

@@ -281,10 +281,11 @@ def distinct(h: np.ndarray):
 
 
 class Kept:
-    """What a worker has worked out for words, by hash: at most MOST_SPELLED of them, and always those of the last call."""
+    """What a worker has worked out for words, by hash: MOST_SPELLED of them or fewer, and always those of the last call. Where they become
+    more, those asked for once are given up first."""
 
     def __init__(self):
-        self.rows: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64),)
+        self.rows: tuple[np.ndarray, ...] = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     def values(self, h: np.ndarray, make) -> tuple[np.ndarray, ...]:
         """Of distinct hashes, ascending, the values; make(places in h) works out those that lack."""
@@ -292,17 +293,22 @@ class Kept:
         at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
         known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
         lack = np.flatnonzero(~known)
+        self.rows[1][at[known]] += 1
         if len(lack):
-            fresh, old = (h[lack], *make(lack)), self.rows
+            fresh, old = (h[lack], np.ones(len(lack), np.int32), *make(lack)), self.rows
             if len(keys) + len(lack) > MOST_SPELLED:
-                old = tuple(x[at[known]] for x in old)
-            if len(old) == 1:
+                stay = self.rows[1] > 1
+                if stay.sum() > MOST_SPELLED // 2:
+                    stay[:] = False
+                stay[at[known]] = True
+                old = tuple(x[stay] for x in old)
+            if len(old) == 2:
                 self.rows = fresh
             else:
                 put = np.searchsorted(old[0], fresh[0])
                 self.rows = tuple(np.insert(x, put, y) for x, y in zip(old, fresh))
             at = np.searchsorted(self.rows[0], h)
-        return tuple(x[at] for x in self.rows[1:])
+        return tuple(x[at] for x in self.rows[2:])
 
 
 class SubwordModel:

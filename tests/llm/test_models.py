@@ -383,3 +383,19 @@ def test_classes_and_weights_follow_all_training_texts(spark):
             if slot[a] >= 0:
                 cells[b * 8 + int(slot[a]) + 4] += n
         assert dict(zip(*(x.tolist() for x in lm_scoring.neighbours(pairs, slot)))) == cells
+
+
+def test_kept_words_have_their_values_and_those_met_again_stay(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MOST_SPELLED", 60)
+    rng, kept, made = np.random.default_rng(3), lm_scoring.Kept(), []
+
+    for k in range(200):
+        h = np.unique(np.concatenate([np.arange(10), rng.integers(10, 5000, 25)])).astype(np.uint64)  # ten words in every call
+
+        def make(lack, h=h):
+            made.extend(h[lack].tolist())
+            return h[lack] * np.uint64(3), h[lack].astype(float) / 2
+
+        a, b = kept.values(h, make)
+        assert np.array_equal(a, h * np.uint64(3)) and np.array_equal(b, h / 2) and len(kept.rows[0]) <= 100
+    assert max(Counter(made)[i] for i in range(10)) == 1
