@@ -50,8 +50,8 @@ MOST_PAIRS, PARTS = 1 << 22, 256
 FREQUENT = 300_000
 #: Classes of a word's first id, and of the ids within words.
 WORD_CLASSES, PIECE_CLASSES = 192, 384
-#: Words whose spelling a worker keeps.
-MOST_SPELLED = 400_000
+#: Words whose spelling a worker keeps (24 bytes each).
+MOST_SPELLED = 1_000_000
 #: Text that a worker's arrays hold at a time (a longer text is taken alone).
 CHUNK_BYTES = 1 << 20
 WORD_BLOCK, PIECE_BLOCK = 16, 4
@@ -100,7 +100,8 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 starts, ends, _, h = words(data, offsets)
                 if not len(h):
                     continue
-                u, first, count = np.unique(h, return_index=True, return_counts=True)
+                u, first, back = distinct(h)
+                count = np.bincount(back)
                 raw, cut = word_bytes(data, starts[first], ends[first])
                 text = pa.LargeStringArray.from_buffers(len(u), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(raw.tobytes())).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), text, pa.array(count.astype(np.int64))], names=["h", "word", "c"])
@@ -199,13 +200,13 @@ def spelled_texts(train: DataFrame, path: str) -> DataFrame:
 
         def make(lack):
             ids, cut = spell(path, *word_bytes(data, starts[where[lack]], ends[where[lack]]))
-            return (ids[cut[:-1]] | ids[cut[1:] - 1] << 16,)
+            return ((ids[cut[:-1]] | ids[cut[1:] - 1] << 16).astype(np.uint32),)
 
         for batch in batches:
             for part, data, offsets in text_chunks(batch, "text", most_bytes=CHUNK_BYTES):
                 starts, ends, doc, h = words(data, offsets)
                 count = np.bincount(doc, minlength=part.num_rows)
-                both = np.zeros(0, np.int64)
+                both = np.zeros(0, np.uint32)
                 if len(h):
                     u, where, back = distinct(h)
                     both = kept.values(u, make)[0][back]
@@ -432,8 +433,8 @@ class SubwordModel:
             part = self.by_piece.log_probabilities(self.piece_tables, ids, np.full(len(ids), self.bos), cut, target, self.piece_share)
             goes_on = np.flatnonzero(target < PIECE_CLASSES)
             part[goes_on] += self.piece_in[ids[goes_on + 1]]
-            first = ids[cut[:-1]]
-            return first, ids[cut[1:] - 1], np.add.reduceat(part, cut[:-1]) + self.word_in[first]
+            first, last, short = ids[cut[:-1]], ids[cut[1:] - 1], np.uint16 if self.bos <= 1 << 16 else np.int64
+            return first.astype(short), last.astype(short), (np.add.reduceat(part, cut[:-1]) + self.word_in[first]).astype(np.float32)
 
         return self.known.values(h, make)
 

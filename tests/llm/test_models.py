@@ -133,6 +133,34 @@ def test_windows_score_as_one_input_at_a_time():
     assert np.allclose(got, plain_log_probabilities(model, one, two, spans, target, share), atol=1e-4)
 
 
+@pytest.mark.parametrize("out, shift", [(1, 1), (1, 30), (200, 1), (1, -300)])
+def test_large_logits_score_and_train_as_plain_ones(monkeypatch, out, shift):
+    """Logits and shifts on either side of what exp takes without a shift by row, in stretches shorter than the targets, over gaps and starts of sequences."""
+    monkeypatch.setattr(attention, "LOGITS", 1)
+    rng = np.random.default_rng(5)
+    model = attention.Attention.fresh(40, 6, 4, seed=2)
+    model.p["out"] *= np.float32(out)
+    model.p["shift"][:] = rng.standard_normal(6) * shift
+    size = np.array([1, 0, 9, 100, 4, 3])
+    spans, share = np.concatenate([[0], np.cumsum(size)]), np.full(6, 1 / 6)
+    n = int(spans[-1])
+    one, two, target = rng.integers(0, 40, n), rng.integers(0, 40, n), rng.integers(0, 6, n)
+    want = plain_log_probabilities(model, one, two, spans, target, share)
+    assert np.allclose(model.log_probabilities(model.tables(), one, two, spans, target, share), want, atol=1e-3)
+    trainer, at = attention.Trainer(model), attention.windows(spans, 4)
+    g = trainer.gradients(at, one, two, target)
+    z = np.zeros(6)  # the shift's gradient: mean probabilities less the targets' shares
+    for c in range(6):
+        z[c] = np.mean((np.exp(plain_log_probabilities(model, one, two, spans, np.full(n, c), share)) - attention.FLOOR / 6) / (1 - attention.FLOOR) - (target == c))
+    assert np.allclose(g["shift"], z, atol=1e-4) and all(np.isfinite(x[1] if isinstance(x, tuple) else x).all() for x in g.values())
+    before = {k: np.array(v) for k, v in model.p.items()}
+    trainer.step(at, one, two, target, 0.01)
+    rest = np.setdiff1d(np.arange(40), one)
+    assert all(np.abs(model.p[k] - before[k]).max() > 0.005 for k in ("one", "two", "shift")) and np.array_equal(model.p["one"][rest], before["one"][rest])
+    alike = attention.Trainer(model).gradients(at[:1], np.full(n, 7), np.full(n, 7), target)  # one id everywhere
+    assert alike["one"][0].tolist() == [7] and np.allclose(alike["one"][1], alike["two"][1])
+
+
 def test_quality_slope_equals_differences():
     """Documents of 2 and 40 lines and others, with weights of their own."""
     rng = np.random.default_rng(7)
@@ -399,3 +427,16 @@ def test_kept_words_have_their_values_and_those_met_again_stay(monkeypatch):
         a, b = kept.values(h, make)
         assert np.array_equal(a, h * np.uint64(3)) and np.array_equal(b, h / 2) and len(kept.rows[0]) <= 100
     assert max(Counter(made)[i] for i in range(10)) == 1
+
+
+def test_a_worker_spells_half_a_million_words_once():
+    kept, made = lm_scoring.Kept(), []
+
+    def make(lack):
+        made.append(len(lack))
+        return (lack,)
+
+    for _ in range(2):
+        for lo in range(0, 500_000, 50_000):
+            kept.values(np.arange(lo, lo + 50_000, dtype=np.uint64), make)
+    assert sum(made) == 500_000
