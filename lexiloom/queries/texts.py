@@ -166,8 +166,8 @@ def editorial_insertions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, array_to_string(list_transform(string_split(replace(replace(html, '<', chr(1) || '<'), '>', '>' || chr(1)), chr(1)), lambda p: CASE WHEN starts_with(p, '<') THEN p ELSE replace(p, 'an', '<b>an</b>') END), '') AS html FROM pages")
 def highlighted_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches marked in text, never in tags."""
-    return corpus.table(spark, sf, "pages").select("page_id", W.highlight(spark, F.col("html"), "an").alias("html"))
+    """Matches marked in text, never in tags nor over them."""
+    return corpus.table(spark, sf, "pages").select("page_id", T.highlight_outside_markup(F.col("html"), "an").alias("html"))
 
 
 @query(rf"WITH {LINES} SELECT work_id, idx, regexp_replace(line, '[\p{{P}}\p{{S}}]', '', 'g') AS bare, len(regexp_extract_all(line, '\p{{Greek}}+|\p{{Latin}}+'))::INT AS runs FROM lines")
