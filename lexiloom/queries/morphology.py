@@ -173,7 +173,7 @@ def _dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """id, entry; and work_id, idx, word of the words that lines begin with."""
     begins = corpus.lines(corpus.works(spark, sf)).select("work_id", "idx", F.get(T.index_tokens(F.col("line")), F.lit(0)).alias("word")).where("word is not null")
     w = F.col("word")
-    big = F.when(F.col("work_id") % 5 == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.char_length(w)))).otherwise(w)
+    big = F.when(F.col("work_id") % 5 == 0, F.concat(T.capitals(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.char_length(w)))).otherwise(w)
     above = F.get(F.array(F.lit(""), F.lit("¹"), F.lit("²")), (F.col("work_id") % 3).cast("int"))
     return begins.where("idx = 1").select(F.col("work_id").alias("id"), F.concat(big, above).alias("entry")), begins
 
@@ -183,14 +183,14 @@ found AS (SELECT term, 1 AS rung, id, entry FROM asked JOIN bare ON probe = low
 SELECT DISTINCT term, rung, id, entry FROM (SELECT *, min(rung) OVER (PARTITION BY term) AS least FROM found) WHERE rung = least""")
 def dictionary_look_up(spark: SparkSession, sf: str) -> DataFrame:
     entries, begins = _dictionary(spark, sf)
-    asked = begins.where("idx = 2").select(F.concat(F.lit(" "), F.upper("word")).alias("term")).distinct()
+    asked = begins.where("idx = 2").select(F.concat(F.lit(" "), T.capitals(F.col("word"))).alias("term")).distinct()
     return L.look_up(asked, entries, C.suffix_forms(tokens(spark, sf).select("word").distinct()))
 
 
 @query(f"WITH {_A}, asked AS (SELECT DISTINCT upper(word) AS term, word AS form FROM tokens WHERE idx = 1 AND work_id % 10 = 0), k AS (SELECT headword, string_agg(DISTINCT form, ' ' ORDER BY form) AS forms FROM a GROUP BY headword) SELECT t.term, k.headword, k.forms FROM (SELECT DISTINCT t.term, a.headword FROM asked t JOIN a ON a.form = translate(t.form, 'vj', 'ui')) t JOIN k USING (headword)")
 def find_by_inflected_form(spark: SparkSession, sf: str) -> DataFrame:
     lines = corpus.lines(corpus.works(spark, sf)).where("idx = 1 and work_id % 10 = 0")
-    asked = lines.select(F.explode(T.index_tokens(F.col("line"))).alias("word")).select(F.upper("word").alias("term")).distinct()
+    asked = lines.select(F.explode(T.index_tokens(F.col("line"))).alias("word")).select(T.capitals(F.col("word")).alias("term")).distinct()
     return L.by_inflected_form(asked, _analyses(spark, sf)).select("term", "headword", F.array_join("forms", " ").alias("forms"))
 
 
