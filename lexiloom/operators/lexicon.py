@@ -141,8 +141,11 @@ def by_inflected_form(asked: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def by_cross_reference(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """asked: xref, entry. The entry of a cross reference by its own name, else without superscripts: xref, id, entry."""
-    one = asked.join(entries, "entry").select("xref", F.lit(1).alias("rung"), "id", "entry")
-    two = asked.select("xref", superscript_free(F.col("entry")).alias("bare")).join(entries.withColumn("bare", superscript_free(F.col("entry"))), "bare").select("xref", F.lit(2).alias("rung"), "id", "entry")
+    """asked: xref, entry. The entry of a cross reference by its own name, else without superscripts: xref, id, entry. Of entries of one name only the one
+    that would be told is joined, so that references to a common name do not meet all entries of it."""
+    named = entries.groupBy("entry").agg(F.min("id").alias("id"))
+    plain = entries.groupBy(superscript_free(F.col("entry")).alias("bare")).agg(F.min(F.struct("id", "entry")).alias("e"))
+    one = asked.join(named, "entry").select("xref", F.lit(1).alias("rung"), "id", "entry")
+    two = asked.select("xref", superscript_free(F.col("entry")).alias("bare")).join(plain, "bare").select("xref", F.lit(2).alias("rung"), "e.id", "e.entry")
     best = one.unionByName(two).groupBy("xref").agg(F.min(F.struct("rung", "id", "entry")).alias("b"))
     return best.select("xref", "b.id", "b.entry")

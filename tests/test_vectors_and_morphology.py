@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.operators import lexicon as L
 from lexiloom.operators import morphology as M
 from lexiloom.operators import vectors as V
 
@@ -93,3 +94,13 @@ def test_ranks_over_ranges(spark):
     rows = [(f"e{k}", k % 7) for k in range(300)]
     got = {r.entry: r.place for r in L.ranked(spark.createDataFrame(rows, "entry string, total int").repartition(5), F.desc("total"), "entry").collect()}
     assert got == {e: k + 1 for k, (e, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+
+
+def test_references_to_a_common_name_do_not_meet_all_its_entries(spark):
+    """3000 references to one name and 3000 entries of it: entries are one for each name before they are joined."""
+    entries = spark.range(3000).select("id", F.concat(F.lit("the"), F.when(F.col("id") % 2 == 0, "¹").otherwise("")).alias("entry"))
+    asked = spark.range(3000).select(F.col("id").alias("xref"), F.when(F.col("id") % 3 == 0, "the²").otherwise("the").alias("entry"))
+    found = L.by_cross_reference(asked, entries)
+    assert {r.xref: (r.id, r.entry) for r in found.collect()} == {k: ((0, "the¹") if k % 3 == 0 else (1, "the")) for k in range(3000)}
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1:]
+    assert len(below) == 2 and all("Aggregate [" in part for part in below)
