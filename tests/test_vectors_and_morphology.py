@@ -104,3 +104,17 @@ def test_references_to_a_common_name_do_not_meet_all_its_entries(spark):
     assert {r.xref: (r.id, r.entry) for r in found.collect()} == {k: ((0, "the¹") if k % 3 == 0 else (1, "the")) for k in range(3000)}
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1:]
     assert len(below) == 2 and all("Aggregate [" in part for part in below)
+
+
+def test_cooccurrence_shuffles_sums_only(spark):
+    """A sentence's words are counted in its row; what is shuffled is a row for each word of a task."""
+    sentences = spark.createDataFrame([(1, 1, ["the", "a", "a", "the"]), (1, 2, ["a", "b"]), (2, 1, ["the", "b", "the", "the"]), (3, 1, [])], "work_id long, sentence int, words array<string>")
+    seen = []
+    monkey = V.written
+    try:
+        V.written = lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or monkey(df, name)
+        got = {r.word: (r.together, r.cosine) for r in V.cooccurrence(sentences, "the").collect()}
+    finally:
+        V.written = monkey
+    assert got == {"a": (4, round(4 / (5 * 13) ** 0.5, 6)), "b": (3, round(3 / (2 * 13) ** 0.5, 6))}
+    assert len(seen) == 1 and seen[0].count("hashpartitioning(") == 1 and "hashpartitioning(word" in seen[0]
