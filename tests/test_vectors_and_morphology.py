@@ -118,3 +118,15 @@ def test_cooccurrence_shuffles_sums_only(spark):
         V.written = monkey
     assert got == {"a": (4, round(4 / (5 * 13) ** 0.5, 6)), "b": (3, round(3 / (2 * 13) ** 0.5, 6))}
     assert len(seen) == 1 and seen[0].count("hashpartitioning(") == 1 and "hashpartitioning(word" in seen[0]
+
+
+def test_common_words_are_not_shuffled_as_often_as_they_occur(spark, monkeypatch):
+    """Bags of more forms than are broadcast: what is shuffled has a row for each form of a part; words stay in their sentences."""
+    monkeypatch.setattr(V, "MOST_BROADCAST_FORMS", 0)
+    sentences = spark.createDataFrame([(k % 7, k, ["the", "cats", "runs"] * 30) for k in range(200)], "work_id long, sentence int, words array<string>")
+    forms = spark.createDataFrame([("the", "the"), ("cats", "cats"), ("cats", "cat"), ("runs", "run")], "form string, headword string")
+    totals = spark.createDataFrame([("the", 9), ("cats", 2), ("cat", 2), ("run", 1)], "headword string, total long")
+    found = V.bags(sentences, forms, totals, "flat", ["the"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan
+    assert {r.bag for r in found.collect()} == {" ".join(["cat cats run"] * 30)} and found.count() == 200
