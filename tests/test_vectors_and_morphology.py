@@ -130,3 +130,21 @@ def test_common_words_are_not_shuffled_as_often_as_they_occur(spark, monkeypatch
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and "collect_list" not in plan
     assert {r.bag for r in found.collect()} == {" ".join(["cat cats run"] * 30)} and found.count() == 200
+
+
+def test_pairs_of_one_table_are_compared_once(spark, monkeypatch):
+    """Candidates of a table with itself have each pair once, none of a document with itself, and no row carries a document's words for each pair."""
+    rng = random.Random(5)
+    rows = [(k, [rng.choice("abcdefghijkl") * (1 + k % 3) for _ in range(8)]) for k in range(80)]
+    docs = spark.createDataFrame(rows, "id long, words array<string>")
+    weights = V.tfidf(docs, "id", F.col("words"))
+    kept, write = {}, V.written
+    monkeypatch.setattr(V, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(V, "BLOCK_DOCS", 10)
+    got = {(r.query, r.doc): round(r.similarity, 9) for r in V.best_tfidf_matches(weights, weights, 0.6).collect() if r.query != r.doc}
+    w = {}
+    for r in weights.collect():
+        w.setdefault(r.id, {})[r.word] = r.w
+    want = {(a, b): round(s, 9) for a in w for b in w if a != b and (s := sum(x * w[b].get(k, 0) for k, x in w[a].items())) >= 0.6}
+    assert got == want and len(want) > 20
+    assert kept["tfidf_candidates"].where("query >= doc").count() == 0
